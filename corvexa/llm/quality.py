@@ -16,7 +16,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, DoubleType, StructType
+from pyspark.sql.types import ArrayType, DoubleType, IntegerType, StructType
 
 from .common import bounded_batches, hash_bound, session_of
 
@@ -138,4 +138,4 @@ def predict(docs: DataFrame, model: QualityModel, text: str = "text") -> DataFra
             s = model.score(np.array([features(t) for t in b.column(where).to_pylist()]).reshape(-1, N_RAW))
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(s), pa.array((s >= 0.5).astype(np.int32))], names=[*names, "score", "predicted"])
 
-    return docs.mapInArrow(run, StructType(docs.schema.fields[:]).add("score", "double").add("predicted", "int"))
+    return docs.mapInArrow(run, StructType(docs.schema.fields[:]).add("score", DoubleType()).add("predicted", IntegerType()))
