@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import language, packing, quality, sharding
+from . import language, minhash, packing, quality, sharding
 from .common import doc_hash, table
 
 
@@ -15,6 +15,10 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(table(spark, sf_dir, "documents", "doc_id", "text"), words=5, percent=85)
+
+
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents", "doc_id", "text")
     return packing.pack_documents(docs, tokenizer_path("byte_bpe_50k.json"), with_ids=False)
@@ -41,5 +45,5 @@ def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.predict(docs.select("doc_id", "text", held.alias("held_out")), model).select("doc_id", "held_out", "score", "predicted")
 
 
-QUERIES = {f.__name__: f for f in (op3_packing, op4_sharding, op5_language_id, op6_quality)}
+QUERIES = {f.__name__: f for f in (op1_minhash, op3_packing, op4_sharding, op5_language_id, op6_quality)}
 ORACLE_SQL: dict[str, str] = {}
