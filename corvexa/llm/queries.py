@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import language, minhash, packing, quality, sharding
+from . import language, minhash, packing, quality, repeats, sharding
 from .common import doc_hash, table
 
 
@@ -45,5 +45,10 @@ def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.predict(docs.select("doc_id", "text", held.alias("held_out")), model).select("doc_id", "held_out", "score", "predicted")
 
 
-QUERIES = {f.__name__: f for f in (op1_minhash, op3_packing, op4_sharding, op5_language_id, op6_quality)}
+def op7_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = repeats.remove_repeats(table(spark, sf_dir, "documents", "doc_id", "text"))
+    return out.select("doc_id", "n_bytes", (F.col("n_bytes") - F.octet_length("kept")).cast("long").alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
+QUERIES = {f.__name__: f for f in (op1_minhash, op3_packing, op4_sharding, op5_language_id, op6_quality, op7_suffix_array)}
 ORACLE_SQL: dict[str, str] = {}
