@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from corvexa.llm import language, packing, quality
+from corvexa.llm import language, minhash, packing, quality, repeats
 from corvexa.llm.common import Workspace, doc_hash, table
 from corvexa.llm.queries import tokenizer_path
 
@@ -25,11 +26,34 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
     return quality.predict(docs.select(*COLUMNS), model).where("predicted = 1").select(*COLUMNS)
 
 
+def minhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps the document of the smallest id of each group of near duplicates (Jaccard 0.8 on five-word shingles).
+
+    Ids repeat in no table that this stage is made for; rows that do share an id stand or fall together.
+    """
+    found = minhash.near_duplicates(docs, words=5, percent=80)
+    gone = found.where(~F.col("kept")).select("doc_id").distinct()
+    return docs.select(*COLUMNS).join(gone.hint("shuffle_hash"), "doc_id", "left_anti").select(*COLUMNS)
+
+
+def suffix_array_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Takes repeated passages out of the texts, with the rest of a character that a passage's end cuts. No document goes."""
+    out = repeats.kept_text(repeats.remove_repeats(docs.select(*COLUMNS)), "text")
+    return out.withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
+
+
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The last stage: pieces of token sequences."""
     return packing.pack_documents(docs, tokenizer_path("byte_bpe_50k.json"), with_ids=False)
 
 
-STAGES = [("language_id", language_id), ("quality_classifier", quality_classifier), ("packing", packed)]
+STAGES = [
+    ("language_id", language_id),
+    ("quality_classifier", quality_classifier),
+    ("minhash_near_dedup", minhash_near_dedup),
+    ("suffix_array_dedup", suffix_array_dedup),
+    ("packing", packed),
+]
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:

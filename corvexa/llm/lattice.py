@@ -13,13 +13,14 @@ The vocabulary file holds merge ranks and no probabilities: a piece of rank r ha
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType, StructType
 
 from .common import bounded_batches, session_of
 from .suffix import mix
@@ -60,6 +61,8 @@ class Pieces:
                 words.append(piece)
                 ids.append(i)
                 self.text[i] = piece.replace(META, " ").encode()
+        self.sizes = np.array([len(t) for t in self.text])
+        self.starts, self.body = np.cumsum(self.sizes) - self.sizes, np.frombuffer(b"".join(self.text), dtype=np.uint8)
         rank = np.argsort(np.argsort([-sp.get_score(i) for i in ids], kind="stable"))
         weight = -POWER * np.log1p(rank)
         weight -= np.log(np.exp(weight).sum())
@@ -80,8 +83,12 @@ class Pieces:
         hit = self.hashes[at] == h[maybe]
         return at[hit], maybe[hit]
 
-    def decode(self, ids) -> str:
-        return b"".join([self.text[i] for i in ids]).decode("utf-8")
+    def decode_all(self, ids: np.ndarray) -> tuple[bytes, np.ndarray]:
+        """Bytes of all pieces in a row, and where each piece begins (and the last one ends) in them."""
+        sizes = self.sizes[ids]
+        ends = np.concatenate([[0], np.cumsum(sizes)])
+        at = np.repeat(self.starts[ids] - ends[:-1], sizes) + np.arange(ends[-1])
+        return self.body[at].tobytes(), ends
 
 
 def spans(codes: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -258,12 +265,16 @@ def sample_segmentations(docs: DataFrame, model: str, seed: int = 1, text: str =
             column = pa.array([None if t is None else g for t, g in zip(texts, got, strict=True)], type=pa.list_(pa.int32()))
             yield pa.RecordBatch.from_arrays([*b.columns, column], names=[*names, "pieces"])
 
-    head = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
-    return docs.mapInArrow(run, f"{head}, pieces array<int>")
+    return docs.mapInArrow(run, StructType(docs.schema.fields[:]).add("pieces", ArrayType(IntegerType())))
+
+
+def _lists(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Values of a list column and its offsets into them."""
+    return column.values.to_numpy(zero_copy_only=False), column.offsets.to_numpy()
 
 
 def decode_segmentations(rows: DataFrame, model: str, column: str = "pieces") -> DataFrame:
-    """``rows`` with ``decoded``, the text of the pieces; null for null."""
+    """``rows`` with ``decoded``, the text of the pieces; null for null. Pieces that make no UTF-8 are replaced."""
     bounded_batches(session_of(rows))
     rows = rows.drop(*[c for c in rows.columns if c.lower() == "decoded"])
     names, where = rows.columns, rows.columns.index(column)
@@ -271,14 +282,26 @@ def decode_segmentations(rows: DataFrame, model: str, column: str = "pieces") ->
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocabulary = pieces(model)
         for b in batches:
-            texts = [None if p is None else vocabulary.decode(p) for p in b.column(where).to_pylist()]
+            ids, bounds = _lists(b.column(where))
+            ids = ids[bounds[0] : bounds[-1]]
+            body, ends = vocabulary.decode_all(ids)
+            ends = ends[bounds - bounds[0]]
+            texts = [body[x:y].decode("utf-8", "replace") if p else None for p, x, y in zip(b.column(where).is_valid().to_pylist(), ends, ends[1:], strict=False)]
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(texts, type=pa.string())], names=[*names, "decoded"])
 
-    head = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields)
-    return rows.mapInArrow(run, f"{head}, decoded string")
+    return rows.mapInArrow(run, StructType(rows.schema.fields[:]).add("decoded", "string"))
 
 
-def crc_of_ids(column: str):
-    """Unsigned crc32 of the ids as little-endian unsigned 32-bit numbers."""
-    swapped = F.transform(column, lambda i: F.concat(*[F.substring(F.lpad(F.hex(i), 8, "0"), s, 2) for s in (7, 5, 3, 1)]))
-    return F.crc32(F.unhex(F.array_join(swapped, "")))
+def with_ids_crc32(rows: DataFrame, column: str = "pieces") -> DataFrame:
+    """``rows`` with ``ids_crc32``: the unsigned crc32 of the ids as little-endian unsigned 32-bit numbers (null: of none)."""
+    rows = rows.drop(*[c for c in rows.columns if c.lower() == "ids_crc32"])
+    names, where = rows.columns, rows.columns.index(column)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            ids, bounds = _lists(b.column(where))
+            ids = np.ascontiguousarray(ids, dtype="<u4")
+            crc = [zlib.crc32(ids[x:y]) for x, y in zip(bounds, bounds[1:], strict=False)]
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(crc, type=pa.int64())], names=[*names, "ids_crc32"])
+
+    return rows.mapInArrow(run, StructType(rows.schema.fields[:]).add("ids_crc32", "long"))

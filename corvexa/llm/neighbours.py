@@ -169,7 +169,7 @@ def nearest(table: DataFrame, k: int = 10, every: int = 100, key: str = "vec_id"
     shards = max(1, -(-reps.count() // shard_rows))
     dealt = reps.select(F.pmod(F.xxhash64("id"), F.lit(shards)).alias("shard"), "id", "v")
 
-    def build(key, part: pa.Table) -> pa.Table:
+    def build(key: tuple[pa.Scalar, ...], part: pa.Table) -> pa.Table:
         part = part.sort_by("id").combine_chunks()
         edges, start = build_graph(_matrix(part.column("v").combine_chunks()))
         flag = np.zeros(len(edges), dtype=bool)
@@ -184,7 +184,7 @@ def nearest(table: DataFrame, k: int = 10, every: int = 100, key: str = "vec_id"
     stored = index.withColumn("chunk", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(chunks - 1).cast("long"))))
     tiles = sought.unionByName(stored)
 
-    def search(key, part: pa.Table) -> pa.Table:
+    def search(key: tuple[pa.Scalar, ...], part: pa.Table) -> pa.Table:
         part = part.sort_by("at").combine_chunks()
         at = part.column("at").to_numpy()
         n = int((at < 0).sum())

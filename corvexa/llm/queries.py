@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import language, minhash, packing, quality, repeats, sharding
+from . import language, lattice, minhash, neighbours, packing, quality, repeats, revisits, sharding, voronoi
 from .common import doc_hash, table
 
 
@@ -19,6 +19,52 @@ def op1_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents", "doc_id", "text"), words=5, percent=85)
 
 
+#: Captures of each page that the query makes: the first is a full response, the others are not-modified answers.
+CAPTURES = 4
+
+
+def crawl_records(pages: DataFrame) -> DataFrame:
+    """Records of a crawl that fetches each page CAPTURES times; what a table of pages lacks is derived from it.
+
+    Times spread over about a day; one capture in 16 has lost its entity tag, one in 32 has another one.
+    """
+    tag = F.md5(F.coalesce(F.col("html"), F.lit("")))
+    base = pages.select("page_id", "url", tag.alias("tag"), F.octet_length("html").alias("n"))
+    r = base.withColumn("visit", F.explode(F.sequence(F.lit(0), F.lit(CAPTURES - 1)))).withColumn("rec_id", F.col("page_id") * CAPTURES + F.col("visit"))
+    h = F.shiftright((F.col("rec_id") % (1 << 30) * 1103515245 + 12345) % (1 << 31), 8)
+    kind = F.when(F.col("visit") == 0, "response").otherwise("revisit")
+    etag = F.when(h % 16 == 0, None).when(h % 32 == 1, F.concat(F.lit("x"), F.col("tag"))).when(h % 4 == 2, F.concat(F.lit("W/"), F.col("tag"))).otherwise(F.col("tag"))
+    headers = F.create_map(F.lit("date"), F.col("ts").cast("string"), F.lit("content-length"), F.coalesce("n", F.lit(0)).cast("string"), F.concat(F.lit("x-"), F.col("kind")), F.lit("1"))
+    r = r.select("rec_id", "url", (F.col("visit") * 20_000 + h % 30_000).cast("long").alias("ts"), kind.alias("kind"), etag.alias("etag"), F.substring("tag", 1, 8).alias("last_modified"), "n")
+    return r.withColumn("headers", headers).drop("n")
+
+
+def op2_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = revisits.resolve_revisits(crawl_records(table(spark, sf_dir, "pages", "page_id", "url", "html")))
+    headers = F.array_join(F.transform(F.array_sort(F.map_entries("merged")), lambda e: F.concat(e["key"], F.lit("="), e["value"])), ";")
+    return out.select("rec_id", "ts", "ref_id", "state", headers.alias("headers"))
+
+
+OP2_SQL = f"""
+WITH base AS (SELECT page_id, url, md5(coalesce(html, '')) AS tag, coalesce(strlen(html), 0) AS n FROM pages),
+visits AS (SELECT page_id * {CAPTURES} + visit AS rec_id, url, visit, tag, n FROM base, range({CAPTURES}) AS v(visit)),
+hashed AS (SELECT *, ((rec_id % (1 << 30) * 1103515245 + 12345) % (CAST(1 AS BIGINT) << 31)) >> 8 AS h FROM visits),
+records AS (SELECT rec_id, url, visit * 20000 + h % 30000 AS ts, CASE WHEN visit = 0 THEN 'response' ELSE 'revisit' END AS kind,
+  CASE WHEN h % 16 = 0 THEN NULL WHEN h % 32 = 1 THEN 'x' || tag ELSE tag END AS etag, substr(tag, 1, 8) AS modified, n FROM hashed),
+bare AS (SELECT *, regexp_replace(regexp_replace(trim(url), '#.*$', ''), '^[A-Za-z][A-Za-z0-9+.-]*://', '') AS u FROM records),
+parts AS (SELECT *, regexp_replace(regexp_replace(lower(regexp_extract(u, '^([^/?]*)', 1)), ':(80|443)$', ''), '^www[.]', '') AS host,
+  regexp_replace(regexp_replace(regexp_replace(u, '^[^/?]*', ''), '[?].*$', ''), '/+$', '') AS path,
+  list_sort(list_filter(string_split(regexp_extract(u, '[?](.*)$', 1), '&'), lambda p: p <> '' AND NOT regexp_matches(p, '^(utm_[a-z]*|ref)(=|$)'))) AS kept FROM bare),
+keyed AS (SELECT *, CASE WHEN len(kept) > 0 THEN host || path || '?' || array_to_string(kept, '&') ELSE host || path END AS curl FROM parts),
+paired AS (SELECT r.rec_id, r.ts, r.etag, r.modified, p.rec_id AS ref_id, p.etag AS p_etag, p.modified AS p_modified, p.n AS p_n,
+  row_number() OVER (PARTITION BY r.rec_id ORDER BY p.ts DESC NULLS LAST, p.rec_id DESC NULLS LAST) AS place
+  FROM keyed r LEFT JOIN keyed p ON p.kind = 'response' AND p.curl = r.curl AND p.ts < r.ts WHERE r.kind = 'revisit'),
+judged AS (SELECT *, CASE WHEN ref_id IS NULL THEN 'unresolved' WHEN coalesce(etag = p_etag, modified = p_modified, false) THEN 'matched' ELSE 'mismatch' END AS state
+  FROM paired WHERE place = 1)
+SELECT rec_id, ts, ref_id, state, CASE WHEN state = 'matched' THEN 'content-length=' || p_n || ';date=' || ts || ';x-response=1' END AS headers FROM judged
+"""
+
+
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents", "doc_id", "text")
     return packing.pack_documents(docs, tokenizer_path("byte_bpe_50k.json"), with_ids=False)
@@ -50,5 +96,20 @@ def op7_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_bytes", (F.col("n_bytes") - F.octet_length("kept")).cast("long").alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op1_minhash, op3_packing, op4_sharding, op5_language_id, op6_quality, op7_suffix_array)}
-ORACLE_SQL: dict[str, str] = {}
+def op8_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return voronoi.exact_top_k(table(spark, sf_dir, "embeddings", "vec_id", "embedding"))
+
+
+def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    model = tokenizer_path("piece_bpe_32k.model")
+    docs = table(spark, sf_dir, "documents", "doc_id", "text")
+    rows = lattice.decode_segmentations(lattice.sample_segmentations(docs, model, seed=1), model)
+    return lattice.with_ids_crc32(rows).select("doc_id", F.coalesce(F.size("pieces"), F.lit(0)).cast("long").alias("n_pieces"), "ids_crc32", F.col("decoded").eqNullSafe(F.col("text")).alias("lossless"))
+
+
+def op10_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.nearest(table(spark, sf_dir, "embeddings", "vec_id", "embedding"))
+
+
+QUERIES = {f.__name__: f for f in (op1_minhash, op2_revisits, op3_packing, op4_sharding, op5_language_id, op6_quality, op7_suffix_array, op8_top_k, op9_sentencepiece, op10_neighbours)}
+ORACLE_SQL: dict[str, str] = {"op2_revisits": OP2_SQL}

@@ -23,6 +23,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StructType
 
 from .common import Workspace, bounded_batches, session_of
 from .suffix import mix, permuted_lcp, powers, prefix_hash, span_hash, suffix_array
@@ -372,5 +373,19 @@ def remove_repeats(docs: DataFrame, text: str = "text", key: str = "doc_id") ->
             kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
             yield pa.RecordBatch.from_arrays([*b.columns[: len(rest)], pa.array(n, type=pa.int64()), pa.array(spans, type=kind), pa.array(kept, type=pa.binary())], names=names)
 
-    head = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in both.schema.fields[: len(rest)])
-    return both.mapInArrow(apply, f"{head}, n_bytes long, spans array<struct<start: long, end: long>>, kept binary")
+    span = StructType().add("start", "long").add("end", "long")
+    schema = StructType(both.schema.fields[: len(rest)]).add("n_bytes", "long").add("spans", ArrayType(span)).add("kept", "binary")
+    return both.mapInArrow(apply, schema)
+
+
+def kept_text(out: DataFrame, text: str = "text") -> DataFrame:
+    """Results of ``remove_repeats`` with the bytes left as a string ``text``; parts of characters that a removed span has
+    cut are left out."""
+    rest = [c for c in out.columns if c not in {"n_bytes", "spans", "kept"}]
+    rows = out.select(*rest, "kept")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array([v.decode("utf-8", "ignore") for v in b.column(len(rest)).to_pylist()], type=pa.string())], names=[*rest, text])
+
+    return rows.mapInArrow(run, StructType(rows.schema.fields[:-1]).add(text, "string"))
