@@ -30,7 +30,7 @@ BANDS = BUCKETS // ROWS
 #: Below the threshold by this much, an estimate rules a pair out: five standard errors of 125 registers.
 MARGIN = 0.16
 #: Members of a block, and members that go with one copy of a leader.
-BLOCK, SPREAD = 256, 256
+BLOCK, SPREAD = 1024, 256
 
 _U = np.uint64
 _rng = np.random.default_rng(20240611)
@@ -181,11 +181,32 @@ def _against_leaders(pairs: DataFrame, values: DataFrame, test, dtype: str) -> D
 
 
 def _units(members: DataFrame) -> DataFrame:
-    """members (key, node, ...) -> the same with (i, j) for every two blocks of a bucket that can hold a pair."""
-    sizes = members.groupBy("key").count()
-    blocks = F.ceil(F.col("count") / BLOCK)
-    m = members.join(sizes, "key").withColumn("own", F.pmod(F.xxhash64("node"), blocks)).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)))
-    return m.withColumn("i", F.least("own", "other")).withColumn("j", F.greatest("own", "other")).drop("count", "other", "own")
+    """members (key, node, comp) -> the same with ``big`` and with (i, j) for every two blocks that can hold a pair.
+
+    ``big``: of the bucket's largest component. Its members need no comparison among themselves, so only the others
+    go to many blocks: a hot component is dealt out once for each block of what it is compared with.
+    """
+    each = members.groupBy("key", "comp").count()
+    sizes = each.groupBy("key").agg(F.max(F.struct("count", "comp")).alias("top"), F.sum("count").alias("all"))
+    sizes = sizes.select("key", F.col("top.comp").alias("most"), F.ceil(F.col("top.count") / BLOCK).alias("bigs"), F.ceil((F.col("all") - F.col("top.count")) / BLOCK).alias("smalls"))
+    zero, last = F.lit(0).cast("long"), F.col("smalls") - 1
+    m = members.join(sizes, "key").withColumn("big", F.col("comp") == F.col("most"))
+    own = F.pmod(F.xxhash64("node"), F.when(F.col("big"), F.col("bigs")).otherwise(F.col("smalls")))
+    own = F.when(F.col("big"), F.col("smalls")).otherwise(zero) + own
+    m = m.withColumn("own", own).withColumn("other", F.explode(F.sequence(zero, F.when(F.col("big"), last).otherwise(last + F.col("bigs")))))
+    return m.withColumn("i", F.least("own", "other")).withColumn("j", F.greatest("own", "other")).drop("most", "bigs", "smalls", "other", "own")
+
+
+def _sides(comp: np.ndarray, big: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """Each member of a unit with those that it is compared with: of another component, each pair once."""
+    if big.any():
+        rest = np.flatnonzero(big)
+        for k in np.flatnonzero(~big).tolist():
+            yield k, rest
+    else:
+        for k in range(len(comp) - 1):
+            if len(other := np.flatnonzero(comp[k + 1 :] != comp[k]) + k + 1):
+                yield k, other
 
 
 def _by_unit(rows: DataFrame, names: list[str], solve, schema: str) -> DataFrame:
@@ -207,9 +228,9 @@ def _by_unit(rows: DataFrame, names: list[str], solve, schema: str) -> DataFrame
                     unit, held = r[:3], []
                 held.append(r[3:])
             if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c, type=pa.int64()) for c in zip(*out, strict=True)], names=columns)
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*out, strict=True)], names=columns)
         if out := done():
-            yield pa.RecordBatch.from_arrays([pa.array(c, type=pa.int64()) for c in zip(*out, strict=True)], names=columns)
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*out, strict=True)], names=columns)
 
     return rows.mapInArrow(run, schema)
 
@@ -274,23 +295,22 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", wo
     open_ = ws.save(_units(tied.join(mixed, "key")).join(values, "node"), "open")
 
     def likely_in_unit(unit, columns) -> Iterator[tuple]:
-        node, comp, v = columns
-        r, comp, found = np.stack([np.frombuffer(x, dtype=np.uint16) for x in v]), np.array(comp), set()
-        for k in range(len(node) - 1):
-            other = np.flatnonzero(comp[k + 1 :] != comp[k]) + k + 1
-            if len(other) and (hit := other[estimate(r[other], r[k]) >= floor]).size:
+        node, comp, big, v = columns
+        r, found = np.stack([np.frombuffer(x, dtype=np.uint16) for x in v]), set()
+        for k, other in _sides(np.array(comp), np.array(big)):
+            if (hit := other[estimate(r[other], r[k]) >= floor]).size:
                 found |= {k, *hit.tolist()}
         for h in sorted(found):
-            yield (*unit, node[h])
+            yield (*unit, node[h], big[h])
 
-    flagged = ws.save(_by_unit(open_, ["node", "comp", "v"], likely_in_unit, "key long, i long, j long, node long").distinct(), "flagged")
+    flagged = ws.save(_by_unit(open_, ["node", "comp", "big", "v"], likely_in_unit, "key long, i long, j long, node long, big boolean").distinct(), "flagged")
     if flagged.limit(1).count():
         more = full_sets(flagged.select("node").distinct().join(wanted, "node", "left_anti"))
         sets = sets.unionByName(more)
         unit_rows = flagged.join(tied, ["key", "node"]).join(sets.withColumnRenamed("v", "full"), "node").join(values, "node")
 
         def confirm(unit, columns) -> Iterator[tuple]:
-            node, comp, full, v = columns
+            node, comp, big, full, v = columns
             r, full = np.stack([np.frombuffer(x, dtype=np.uint16) for x in v]), [np.frombuffer(x, dtype="<u8") for x in full]
             root = {c: c for c in comp}
 
@@ -299,14 +319,14 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", wo
                     root[c] = c = root[root[c]]
                 return c
 
-            for k in range(len(node) - 1):
-                for h in (np.flatnonzero(estimate(r[k + 1 :], r[k]) >= floor) + k + 1).tolist():
+            for k, other in _sides(np.array(comp), np.array(big)):
+                for h in other[estimate(r[other], r[k]) >= floor].tolist():
                     p, q = top(comp[k]), top(comp[h])
                     if p != q and linked(full[k], full[h], percent):
                         root[p] = q
                         yield node[k], node[h]
 
-        new = _by_unit(unit_rows, ["node", "comp", "full", "v"], confirm, "a long, b long").distinct()
+        new = _by_unit(unit_rows, ["node", "comp", "big", "full", "v"], confirm, "a long, b long").distinct()
         links = ws.save(links.unionByName(ws.save(new, "more-links")), "all-links")
         comps = components(ws, links)
     named = classes.select("c1", "c2", "node").join(comps, "node", "left").select("c1", "c2", F.coalesce("comp", "node").alias("comp"))
