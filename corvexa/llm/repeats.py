@@ -32,7 +32,7 @@ LENGTH, GRAM = 100, 32
 #: Bytes of a shard, runs of one anchor that a shard takes, windows of a packed bucket.
 SHARD, HEAVY, BUCKET = 1 << 20, 8192, 400_000
 #: A text is cut into runs by segments of so many bytes, so that memory stays bounded.
-SEGMENT = 4 << 20
+SEGMENT = 1 << 20
 _U = np.uint64
 _LOW = _U((1 << 24) - 1)
 
