@@ -38,8 +38,8 @@ def minhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 def suffix_array_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Takes repeated passages out of the texts, with the rest of a character that a passage's end cuts. No document goes."""
-    out = repeats.kept_text(repeats.remove_repeats(docs.select(*COLUMNS)), "text")
-    return out.withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
+    out = repeats.remove_repeats(docs.select(*COLUMNS), as_text=True)
+    return out.withColumn("text", F.col("kept")).withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes and rows that an Arrow batch to a Python worker holds at most.
-BATCH_BYTES, BATCH_ROWS = 8 << 20, 4096
+BATCH_BYTES, BATCH_ROWS = 2 << 20, 4096
 
 
 def session_of(df: DataFrame) -> SparkSession:
@@ -20,6 +20,33 @@ def bounded_batches(spark: SparkSession) -> None:
     """Bound the Arrow batches, so that long texts cannot fill a Python worker."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    spark.conf.set("spark.sql.parquet.columnarReaderBatchSize", "1024")
+
+
+def _release() -> None:
+    """Give a worker's freed memory back: workers are kept for later tasks, which other operators may bring."""
+    import ctypes
+    import gc
+
+    import pyarrow as pa
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except AttributeError:  # another C library
+        pass
+
+
+def map_batches(df: DataFrame, run, schema) -> DataFrame:
+    """``mapInArrow`` in bounded batches, whose workers return their memory at the end of each task."""
+    bounded_batches(df.sparkSession)
+
+    def released(batches):
+        yield from run(batches)
+        _release()
+
+    return df.mapInArrow(released, schema)
 
 
 def shuffle_width(spark: SparkSession) -> int:

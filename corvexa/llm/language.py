@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from .common import bounded_batches, hash_bound, session_of
+from .common import bounded_batches, hash_bound, map_batches, session_of
 
 NGRAMS = (1, 2, 3, 4)
 #: Labelled rows used at most, of each language and in all; landmarks of each language.
@@ -130,7 +130,7 @@ def train(docs: DataFrame, text: str = "text", lang: str = "lang", key: str = "d
             sets = [grams(t).view(np.int64).tolist() for t in b.column("t").to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column("k"), b.column("l"), pa.array(sets, type=pa.list_(pa.int64()))], names=["k", "l", "g"])
 
-    got = sorted(((r["l"], r["k"] is None, r["k"] or 0, r["g"]) for r in sample.mapInArrow(run, "k long, l string, g array<long>").toLocalIterator() if r["g"]), key=lambda r: r[:3])
+    got = sorted(((r["l"], r["k"] is None, r["k"] or 0, r["g"]) for r in sample.transform(map_batches, run, "k long, l string, g array<long>").toLocalIterator() if r["g"]), key=lambda r: r[:3])
     chosen, used = [], dict.fromkeys(counts, 0)
     for v, _, _, g in got:
         if used[v] < each:
@@ -156,4 +156,4 @@ def predict(docs: DataFrame, model: LanguageModel, text: str = "text") -> DataFr
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(names, type=pa.string()), pa.array(scores, type=pa.float64())], names=[*columns, "lang_pred", "score"])
 
     schema = StructType(docs.schema.fields[:]).add("lang_pred", "string").add("score", "double")
-    return docs.mapInArrow(run, schema)
+    return docs.transform(map_batches, run, schema)

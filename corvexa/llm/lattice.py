@@ -22,7 +22,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql.types import ArrayType, IntegerType, StructType
 
-from .common import bounded_batches, session_of
+from .common import bounded_batches, map_batches, session_of
 from .suffix import mix
 
 META = "▁"
@@ -265,7 +265,7 @@ def sample_segmentations(docs: DataFrame, model: str, seed: int = 1, text: str =
             column = pa.array([None if t is None else g for t, g in zip(texts, got, strict=True)], type=pa.list_(pa.int32()))
             yield pa.RecordBatch.from_arrays([*b.columns, column], names=[*names, "pieces"])
 
-    return docs.mapInArrow(run, StructType(docs.schema.fields[:]).add("pieces", ArrayType(IntegerType())))
+    return docs.transform(map_batches, run, StructType(docs.schema.fields[:]).add("pieces", ArrayType(IntegerType())))
 
 
 def _lists(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -289,7 +289,7 @@ def decode_segmentations(rows: DataFrame, model: str, column: str = "pieces") ->
             texts = [body[x:y].decode("utf-8", "replace") if p else None for p, x, y in zip(b.column(where).is_valid().to_pylist(), ends, ends[1:], strict=False)]
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(texts, type=pa.string())], names=[*names, "decoded"])
 
-    return rows.mapInArrow(run, StructType(rows.schema.fields[:]).add("decoded", "string"))
+    return rows.transform(map_batches, run, StructType(rows.schema.fields[:]).add("decoded", "string"))
 
 
 def with_ids_crc32(rows: DataFrame, column: str = "pieces") -> DataFrame:
@@ -304,4 +304,4 @@ def with_ids_crc32(rows: DataFrame, column: str = "pieces") -> DataFrame:
             crc = [zlib.crc32(ids[x:y]) for x, y in zip(bounds, bounds[1:], strict=False)]
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(crc, type=pa.int64())], names=[*names, "ids_crc32"])
 
-    return rows.mapInArrow(run, StructType(rows.schema.fields[:]).add("ids_crc32", "long"))
+    return rows.transform(map_batches, run, StructType(rows.schema.fields[:]).add("ids_crc32", "long"))

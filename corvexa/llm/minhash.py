@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Workspace, bounded_batches, session_of
+from .common import Workspace, bounded_batches, map_batches, session_of
 from .graph import components
 
 BUCKETS, MANTISSA, ROWS = 125, 10, 5
@@ -143,7 +143,7 @@ def _sets(docs: DataFrame, node: Column, words: int) -> DataFrame:
                 part = b.slice(at, 512)
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array([shingle_set(t, words).tobytes() for t in part.column(1).to_pylist()], type=pa.binary())], names=["node", "v"])
 
-    return docs.select(node.alias("node"), F.col("__t")).mapInArrow(run, "node long, v binary")
+    return docs.select(node.alias("node"), F.col("__t")).transform(map_batches, run, "node long, v binary")
 
 
 def _against_leaders(pairs: DataFrame, values: DataFrame, test, dtype: str) -> DataFrame:
@@ -177,7 +177,7 @@ def _against_leaders(pairs: DataFrame, values: DataFrame, test, dtype: str) -> D
                 p, q = zip(*out, strict=True)
                 yield pa.RecordBatch.from_arrays([pa.array(p, type=pa.int64()), pa.array(q, type=pa.int64())], names=["a", "b"])
 
-    return rows.mapInArrow(run, "a long, b long")
+    return rows.transform(map_batches, run, "a long, b long")
 
 
 def _units(members: DataFrame) -> DataFrame:
@@ -232,7 +232,7 @@ def _by_unit(rows: DataFrame, names: list[str], solve, schema: str) -> DataFrame
         if out := done():
             yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*out, strict=True)], names=columns)
 
-    return rows.mapInArrow(run, schema)
+    return rows.transform(map_batches, run, schema)
 
 
 def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", words: int = 5, percent: int = 85) -> DataFrame:
@@ -259,7 +259,7 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", wo
                 halves = [[None if x is None else int.from_bytes(x[h : h + 8], "little", signed=True) for x in c] for h in (0, 8)]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(s) for s in sets], type=pa.int64()), *[pa.array(h, type=pa.int64()) for h in halves], pa.array(v, type=pa.binary())], names=["k", "n", "c1", "c2", "v"])
 
-    rows = ws.save(docs.mapInArrow(sketch, "k long, n long, c1 long, c2 long, v binary"), "sketches")
+    rows = ws.save(docs.transform(map_batches, sketch, "k long, n long, c1 long, c2 long, v binary"), "sketches")
     with_id = rows.where("c1 IS NOT NULL AND k IS NOT NULL")
     # One class of each shingle set: its smallest id stands for it. Copies are combined before the shuffle.
     classes = ws.save(with_id.groupBy("c1", "c2").agg(F.min(F.struct("k", "v")).alias("x")).select("c1", "c2", F.col("x.k").alias("node"), F.col("x.v").alias("v")), "classes")
@@ -271,7 +271,7 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", wo
             keys = band_keys(r).view(np.int64).ravel()
             yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(np.repeat(b.column(0).to_numpy(), BANDS))], names=["key", "node"])
 
-    bands = values.mapInArrow(banded, "key long, node long")
+    bands = values.transform(map_batches, banded, "key long, node long")
     buckets = bands.groupBy("key").agg(F.min("node").alias("a"), F.max("node").alias("z"), F.count("*").alias("n"), F.bit_xor(F.xxhash64("node")).alias("x")).where("a < z")
     # Of buckets with the same members one is enough.
     buckets = ws.save(buckets.groupBy("a", "z", "n", "x").agg(F.min("key").alias("key")).select("key", "a"), "buckets")

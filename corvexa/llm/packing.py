@@ -21,7 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import bounded_batches, session_of
+from .common import bounded_batches, map_batches, session_of
 
 WINDOW, TIERS = 2048, (256, 512, 1024, 2048)
 #: Tokens of a block, and windows of a step group.
@@ -161,4 +161,4 @@ def pack_documents(docs: DataFrame, tokenizer: str, end_id: int = 1, text: str =
 
     from pyspark.sql import functions as F
 
-    return docs.select(F.col(key).cast("long"), F.col(text).cast("string")).mapInArrow(run, ", ".join(f"{n} {k}" for n, k in fields))
+    return docs.select(F.col(key).cast("long"), F.col(text).cast("string")).transform(map_batches, run, ", ".join(f"{n} {k}" for n, k in fields))

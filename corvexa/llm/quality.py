@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, IntegerType, StructType
 
-from .common import bounded_batches, hash_bound, session_of
+from .common import bounded_batches, hash_bound, map_batches, session_of
 
 #: Labelled documents used at most, and preference pairs drawn from them.
 LABELLED, PAIRS = 6000, 60_000
@@ -107,7 +107,7 @@ def _features(docs: DataFrame, text: str, *kept: Column) -> DataFrame:
             f = [features(t) for t in b.column("__t").to_pylist()]
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(f, type=pa.list_(pa.float64()))], names=columns)
 
-    return rows.mapInArrow(run, schema)
+    return rows.transform(map_batches, run, schema)
 
 
 def train(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_id", label: str = "quality") -> QualityModel:
@@ -138,4 +138,4 @@ def predict(docs: DataFrame, model: QualityModel, text: str = "text") -> DataFra
             s = model.score(np.array([features(t) for t in b.column(where).to_pylist()]).reshape(-1, N_RAW))
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(s), pa.array((s >= 0.5).astype(np.int32))], names=[*names, "score", "predicted"])
 
-    return docs.mapInArrow(run, StructType(docs.schema.fields[:]).add("score", DoubleType()).add("predicted", IntegerType()))
+    return docs.transform(map_batches, run, StructType(docs.schema.fields[:]).add("score", DoubleType()).add("predicted", IntegerType()))

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StructType
 
-from .common import Workspace, bounded_batches, session_of
+from .common import Workspace, bounded_batches, map_batches, session_of
 from .suffix import mix, permuted_lcp, powers, prefix_hash, span_hash, suffix_array
 
 LENGTH, GRAM = 100, 32
@@ -99,7 +99,7 @@ def _cut(docs: DataFrame) -> DataFrame:
             again = ~_changes(*columns[:3])
             yield pa.RecordBatch.from_arrays([*map(pa.array, columns), pa.array(again)], names=["f", "h", "n", "k", "r", "i", "again"])
 
-    return docs.mapInArrow(run, _RUN)
+    return docs.transform(map_batches, run, _RUN)
 
 
 def _settle(rows: DataFrame, width: int) -> DataFrame:
@@ -142,7 +142,7 @@ def _settle(rows: DataFrame, width: int) -> DataFrame:
             last = (f[-1], h[-1], n[-1])
             yield pa.RecordBatch.from_arrays([pa.array(kind), *map(pa.array, out)], names=["kind", "f", "k", "r", "i", "n"])
 
-    return dealt.mapInArrow(run, "kind long, f long, k long, r long, i long, n long")
+    return dealt.transform(map_batches, run, "kind long, f long, k long, r long, i long, n long")
 
 
 def _fetch(docs: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -166,7 +166,7 @@ def _fetch(docs: DataFrame, wanted: DataFrame) -> DataFrame:
 
     names = ["f", "heavy", "k", "r", "i", "n", "s"]
     kinds = [pa.int64(), pa.bool_(), *[pa.int64()] * 4, pa.binary()]
-    return both.mapInArrow(run, "f long, heavy boolean, k long, r long, i long, n long, s binary")
+    return both.transform(map_batches, run, "f long, heavy boolean, k long, r long, i long, n long, s binary")
 
 
 def shard_repeats(strings: list[bytes], n: np.ndarray, k: np.ndarray, r: np.ndarray, i: np.ndarray) -> np.ndarray:
@@ -241,7 +241,7 @@ def _sorted_shards(runs_: DataFrame, width: int) -> DataFrame:
         if held[0]:
             yield solve(len(held[0]))
 
-    return rows.mapInArrow(run, _SPAN)
+    return rows.transform(map_batches, run, _SPAN)
 
 
 def _hashed_windows(runs_: DataFrame, buckets: int) -> DataFrame:
@@ -295,9 +295,9 @@ def _hashed_windows(runs_: DataFrame, buckets: int) -> DataFrame:
                 _, k, r, p = (np.frombuffer(x, dtype=np.int64) for x in cells)
                 yield _stretches(k, r, p)
 
-    packed = runs_.select("k", "r", "i", "n", "s").mapInArrow(pack, "g long, h binary, k binary, r binary, p binary")
-    open_ = packed.where("g >= 0").repartition(buckets, "g").sortWithinPartitions("g").mapInArrow(settle, _SPAN)
-    return open_.unionByName(packed.where("g < 0").mapInArrow(done, _SPAN))
+    packed = runs_.select("k", "r", "i", "n", "s").transform(map_batches, pack, "g long, h binary, k binary, r binary, p binary")
+    open_ = packed.where("g >= 0").repartition(buckets, "g").sortWithinPartitions("g").transform(map_batches, settle, _SPAN)
+    return open_.unionByName(packed.where("g < 0").transform(map_batches, done, _SPAN))
 
 
 def _stretches(k: np.ndarray, r: np.ndarray, p: np.ndarray) -> pa.RecordBatch:
@@ -319,11 +319,12 @@ def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return [tuple(x) for x in out]
 
 
-def remove_repeats(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
+def remove_repeats(docs: DataFrame, text: str = "text", key: str = "doc_id", as_text: bool = False) -> DataFrame:
     """``docs`` with ``n_bytes``, ``spans`` (removed [start, end) byte ranges, in order) and ``kept`` (bytes left).
 
     Null texts count as empty. Earlier means a smaller id, or an earlier start in one document; null ids come first,
-    and rows that share an id are told apart by a row number. Columns of those three names are replaced.
+    and rows that share an id are told apart by a row number. Columns of those three names are replaced. With
+    ``as_text`` the bytes left are a string, without the rest of a character that a removed span has cut.
     """
     spark = session_of(docs)
     bounded_batches(spark)
@@ -369,23 +370,12 @@ def remove_repeats(docs: DataFrame, text: str = "text", key: str = "doc_id") ->
                 n.append(len(body))
                 spans.append([{"start": s, "end": e} for s, e in found])
                 edges = [0, *[v for s in found for v in s], len(body)]
-                kept.append(b"".join(body[s:e] for s, e in zip(edges[::2], edges[1::2], strict=True)))
+                left = b"".join(body[s:e] for s, e in zip(edges[::2], edges[1::2], strict=True))
+                kept.append(left.decode("utf-8", "ignore") if as_text else left)
             kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
-            yield pa.RecordBatch.from_arrays([*b.columns[: len(rest)], pa.array(n, type=pa.int64()), pa.array(spans, type=kind), pa.array(kept, type=pa.binary())], names=names)
+            yield pa.RecordBatch.from_arrays([*b.columns[: len(rest)], pa.array(n, type=pa.int64()), pa.array(spans, type=kind), pa.array(kept, type=pa.string() if as_text else pa.binary())], names=names)
 
     span = StructType().add("start", "long").add("end", "long")
-    schema = StructType(both.schema.fields[: len(rest)]).add("n_bytes", "long").add("spans", ArrayType(span)).add("kept", "binary")
-    return both.mapInArrow(apply, schema)
+    schema = StructType(both.schema.fields[: len(rest)]).add("n_bytes", "long").add("spans", ArrayType(span)).add("kept", "string" if as_text else "binary")
+    return both.transform(map_batches, apply, schema)
 
-
-def kept_text(out: DataFrame, text: str = "text") -> DataFrame:
-    """Results of ``remove_repeats`` with the bytes left as a string ``text``; parts of characters that a removed span has
-    cut are left out."""
-    rest = [c for c in out.columns if c not in {"n_bytes", "spans", "kept"}]
-    rows = out.select(*rest, "kept")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array([v.decode("utf-8", "ignore") for v in b.column(len(rest)).to_pylist()], type=pa.string())], names=[*rest, text])
-
-    return rows.mapInArrow(run, StructType(rows.schema.fields[:-1]).add(text, "string"))

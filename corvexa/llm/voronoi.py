@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Workspace, bounded_batches, hash_bound, session_of
+from .common import Workspace, bounded_batches, hash_bound, map_batches, session_of
 from .vectors import best, valid_vectors
 
 #: Pivots at most, rows that a cell has on average until then, rows of a block, queries of a chunk.
@@ -79,7 +79,7 @@ def exact_top_k(table: DataFrame, k: int = 10, every: int = 100, scale: int = 10
                 away = np.sqrt(((x - centres[cell]) ** 2).sum(axis=1)) * (1 + 1e-9)
                 yield pa.RecordBatch.from_arrays([*b.columns, pa.array(cell), pa.array(away), pa.array(np.sqrt((x**2).sum(axis=1)) * (1 + 1e-9))], names=["id", "v", "cell", "away", "norm"])
 
-    data = ws.save(rows.mapInArrow(assign, "id long, v array<long>, cell long, away double, norm double"), "cells")
+    data = ws.save(rows.transform(map_batches, assign, "id long, v array<long>, cell long, away double, norm double"), "cells")
     cells = sorted(data.groupBy("cell").agg(F.count("*").alias("n"), F.max("away").alias("r"), F.max("norm").alias("m")).collect())
     cell_ids = np.array([c["cell"] for c in cells])
     counts, radius, norm = (np.array([c[x] for c in cells], dtype=np.float64) for x in ("n", "r", "m"))
@@ -103,7 +103,7 @@ def exact_top_k(table: DataFrame, k: int = 10, every: int = 100, scale: int = 10
             picked = b.take(pa.array(one))
             yield pa.RecordBatch.from_arrays([picked.column(0), picked.column(1), pa.array(cell_ids[to])], names=["id", "v", "cell"])
 
-    asked = ws.save(data.where(F.pmod("id", F.lit(every)) == 0).select("id", "v").mapInArrow(route, "id long, v array<long>, cell long"), "asked")
+    asked = ws.save(data.where(F.pmod("id", F.lit(every)) == 0).select("id", "v").transform(map_batches, route, "id long, v array<long>, cell long"), "asked")
     sizes = data.groupBy("cell").agg(F.ceil(F.count("*") / BLOCK).alias("blocks")).join(asked.groupBy("cell").agg(F.ceil(F.count("*") / CHUNK).alias("chunks")), "cell")
     sizes = F.broadcast(sizes)  # a row for each of PIVOTS cells at most
 
@@ -146,4 +146,4 @@ def exact_top_k(table: DataFrame, k: int = 10, every: int = 100, scale: int = 10
         if held:
             yield from done()
 
-    return best(tiles.mapInArrow(solve, "query_id long, vec_id long, score long"), k, ascending=False)
+    return best(tiles.transform(map_batches, solve, "query_id long, vec_id long, score long"), k, ascending=False)
