@@ -75,6 +75,12 @@ class Pieces:
         self.hashes, self.ids, self.weights = h[o], np.array(ids, dtype=np.int32)[o], weight[o]
         self.filter = np.zeros(1 << 20, dtype=bool)
         self.filter[(h & _U((1 << 20) - 1)).astype(np.int64)] = True
+        # Hashes of all beginnings of pieces: a position is followed no further than one of them may go on.
+        sizes = np.array([len(w) for w in words])
+        self.begins = np.zeros(1 << 22, dtype=bool)
+        for m in range(1, self.longest + 1):
+            a = (ends - sizes)[sizes >= m]
+            self.begins[(spans(codes, a, a + m) & _U((1 << 22) - 1)).astype(np.int64)] = True
 
     def find(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Positions of hashes in the vocabulary, and which of them are pieces."""
@@ -124,12 +130,17 @@ class Lattices:
         total = np.zeros(len(codes) + 1, dtype=np.uint64)
         np.cumsum(mix(written + _G) * up[: len(codes)], out=total[1:])
         src, dst, ids, weights = [], [], [], []
+        a = np.arange(len(codes))
         for m in range(1, min(model.longest, int(sizes.max(initial=0))) + 1):
-            a = np.flatnonzero(left >= m)
-            at, hit = model.find(mix((total[a + m] - total[a]) * down[a] + _U(m)))
-            a = a[hit]
-            src.append(node_of_char[a])
-            dst.append(node_of_char[a] + m)
+            a = a[left[a] >= m]
+            h = mix((total[a + m] - total[a]) * down[a] + _U(m))
+            on = model.begins[(h & _U((1 << 22) - 1)).astype(np.int64)]
+            a, h = a[on], h[on]
+            if not len(a):
+                break
+            at, hit = model.find(h)
+            src.append(node_of_char[a[hit]])
+            dst.append(src[-1] + m)
             ids.append(model.ids[at])
             weights.append(model.weights[at])
         # Every character's bytes: id -1 - character number.
@@ -139,33 +150,43 @@ class Lattices:
         ids.append(-1 - np.arange(len(codes)))
         weights.append(model.byte_weight * utf8)
         self.codes, self.utf8 = codes, utf8
-        src, dst, ids, weights = (np.concatenate(c) for c in (src, dst, ids, weights))
-        # Edges by their end's distance from the part's start, then by end.
-        depth = np.zeros(int(self.last[-1]) + 1 if len(parts) else 0, dtype=np.int64)
+        # Edges by their end's distance from the part's start, then by end: ends are ranked once, and each group of
+        # edges, in which an end occurs once, takes the next free place of its ends.
+        nodes = int(self.last[-1]) + 1 if len(parts) else 0
+        depth = np.zeros(nodes, dtype=np.int64)
         depth[node_of_char + 1] = inner + 1
-        o = np.lexsort((src, dst, depth[dst]))
-        self.src, dst, self.ids, weights = src[o], dst[o], ids[o].astype(np.int64), weights[o]
-        forward = np.zeros(len(depth))
-        new = np.flatnonzero(np.concatenate([[True], dst[1:] != dst[:-1]]))
-        count = np.diff(np.append(new, len(dst)))
-        levels = np.searchsorted(depth[dst[new]], np.arange(1, int(depth.max(initial=0)) + 2))
-        share = np.empty(len(dst))
+        count = np.zeros(nodes, dtype=np.int64)
+        for d in dst:
+            count[d] += 1
+        by_depth = np.argsort(depth.astype(np.uint16) if len(depth) and depth.max() < 1 << 16 else depth, kind="stable")
+        by_depth = by_depth[count[by_depth] > 0]
+        count = count[by_depth]
+        new = np.cumsum(count) - count
+        free = np.zeros(nodes, dtype=np.int64)
+        free[by_depth] = new
+        edges = int(count.sum())
+        self.src, self.ids, weight = np.empty(edges, dtype=np.int64), np.empty(edges, dtype=np.int64), np.empty(edges)
+        for x, d, i, w in zip(src, dst, ids, weights, strict=True):
+            at = free[d]
+            self.src[at], self.ids[at], weight[at] = x, i, w
+            free[d] = at + 1
+        weights, forward, share = weight, np.zeros(nodes), np.empty(edges)
+        levels = np.searchsorted(depth[by_depth], np.arange(1, int(depth.max(initial=0)) + 2))
         for lo, hi in zip(levels, levels[1:], strict=False):
-            a, b = int(new[lo]), int(new[hi]) if hi < len(new) else len(dst)
+            a, b = int(new[lo]), int(new[hi]) if hi < len(new) else edges
             value = forward[self.src[a:b]] + weights[a:b]
             heads = new[lo:hi] - a
             top = np.maximum.reduceat(value, heads)
             value = np.exp(value - np.repeat(top, count[lo:hi]))
             sums = np.add.reduceat(value, heads)
-            forward[dst[new[lo:hi]]] = top + np.log(sums)
+            forward[by_depth[lo:hi]] = top + np.log(sums)
             share[a:b] = value / np.repeat(sums, count[lo:hi])
-        # Cumulative shares of an end's edges, plus the end's rank: one sorted array to draw from.
-        self.rank = np.full(len(depth), -1, dtype=np.int64)
-        self.rank[dst[new]] = np.arange(len(new))
+        # Cumulative shares of each end's edges.
+        self.rank = np.full(nodes, -1, dtype=np.int64)
+        self.rank[by_depth] = np.arange(len(new))
         run = np.cumsum(share)
         run -= np.repeat(np.concatenate([[0.0], run])[new], count)
-        self.draw = np.minimum(run, 1.0) + np.repeat(np.arange(len(new)), count)
-        self.lo, self.hi, self.forward = new, new + count - 1, forward
+        self.draw, self.lo, self.hi, self.forward = run, new, new + count - 1, forward
 
     def sample(self, part: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Edges drawn for occurrences of parts, in text order, and how many each occurrence has."""
@@ -175,7 +196,11 @@ class Lattices:
         while len(who):
             u = (mix(key[who] + _U(step + 1) * _G) >> _U(11)).astype(np.float64) * 2.0**-53
             r = self.rank[node[who]]
-            e = np.clip(np.searchsorted(self.draw, r + u, side="right"), self.lo[r], self.hi[r])
+            e, top = self.lo[r], self.hi[r]
+            more = np.flatnonzero((self.draw[e] <= u) & (e < top))
+            while len(more):
+                e[more] += 1
+                more = more[(self.draw[e[more]] <= u[more]) & (e[more] < top[more])]
             edges.append(e)
             owners.append(who)
             node[who] = self.src[e]
@@ -262,7 +287,9 @@ def sample_segmentations(docs: DataFrame, model: str, seed: int = 1, text: str =
                     to += 1
                 got += sample_ids(vocabulary, [t or "" for t in texts[at:to]], keys[at:to], seed)
                 at = to
-            column = pa.array([None if t is None else g for t, g in zip(texts, got, strict=True)], type=pa.list_(pa.int32()))
+            sizes = np.concatenate([[0], np.cumsum([len(g) for g in got])]).astype(np.int32)
+            empty = np.array([t is None for t in texts])
+            column = pa.ListArray.from_arrays(pa.array(sizes), pa.array(np.concatenate([np.zeros(0, np.int32), *got])), mask=pa.array(empty))
             yield pa.RecordBatch.from_arrays([*b.columns, column], names=[*names, "pieces"])
 
     return docs.transform(map_batches, run, StructType(docs.schema.fields[:]).add("pieces", ArrayType(IntegerType())))
