@@ -194,7 +194,7 @@ class Lattices:
         start = self.first[part]
         edges, owners = [], []
         while len(who):
-            u = (mix(key[who] + _U(step + 1) * _G) >> _U(11)).astype(np.float64) * 2.0**-53
+            u = (mix(key[who] + _U((step + 1) * int(_G) % (1 << 64))) >> _U(11)).astype(np.float64) * 2.0**-53
             r = self.rank[node[who]]
             e, top = self.lo[r], self.hi[r]
             more = np.flatnonzero((self.draw[e] <= u) & (e < top))
@@ -250,7 +250,7 @@ def sample_ids(model: Pieces, texts: list[str], keys: np.ndarray, seed: int) ->
     part[is_first] = len(distinct) + where
     lengths = np.fromiter(map(len, parts), dtype=np.int64, count=len(parts))
     number = np.arange(len(code)) - np.repeat(bounds[:-1], np.diff(bounds))
-    key = mix(np.repeat(mix(keys[some] + _U(seed % (1 << 64)) * _G), np.diff(bounds)) + number.astype(np.uint64))
+    key = mix(np.repeat(mix(keys[some] + _U(seed * int(_G) % (1 << 64))), np.diff(bounds)) + number.astype(np.uint64))
     real = lengths[part] > 0
     lattices = Lattices(model, [p or "x" for p in parts])
     edges, n = lattices.sample(part[real], key[real])
