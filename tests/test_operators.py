@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from corvexa.functions import text, u32
-from corvexa.operators import dense, graph, match, parse, reduce, semiring, sets
+from corvexa.operators import dense, graph, hashing, match, parse, reduce, semiring, sets
 from corvexa.operators.scan import prefix_scan
 from corvexa.sources import files
 from corvexa.streaming import windows
@@ -198,3 +198,25 @@ def test_stream_drops_late_rows(spark, tmp_path):
     got = {(r["start"].hour, r["total"]) for r in spark.read.parquet(str(out)).collect()}
     assert (0, 1) in got or (0, 5) in got
     assert windows.net_deltas(spark.createDataFrame([("x", 1), ("x", -1), ("y", 1)], "k string, diff int"), "k").collect()[0]["k"] == "y"
+
+
+def test_blake3_vectors():
+    wave = bytes(k % 251 for k in range(8193))
+    got = [d.hex() for d in hashing.blake3([b"", b"abc", wave[:1024], wave[:1025], wave[:2048], wave[:5 * 1024]])]
+    assert got[:5] == [
+        "af1349b9f5f9a1a6a0404dea36dcc9499bcb25c9adc112b7cc9a93cae41f3262",
+        "6437b3ac38465133ffb63b75273a8db548c558465d79db03fd359c6cd5bd9d85",
+        "42214739f095a406f3fc83deb889744ac00df831c10daa55189b5d121c855af7",
+        "d00278ae47eb27b34faecf67b4fe263f82d5412916c1ffd97c8cb7fb814b8444",
+        "e776b6028c7cd22a4d0ba182a8bf62205d2ef576467e838ed6f2529b85fba24a",
+    ]
+    assert hashing.blake3([]) == []
+
+
+def test_lz4_blocks():
+    assert hashing.lz4_decode(hashing.lz4_literals(b"x" * 1000)) == b"x" * 1000
+    # Four literals, a reference of 4 + 15 + 5 bytes back by 2, five literals.
+    block = bytes([0x4F]) + b"abcd" + bytes([2, 0, 5]) + bytes([0x50]) + b"final"
+    assert hashing.lz4_decode(block) == b"abcd" + b"cd" * 12 + b"final"
+    with pytest.raises(ValueError):
+        hashing.lz4_decode(bytes([0x10]) + b"a" + bytes([9, 0]) + bytes([0x10]) + b"b")
