@@ -149,8 +149,11 @@ def sheaf_diffusion(spark, sf_dir):
 
 @query("SELECT i AS pos, coalesce(max_v, 0) AS v FROM range(3000) r(i) LEFT JOIN (SELECT (p_partkey * 3 + 1) AS t, arg_max(p_size, p_partkey) AS max_v FROM part GROUP BY 1) ON t = i".replace("coalesce(max_v, 0)", "CAST(coalesce(max_v, 0) AS BIGINT)"))
 def functor_apply(spark, sf_dir):
+    """Values moved along a map of positions: every target has its place, and there are 3,000 places at least."""
     p = table(spark, sf_dir, "part", "p_partkey", "p_size")
-    return graph.remap(p.select(F.col("p_partkey").alias("pos"), F.col("p_size").cast("long").alias("v")), p.select(F.col("p_partkey").alias("pos"), (F.col("p_partkey") * 3 + 1).alias("to")), 3000)
+    mapping = p.select(F.col("p_partkey").alias("pos"), (F.col("p_partkey") * 3 + 1).alias("to"))
+    last = mapping.agg(F.max("to")).first()[0]
+    return graph.remap(p.select(F.col("p_partkey").alias("pos"), F.col("p_size").cast("long").alias("v")), mapping, max(3000, (last or 0) + 1))
 
 
 @query(f"WITH t AS ({_TREE}) SELECT node, coalesce(parent, 1) AS idom FROM t")

@@ -27,3 +27,9 @@ def test_lookup_meets_rows_beyond_the_first_200(spark, tmp_path):
     spark.createDataFrame([(k, 1, k) for k in range(700)], "l_orderkey long, l_linenumber long, l_partkey long").write.parquet(f"{tmp_path}/lineitem.parquet")
     got = {r["l_orderkey"]: r["first"] for r in QUERIES["embedding_lookup"](spark, str(tmp_path)).collect()}
     assert got == {k: float(k % 300) for k in range(700)}
+
+
+def test_every_target_has_its_place(spark, tmp_path):
+    spark.range(1500).selectExpr("id AS p_partkey", "CAST(id % 50 + 1 AS INT) AS p_size").write.parquet(f"{tmp_path}/part.parquet")
+    got = {r["pos"]: r["v"] for r in QUERIES["functor_apply"](spark, str(tmp_path)).collect()}
+    assert got == dict.fromkeys(range(4499), 0) | {k * 3 + 1: k % 50 + 1 for k in range(1500)}
