@@ -1,5 +1,7 @@
 """Queries whose SQL covers a part of the table only, against that SQL without the cut."""
 
+import pytest
+
 from corvexa import registry
 
 from .conftest import SMALL, oracle_rows, spark_rows
@@ -33,3 +35,8 @@ def test_every_target_has_its_place(spark, tmp_path):
     spark.range(1500).selectExpr("id AS p_partkey", "CAST(id % 50 + 1 AS INT) AS p_size").write.parquet(f"{tmp_path}/part.parquet")
     got = {r["pos"]: r["v"] for r in QUERIES["functor_apply"](spark, str(tmp_path)).collect()}
     assert got == dict.fromkeys(range(4499), 0) | {k * 3 + 1: k % 50 + 1 for k in range(1500)}
+
+
+@pytest.mark.parametrize("name", ["go_channels", "python_decorators"])
+def test_sources_of_every_part(spark, oracle, name):
+    assert spark_rows(QUERIES[name](spark, SMALL)) == oracle_rows(oracle, whole(name, " WHERE p_partkey % 10 = 0"))
