@@ -3,11 +3,15 @@
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corvexa.functions.arrow import with_columns
 
+#: Rows of a block of vectors.
+BLOCK = 8192
+
 
 def total(v: Column) -> Column:
     return F.aggregate(v, F.lit(0.0), lambda s, x: s + x)
@@ -134,14 +138,51 @@ def rope(v: Column, position: Column, dims: int, base: float = 10_000.0, backwar
 
 
 def nearest(points: DataFrame, queries: DataFrame, k: int, key: str = "id", vector: str = "v") -> DataFrame:
-    """(query, rank, key, distance): exact k nearest of a stated query set; queries are sent to every block of points.
+    """(query, rank, key, distance): exact k nearest of each query, other than itself; ties go to the smaller key.
 
-    The caller bounds the query set: it is broadcast.
+    Blocks of queries meet blocks of points, so neither side is broadcast. A tile picks candidates by a matrix product
+    with a margin for its rounding, and sums the squares of those in the order of the components. Vectors have one length.
     """
     from pyspark.sql import Window
 
-    q = queries.select(F.col(key).alias("query"), F.col(vector).alias("qv"))
-    far = total(F.zip_with(vector, "qv", lambda x, y: (x - y) * (x - y)))
-    pairs = points.select(key, vector).join(F.broadcast(q), F.col(key) != F.col("query")).select("query", key, far.alias("distance"))
+    def cells(n: int) -> int:
+        return max(1, -(-n // BLOCK))
+
+    def blocks(side: DataFrame, own: str, other: str, own_n: int, other_n: int) -> DataFrame:
+        each = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(other_n - 1).cast("long")))
+        return side.select(F.pmod(F.xxhash64(key), F.lit(own_n).cast("long")).alias(own), F.col(key).cast("long").alias("id"), F.col(vector).alias("v")).select(own, "id", "v", each.alias(other))
+
+    def solve(qs: pa.Table, ps: pa.Table) -> pa.Table:
+        (q_ids, q), (p_ids, p) = _rows(qs), _rows(ps)
+        out = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
+        squares = (p * p).sum(axis=1)
+        for at in range(0, len(q) if len(p) else 0, 64):
+            x, own = q[at : at + 64], q_ids[at : at + 64]
+            length = (x * x).sum(axis=1)
+            near = squares - 2 * (x @ p.T) + length[:, None]
+            near[own[:, None] == p_ids] = np.inf
+            kth = np.partition(near, min(k, len(p)) - 1, axis=1)[:, min(k, len(p)) - 1]
+            margin = 1e-9 * (length + squares.max()) + 1e-300
+            one, to = np.nonzero((near <= (kth + margin)[:, None]) & np.isfinite(near))
+            exact = np.zeros(len(one))
+            for j in range(p.shape[1]):
+                exact += (p[to, j] - x[one, j]) ** 2
+            order = np.lexsort((p_ids[to], exact, one))
+            one, to, exact = one[order], to[order], exact[order]
+            keep = np.arange(len(one)) - np.searchsorted(one, one) < k
+            out.append((own[one[keep]], p_ids[to[keep]], exact[keep]))
+        return pa.table({n: np.concatenate(c) for n, c in zip(("query", key, "distance"), zip(*out, strict=True), strict=True)})
+
+    n, m = cells(queries.count()), cells(points.count())
+    asked = blocks(queries, "chunk", "block", n, m).groupBy("chunk", "block")
+    held = blocks(points, "block", "chunk", m, n).groupBy("chunk", "block")
+    pairs = asked.cogroup(held).applyInArrow(solve, f"query long, `{key}` long, distance double")
     rank = F.row_number().over(Window.partitionBy("query").orderBy("distance", key))
     return pairs.withColumn("rank", rank).where(F.col("rank") <= k)
+
+
+def _rows(t: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    """Ids and the matrix of a block's vectors."""
+    v = t.column("v").combine_chunks()
+    flat = (pa.concat_arrays(v.chunks) if isinstance(v, pa.ChunkedArray) else v).flatten().to_numpy(zero_copy_only=False)
+    return t.column("id").to_numpy(), flat.reshape(t.num_rows, -1) if t.num_rows else np.zeros((0, 0))

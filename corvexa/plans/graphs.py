@@ -123,7 +123,7 @@ def ast_walk_postorder(spark, sf_dir):
 @query(f"WITH RECURSIVE {_WALK} SELECT node, list_reverse(path) AS path FROM w WHERE node % 50 = 0")
 def path_reconstruct(spark, sf_dir):
     t = tree(spark, sf_dir)
-    return graph.paths(t.where("node % 50 = 0"), t, 64)
+    return graph.paths(t, t, 64)  # parents halve: 63 steps for the largest long
 
 
 @query(f"""WITH RECURSIVE t AS ({_TREE}), d AS (SELECT node, node AS leaf, parent FROM t WHERE node * 2 > (SELECT max(node) FROM t) UNION ALL SELECT t.node, d.leaf, t.parent FROM d JOIN t ON t.node = d.parent)

@@ -3,6 +3,7 @@
 import pytest
 
 from corvexa import registry
+from corvexa.operators import dense
 
 from .conftest import SMALL, oracle_rows, spark_rows
 
@@ -40,3 +41,20 @@ def test_every_target_has_its_place(spark, tmp_path):
 @pytest.mark.parametrize("name", ["go_channels", "python_decorators"])
 def test_sources_of_every_part(spark, oracle, name):
     assert spark_rows(QUERIES[name](spark, SMALL)) == oracle_rows(oracle, whole(name, " WHERE p_partkey % 10 = 0"))
+
+
+def test_neighbours_of_every_vector(spark, oracle, monkeypatch):
+    monkeypatch.setattr(dense, "BLOCK", 200)
+    assert spark_rows(QUERIES["knn_graph"](spark, SMALL)) == oracle_rows(oracle, whole("knn_graph", "q.id % 100 = 0 AND "))
+
+
+def test_neighbours_of_copies(spark):
+    """Copies at distance 0, in order of their ids; fewer points than asked for."""
+    v = spark.createDataFrame([(k, [float(k // 4), 1.0]) for k in range(12)], "id long, v array<double>")
+    got = {(r["query"], r["rank"]): (r["id"], r["distance"]) for r in dense.nearest(v, v, 3).collect()}
+    assert len(got) == 36 and [got[5, n] for n in (1, 2, 3)] == [(4, 0.0), (6, 0.0), (7, 0.0)]
+    assert dense.nearest(v.where("id < 2"), v.where("id < 3"), 3).count() == 4 and dense.nearest(v.limit(0), v, 3).count() == 0
+
+
+def test_paths_of_every_node(spark, oracle):
+    assert spark_rows(QUERIES["path_reconstruct"](spark, SMALL)) == oracle_rows(oracle, whole("path_reconstruct", " WHERE node % 50 = 0"))
