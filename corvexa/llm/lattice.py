@@ -236,27 +236,32 @@ def sample_ids(model: Pieces, texts: list[str], keys: np.ndarray, seed: int) ->
     out = [np.zeros(0, dtype=np.int32)] * len(texts)
     if not some:
         return out
-    # A part is a run of spaces and what follows up to the next one.
+    # A part is a run of spaces and what follows up to the next run.
     split = pc.split_pattern(pa.array([texts[i] for i in some], type=pa.large_string()), " ")
     words = split.flatten().dictionary_encode()
     code, bounds = words.indices.to_numpy(zero_copy_only=False).astype(np.int64), split.offsets.to_numpy() - split.offsets.to_numpy()[0]
-    # Words after the first carry the space before them; empty words leave a space of their own.
+    # Words after the first carry the space before them; empty words leave theirs to the word after them, if there is one.
     distinct = words.dictionary.to_pylist()
-    is_first = np.zeros(len(code), dtype=bool)
-    is_first[bounds[:-1]] = True
-    plain, where = np.unique(code[is_first], return_inverse=True)
-    parts = [" " + w for w in distinct] + [distinct[c] for c in plain.tolist()]
-    part = code.copy()
-    part[is_first] = len(distinct) + where
+    is_first, is_last = np.zeros(len(code), dtype=bool), np.zeros(len(code), dtype=bool)
+    is_first[bounds[:-1]] = is_last[bounds[1:] - 1] = True
+    empty = np.array([not w for w in distinct], dtype=bool)
+    held = np.flatnonzero(is_first | is_last | ~empty[code])
+    spaces = np.where(is_first[held], 0, np.diff(held, prepend=-1))
+    part = code[held]
+    odd = np.flatnonzero(spaces != 1)
+    plain, where = np.unique(spaces[odd] * len(distinct) + part[odd], return_inverse=True)
+    parts = [" " + w for w in distinct] + [" " * (p // len(distinct)) + distinct[p % len(distinct)] for p in plain.tolist()]
+    part[odd] = len(distinct) + where
     lengths = np.fromiter(map(len, parts), dtype=np.int64, count=len(parts))
-    number = np.arange(len(code)) - np.repeat(bounds[:-1], np.diff(bounds))
-    key = mix(np.repeat(mix(keys[some] + _U(seed * int(_G) % (1 << 64))), np.diff(bounds)) + number.astype(np.uint64))
+    number = (np.arange(len(code)) - np.repeat(bounds[:-1], np.diff(bounds)))[held]
+    whose = np.repeat(np.arange(len(some)), np.diff(bounds))[held]
+    key = mix(mix(keys[some] + _U(seed * int(_G) % (1 << 64)))[whose] + number.astype(np.uint64))
     real = lengths[part] > 0
     lattices = Lattices(model, [p or "x" for p in parts])
     edges, n = lattices.sample(part[real], key[real])
     ids, each = lattices.expand(model, edges)
     ends = np.concatenate([[0], np.cumsum(each)])[np.concatenate([[0], np.cumsum(n)])]
-    text_of = np.repeat(np.arange(len(some)), np.diff(bounds))[real]
+    text_of = whose[real]
     cuts = ends[np.searchsorted(text_of, np.arange(len(some) + 1))]
     ids = ids.astype(np.int32)
     for k, i in enumerate(some):
