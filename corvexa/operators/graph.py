@@ -7,6 +7,8 @@ the adaptive planner splits.
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -34,15 +36,16 @@ def grow(seen: DataFrame, edges: DataFrame, mask: int = -1, backward: bool = Fal
     return seen.select("node").unionByName(new), new
 
 
-def closure(seeds: DataFrame, edges: DataFrame, mask: int = -1, backward: bool = False, rounds: int = 64, by: tuple[str, ...] = ()) -> DataFrame:
+def closure(seeds: DataFrame, edges: DataFrame, mask: int = -1, backward: bool = False, rounds: int | None = None, by: tuple[str, ...] = ()) -> DataFrame:
     """seeds(node[, by...]) and all that is reachable, with ``depth``, the least number of hops.
 
-    ``by`` columns keep several queries apart in one run. A round ends the loop when it finds nothing new.
+    ``by`` columns keep several queries apart in one run. The loop ends with a round that finds nothing new; it is an
+    error if ``rounds``, where given, end before that.
     """
     keys = [*by, "node"]
     frontier = cut(seeds.select(*keys).distinct().withColumn("depth", F.lit(0)))
     parts = [frontier]
-    for n in range(1, rounds + 1):
+    for n in count(1):
         seen = parts[0]
         for p in parts[1:]:
             seen = seen.unionByName(p)
@@ -50,8 +53,9 @@ def closure(seeds: DataFrame, edges: DataFrame, mask: int = -1, backward: bool =
         frontier = cut(new.withColumn("depth", F.lit(n)))
         if frontier.isEmpty():
             return seen
+        if rounds is not None and n > rounds:
+            raise RuntimeError(f"closure: new nodes after {rounds} rounds")
         parts.append(frontier)
-    return seen.unionByName(frontier)
 
 
 def degree_sum(frontier: DataFrame, edges: DataFrame) -> DataFrame:

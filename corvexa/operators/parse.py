@@ -5,9 +5,13 @@ Lexing is one JVM regex per text; patterns over neighbours are windows of one te
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from corvexa.plans.lineage import cut
+
 #: Alternatives in the order in which they are tried.
 TOKENS = r'''"(?:\\.|[^"\\\n])*"|'(?:\\.|[^'\\\n])*'|[A-Za-z_][A-Za-z0-9_]*|[0-9]+\.[0-9]+|0[xX][0-9a-fA-F]+|[0-9]+|<<=|>>=|\.\.\.|->|\+\+|--|<<|>>|<=|>=|==|!=|&&|\|\||[-+*/%&|^]=|##|[-+*/%&|^~!=<>#?:;,.(){}\[\]\\@$`]'''
 KEYWORDS = ("if", "else", "for", "while", "do", "return", "break", "continue", "switch", "case", "default", "goto", "sizeof", "typedef", "struct", "union", "enum", "static", "const", "void", "int", "char", "long", "short", "float", "double", "unsigned", "signed")
@@ -87,15 +91,21 @@ def directives(lines: DataFrame, line: str) -> DataFrame:
     return lines.where(d != "").select("*", d.alias("directive"), name.alias("name"), params.alias("params"), body.alias("body"), x.rlike(r"^\s*#\s*include\s*<").alias("system"))
 
 
-def expand_macros(toks: DataFrame, macros: DataFrame, key: str, rounds: int = 8) -> DataFrame:
-    """Tokens with object macros (name, body: array of tokens) put in; repeated up to ``rounds`` times for nested ones.
+def expand_macros(toks: DataFrame, macros: DataFrame, key: str, rounds: int | None = None) -> DataFrame:
+    """Tokens with object macros (name, body: array of tokens) put in; repeated for nested ones until none is left.
 
-    A macro isn't expanded inside of its own expansion. Positions are renumbered at the end.
+    A macro isn't expanded inside of its own expansion, so this ends; it is an error if ``rounds``, where given, end
+    before that. Positions are renumbered at the end.
     """
     now = toks.select(key, F.array(F.col("pos")).alias("at"), "token", F.array().cast("array<string>").alias("from"))
-    for _ in range(rounds):
+    for n in count():
         m = macros.select(F.col("name").alias("token"), "body")
         joined = now.join(m, "token", "left").withColumn("go", F.col("body").isNotNull() & ~F.array_contains("from", F.col("token")))
+        joined = cut(joined)
+        if joined.where("go").isEmpty():
+            break
+        if rounds is not None and n >= rounds:
+            raise RuntimeError(f"expand_macros: macros are left after {rounds} rounds")
         body = F.when(F.col("go"), F.transform("body", lambda t, i: F.struct(F.concat("at", F.array(i.cast("long"))).alias("at"), t.alias("token")))).otherwise(F.array(F.struct(F.col("at").alias("at"), F.col("token").alias("token"))))
         source = F.when(F.col("go"), F.array_append("from", F.col("token"))).otherwise(F.col("from"))
         now = joined.select(key, F.explode(body).alias("e"), source.alias("from")).select(key, "e.at", "e.token", "from")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 from collections.abc import Callable
+from itertools import count
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -45,21 +46,23 @@ def product(a: DataFrame, b: DataFrame, ring: str) -> DataFrame:
     return both.groupBy("i", "j").agg(r.plus(r.times(F.col("x"), F.col("y"))).alias("v"))
 
 
-def lineage_closure(state: DataFrame, rules: DataFrame, rounds: int = 64) -> tuple[DataFrame, int]:
+def lineage_closure(state: DataFrame, rules: DataFrame, rounds: int | None = None) -> tuple[DataFrame, int]:
     """(i, k, v) cells of a right-linear closure: state joined with rules until nothing changes, and the round of that.
 
-    Cells are lineage masks; only cells that changed are joined again (semi-naive).
+    Cells are lineage masks; only cells that changed are joined again (semi-naive). It is an error if ``rounds``, where
+    given, end before that.
     """
     total = cut(state.select("i", "k", "v"))
     delta = total
-    for n in range(rounds):
+    for n in count():
         new = product(delta, rules, "lineage").where("v <> 0").withColumnRenamed("j", "k")
         grown = new.join(total.withColumnRenamed("v", "old"), ["i", "k"], "left").where("old IS NULL OR (v | old) <> old")
         delta = cut(grown.select("i", "k", F.col("v").bitwiseOR(F.coalesce("old", F.lit(0).cast("long"))).alias("v")))
         if delta.isEmpty():
             return total, n
+        if rounds is not None and n >= rounds:
+            raise RuntimeError(f"lineage_closure: cells change after {rounds} rounds")
         total = cut(total.unionByName(delta).groupBy("i", "k").agg(F.bit_or("v").alias("v")))
-    return total, rounds
 
 
 def merge_intervals(lo_a: Column, hi_a: Column, lo_b: Column, hi_b: Column) -> tuple[Column, Column]:

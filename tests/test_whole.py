@@ -9,7 +9,7 @@ import pytest
 
 from corvexa import registry
 from corvexa.llm import lattice, queries
-from corvexa.operators import dense
+from corvexa.operators import dense, graph, parse, semiring
 
 from .conftest import SMALL, oracle_rows, spark_rows
 
@@ -97,3 +97,29 @@ def test_runs_of_spaces_follow_the_lattice(text):
     assert set(got) <= set(p)
     for ids, share in p.items():
         assert abs(got[ids] / n - share) < 5 * math.sqrt(share * (1 - share) / n) + 1e-3, ids
+
+
+def test_taint_goes_on_beyond_twelve_hops(spark, tmp_path):
+    chain = [111, *[p for p in range(3, 300, 6) if p % 7 != 3 and p % 11 != 1][:14]]
+    rows = [(p, (to - 3 * p) % 300) for p, to in zip(chain, [*chain[1:], chain[-1]], strict=True)]
+    spark.createDataFrame(rows + [(0, 0)] * (300 - len(rows)), "p_partkey long, p_size int").write.parquet(f"{tmp_path}/part.parquet")
+    got = {r["node"]: r["depth"] for r in QUERIES["taint_closure_sanitized"](spark, str(tmp_path)).collect()}
+    assert got == {p: k for k, p in enumerate(chain)}
+
+
+def test_loops_end_by_themselves_or_say_so(spark):
+    e = spark.createDataFrame([(k, k + 1, 1) for k in range(4)], "src long, dst long, kind int")
+    one = spark.createDataFrame([(0,)], "node long")
+    assert graph.closure(one, e, rounds=4).count() == 5
+    with pytest.raises(RuntimeError):
+        graph.closure(one, e, rounds=2)
+    toks = parse.tokens(spark.createDataFrame([(1, "M0 ;")], "k long, s string"), "k", "s")
+    macros = spark.createDataFrame([(f"M{k}", [f"M{k + 1}"]) for k in range(9)], "name string, body array<string>")
+    assert [r["token"] for r in parse.expand_macros(toks, macros, "k").orderBy("pos").collect()] == ["M9", ";"]
+    with pytest.raises(RuntimeError):
+        parse.expand_macros(toks, macros, "k", 3)
+    state = spark.createDataFrame([(0, 0, 1)], "i long, k long, v long")
+    rules = spark.createDataFrame([(k, k + 1, 2) for k in range(5)], "k long, j long, v long")
+    assert semiring.lineage_closure(state, rules)[0].count() == 6
+    with pytest.raises(RuntimeError):
+        semiring.lineage_closure(state, rules, 2)
