@@ -12,7 +12,7 @@ from itertools import count
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from corvexa.plans.lineage import cut
+from corvexa.plans.lineage import Workspace, cut
 
 
 def of_kind(edges: DataFrame, mask: int) -> DataFrame:
@@ -22,8 +22,9 @@ def of_kind(edges: DataFrame, mask: int) -> DataFrame:
 def hop(frontier: DataFrame, edges: DataFrame, mask: int = -1, backward: bool = False, by: tuple[str, ...] = ()) -> DataFrame:
     """Nodes one edge away from frontier(node[, by...]), along edges whose kind meets the mask."""
     near, far = ("dst", "src") if backward else ("src", "dst")
-    steps = of_kind(edges, mask).select(F.col(near).alias("node"), F.col(far).alias("__to"))
-    return frontier.join(steps, "node").select(*by, F.col("__to").alias("node")).distinct()
+    within = [c for c in by if c in edges.columns]
+    steps = (of_kind(edges, mask) if "kind" in edges.columns else edges).select(*within, F.col(near).alias("node"), F.col(far).alias("__to"))
+    return frontier.join(steps, [*within, "node"]).select(*by, F.col("__to").alias("node")).distinct()
 
 
 def hop_excluding(frontier: DataFrame, edges: DataFrame, excluded: DataFrame, mask: int = -1) -> DataFrame:
@@ -36,47 +37,70 @@ def grow(seen: DataFrame, edges: DataFrame, mask: int = -1, backward: bool = Fal
     return seen.select("node").unionByName(new), new
 
 
-def closure(seeds: DataFrame, edges: DataFrame, mask: int = -1, backward: bool = False, rounds: int | None = None, by: tuple[str, ...] = ()) -> DataFrame:
+#: Tables of earlier rounds that a closure keeps apart before they become one.
+_PARTS = 8
+
+
+def closure(seeds: DataFrame, edges: DataFrame, mask: int = -1, backward: bool = False, rounds: int | None = None, by: tuple[str, ...] = (), known: DataFrame | None = None) -> DataFrame:
     """seeds(node[, by...]) and all that is reachable, with ``depth``, the least number of hops.
 
-    ``by`` columns keep several queries apart in one run. The loop ends with a round that finds nothing new; it is an
-    error if ``rounds``, where given, end before that.
+    ``by`` columns keep several queries apart in one run; edges that have them stay within their query. ``known``
+    (by..., node, depth) is a closure from before: a warm start from it follows only what is new. The loop ends with
+    a round that finds nothing new; it is an error if ``rounds``, where given, end before that.
     """
     keys = [*by, "node"]
-    frontier = cut(seeds.select(*keys).distinct().withColumn("depth", F.lit(0)))
-    parts = [frontier]
+    frontier = seeds.select(*keys).distinct()
+    if known is not None:
+        frontier = frontier.join(known.select(*keys), keys, "left_anti")
+    ws = Workspace(seeds.sparkSession, "closure")
+    frontier = ws.save(frontier.withColumn("depth", F.lit(0)))
+    parts = [*([] if known is None else [known.select(*keys, "depth")]), frontier]
     for n in count(1):
-        seen = parts[0]
-        for p in parts[1:]:
-            seen = seen.unionByName(p)
-        new = hop(frontier, edges, mask, backward, by).join(seen.select(*keys), keys, "left_anti")
-        frontier = cut(new.withColumn("depth", F.lit(n)))
+        if len(parts) > _PARTS:
+            old, parts = parts, [ws.save(_union(parts))]
+            ws.drop(*[p for p in old if p is not frontier])
+        new = hop(frontier, edges, mask, backward, by).join(_union(parts).select(*keys), keys, "left_anti")
+        frontier = ws.save(new.withColumn("depth", F.lit(n)))
         if frontier.isEmpty():
-            return seen
+            return _union(parts)
         if rounds is not None and n > rounds:
             raise RuntimeError(f"closure: new nodes after {rounds} rounds")
         parts.append(frontier)
 
 
+def _union(parts: list[DataFrame]) -> DataFrame:
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
 def degree_sum(frontier: DataFrame, edges: DataFrame) -> DataFrame:
     return frontier.join(edges.select(F.col("src").alias("node")), "node").agg(F.count("*").alias("degree"))
 
 
-def components(edges: DataFrame, rounds: int = 64) -> DataFrame:
-    """(node, component): the smallest node id that is connected. Labels jump: each round joins a node with the best
-    label among its neighbours and then with its label's own label, so long chains shrink by a factor a round."""
-    both = cut(edges.select("src", "dst").unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).where("src <> dst").distinct())
-    labels = cut(both.groupBy(F.col("src").alias("node")).agg(F.least(F.min("dst"), F.first("src")).alias("component")))
-    for _ in range(rounds):
-        near = both.join(labels.select(F.col("node").alias("dst"), "component"), "dst").groupBy(F.col("src").alias("node")).agg(F.min("component").alias("other"))
-        low = labels.join(near, "node").select("node", "component", F.least("component", "other").alias("low"))
-        jump = low.select(F.col("node").alias("low"), F.col("low").alias("lower"))
-        moved = low.join(jump, "low", "left").select("node", "component", F.least("low", "lower").alias("new"))
-        moved = cut(moved)
-        if moved.where("new <> component").isEmpty():
-            break
-        labels = moved.select("node", F.col("new").alias("component"))
-    return labels
+def components(edges: DataFrame, a: str = "src", b: str = "dst") -> DataFrame:
+    """(node, component) of every node of an edge between two nodes: the smallest node id that is connected.
+
+    Alternating large-star and small-star rounds, until a round changes nothing: O(log^2 n) of them at most. Each is
+    aggregations and equi-joins over the edges, written to the shared folder; minima are combined before the shuffle.
+    """
+    ws = Workspace(edges.sparkSession, "components")
+    e = ws.save(edges.where(F.col(a) != F.col(b)).select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct(), "edges")
+    seen = None
+    while True:
+        both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        large = ws.save(both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct(), "large")
+        low = large.groupBy("u").agg(F.min("v").alias("m"))
+        small = large.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        new = ws.save(small.unionByName(low.select("u", F.col("m").alias("v"))).distinct(), "small")
+        now = new.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first()
+        ws.drop(e, large)
+        e = new
+        if now == seen:
+            return e.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(e.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
+        seen = now
 
 
 def same_component(forward: DataFrame, backward: DataFrame, pivot: int) -> DataFrame:
@@ -84,31 +108,89 @@ def same_component(forward: DataFrame, backward: DataFrame, pivot: int) -> DataF
     return forward.select("node").join(backward.select("node"), "node", "left_semi").withColumn("component", F.lit(pivot).cast("long"))
 
 
-def levels(edges: DataFrame, rounds: int = 10_000) -> DataFrame:
-    """(node, level) of an acyclic graph: the longest way from a source. Nodes on cycles get no row."""
-    left = cut(edges.select("src", "dst").distinct())
-    nodes = cut(left.select(F.col("src").alias("node")).unionByName(left.select(F.col("dst").alias("node"))).distinct())
-    done = None
-    for n in range(rounds):
-        ready = nodes.join(left.select(F.col("dst").alias("node")), "node", "left_anti").withColumn("level", F.lit(n))
-        ready = cut(ready)
-        if ready.isEmpty():
+def strong_components(edges: DataFrame) -> DataFrame:
+    """(node, component) of every node of a directed graph: the smallest id of its strongly connected component.
+
+    In turns: nodes without edges in or out are components of their own; of the rest, each takes the largest id that
+    reaches it as its colour, and what reaches a colour's root backward within the colour is one component. Every
+    turn takes out a component of each colour at least, so the loop ends by itself.
+    """
+    ws = Workspace(edges.sparkSession, "strong")
+    e = ws.save(edges.select("src", "dst").where("src <> dst").distinct(), "edges")
+    nodes = ws.save(edges.select(F.explode(F.array("src", "dst")).alias("node")).distinct(), "nodes")
+    found: list[DataFrame] = []
+    while True:
+        # Trim to nodes that have edges both ways.
+        while True:
+            ends = e.select(F.col("src").alias("node")).join(e.select(F.col("dst").alias("node")), "node", "left_semi").distinct()
+            kept = ws.save(e.join(ends.withColumnRenamed("node", "src"), "src", "left_semi").join(ends.withColumnRenamed("node", "dst"), "dst", "left_semi"), "kept")
+            done = kept.count() == e.count()
+            ws.drop(e)
+            e = kept
+            if done:
+                break
+        if e.isEmpty():
             break
-        done = ready if done is None else done.unionByName(ready)
-        gone = ready.select("node")
-        nodes = cut(nodes.join(gone, "node", "left_anti"))
-        left = cut(left.join(gone.withColumnRenamed("node", "src"), "src", "left_anti"))
-    return done if done is not None else nodes.withColumn("level", F.lit(0)).limit(0)
+        colour = ws.save(e.select(F.col("src").alias("node")).distinct().withColumn("colour", F.col("node")), "colour")
+        fresh = colour
+        while not fresh.isEmpty():
+            sent = e.join(fresh.withColumnRenamed("node", "src"), "src").groupBy(F.col("dst").alias("node")).agg(F.max("colour").alias("other"))
+            fresh = ws.save(sent.join(colour, "node").where("other > colour").select("node", F.col("other").alias("colour")), "fresh")
+            new = ws.save(colour.unionByName(fresh).groupBy("node").agg(F.max("colour").alias("colour")), "colour")
+            ws.drop(colour)
+            colour = new
+        inner = e.join(colour.withColumnRenamed("node", "src"), "src").join(colour.select(F.col("node").alias("dst"), F.col("colour").alias("__c")), "dst").where("colour = __c").select("colour", "src", "dst")
+        inner = ws.save(inner, "inner")
+        back = closure(colour.where("node = colour"), inner, backward=True, by=("colour",))
+        part = ws.save(back.select("node", "colour"), "part")
+        found.append(part)
+        gone = part.select("node")
+        rest = ws.save(e.join(gone.withColumnRenamed("node", "src"), "src", "left_anti").join(gone.withColumnRenamed("node", "dst"), "dst", "left_anti"), "edges")
+        ws.drop(e, inner, colour)
+        e = rest
+    alone = nodes if not found else nodes.join(_union(found).select("node"), "node", "left_anti")
+    out = alone.withColumn("component", F.col("node"))
+    if not found:
+        return out
+    whole = _union(found)
+    least = whole.groupBy("colour").agg(F.min("node").alias("component"))
+    return out.unionByName(whole.join(least, "colour").select("node", "component"))
+
+
+def levels(edges: DataFrame, rounds: int | None = None) -> DataFrame:
+    """(node, level) of an acyclic graph: the longest way from a source. Nodes on cycles, or below one, get no row.
+
+    Each round takes the nodes whose predecessors are all done, and subtracts their edges from the open in-degrees of
+    what they point to; only open nodes are written again. It is an error if ``rounds``, where given, end before.
+    """
+    ws = Workspace(edges.sparkSession, "levels")
+    e = ws.save(edges.select("src", "dst").distinct(), "edges")
+    degree = e.groupBy(F.col("dst").alias("node")).agg(F.count("*").alias("d"))
+    open_ = ws.save(degree, "open")
+    ready = ws.save(e.select(F.col("src").alias("node")).distinct().join(open_, "node", "left_anti").withColumn("level", F.lit(0)), "ready")
+    done = [ready]
+    for n in count(1):
+        sent = e.join(ready.select(F.col("node").alias("src")), "src").groupBy(F.col("dst").alias("node")).agg(F.count("*").alias("c"))
+        left = ws.save(open_.join(sent, "node", "left").select("node", (F.col("d") - F.coalesce("c", F.lit(0))).alias("d")), "left")
+        ready = ws.save(left.where("d = 0").select("node").withColumn("level", F.lit(n)), "ready")
+        if ready.isEmpty():
+            return _union(done)
+        if rounds is not None and n > rounds:
+            raise RuntimeError(f"levels: open nodes after {rounds} rounds")
+        done.append(ready)
+        new = ws.save(left.where("d > 0"), "open")
+        ws.drop(open_, left)
+        open_ = new
 
 
-def tree_order(tree: DataFrame, post: bool = False, rounds: int = 10_000) -> DataFrame:
+def tree_order(tree: DataFrame, post: bool = False) -> DataFrame:
     """(node, place) of tree(node, parent, ord), whose roots have a null parent, in preorder or postorder from 0.
 
     Depths go down level by level, sizes come up, places go down again; each level is joins and one window over the
     children of a node. Several roots are walked in the order of ``ord``.
     """
     found = [cut(tree.where("parent IS NULL").select("node", "parent", "ord"))]
-    while len(found) < rounds:
+    while True:
         new = cut(tree.select("node", "parent", "ord").join(found[-1].select(F.col("node").alias("parent")), "parent", "left_semi"))
         if new.isEmpty():
             break
@@ -137,7 +219,7 @@ def tree_order(tree: DataFrame, post: bool = False, rounds: int = 10_000) -> Dat
     return out
 
 
-def fold_levels(tree: DataFrame, value: str, how, rounds: int = 10_000) -> DataFrame:
+def fold_levels(tree: DataFrame, value: str, how) -> DataFrame:
     """(node, value) where inner nodes hold ``how`` of their children's values: a bottom-up wave over the depths.
 
     ``tree``: node, parent, depth and the value of leaves. ``how`` is an aggregate of the children's values.
@@ -154,21 +236,24 @@ def fold_levels(tree: DataFrame, value: str, how, rounds: int = 10_000) -> DataF
     return out
 
 
-def paths(targets: DataFrame, parents: DataFrame, max_depth: int) -> DataFrame:
-    """(node, path): parent pointers followed from each target, target first, at most ``max_depth`` steps."""
-    out = now = cut(targets.select("node", F.col("node").alias("end"), F.array("node").alias("path")))
-    done = []
-    for _ in range(max_depth):
-        new = now.join(parents.select(F.col("node").alias("end"), "parent"), "end", "left")
-        new = cut(new.select("node", F.col("parent").alias("end"), F.when(F.col("parent").isNotNull(), F.concat("path", F.array("parent"))).otherwise(F.col("path")).alias("path")))
-        done.append(new.where("end IS NULL").select("node", "path"))
-        now = new.where("end IS NOT NULL")
+def paths(targets: DataFrame, parents: DataFrame, max_depth: int | None = None) -> DataFrame:
+    """(node, path): parent pointers followed from each target to its root, target first.
+
+    A pointer back into its own path is an error, and so is a path that goes on beyond ``max_depth`` steps, where given.
+    """
+    now = cut(targets.select("node", F.col("node").alias("end"), F.array("node").alias("path")))
+    done: list[DataFrame] = []
+    for n in count(1):
+        step = now.join(parents.select(F.col("node").alias("end"), "parent"), "end", "left")
+        step = cut(step.select("node", F.col("parent").alias("end"), "path", F.coalesce(F.array_contains("path", F.col("parent")), F.lit(False)).alias("back")))
+        if not step.where("back").isEmpty():
+            raise RuntimeError("paths: the parent pointers have a cycle")
+        done.append(step.where("end IS NULL").select("node", "path"))
+        now = step.where("end IS NOT NULL").select("node", "end", F.concat("path", F.array("end")).alias("path"))
         if now.isEmpty():
-            break
-    out = now.select("node", "path")
-    for d in done:
-        out = out.unionByName(d)
-    return out
+            return _union(done)
+        if max_depth is not None and n > max_depth:
+            raise RuntimeError(f"paths: open paths after {max_depth} steps")
 
 
 def triangles(edges: DataFrame) -> DataFrame:
@@ -200,7 +285,8 @@ def remap(source: DataFrame, mapping: DataFrame, width: int) -> DataFrame:
 
 
 def dominators(edges: DataFrame, root: int, graph: str | None = None) -> DataFrame:
-    """(node, idom) of the nodes that ``root`` reaches. A flow graph is one group (a function); groups run in parallel."""
+    """(node, idom) of the nodes that ``root`` reaches. A flow graph is one group, named by the column ``graph``: one
+    function of a program, which fits a task; groups run in parallel. Without ``graph`` the edges are one function."""
     import pandas as pd
 
     keyed = edges if graph else edges.withColumn("__g", F.lit(0))

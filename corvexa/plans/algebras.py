@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from corvexa.functions import algebra
 from corvexa.functions.arrow import with_columns
 from corvexa.operators import graph, hashing
-from corvexa.plans.graphs import _SMALL, _TREE, pairs, tree
+from corvexa.plans.graphs import _EVEN, _PAIRS, _TREE, pairs, tree
 from corvexa.plans.lineage import cut
 from corvexa.plans.numerics import _V, vectors
 from corvexa.plans.texts import raw
@@ -55,13 +55,15 @@ def mlp_gradients(spark, sf_dir):
     return vectors(spark, sf_dir).select("id", *[(F.round(c, 6) + 0).alias(n) for n, c in zip(("dx", "dw1", "dw2"), g, strict=True)])
 
 
-_E = f"{_SMALL}, e AS (SELECT DISTINCT least(a, b) AS a, greatest(a, b) AS b FROM (SELECT src % 150 AS a, dst % 150 AS b FROM pairs) WHERE a <> b)"
+_E = f"{_PAIRS}, {_EVEN}"
 
 
-@query(f"WITH RECURSIVE {_E}, t AS (SELECT a, b FROM e UNION SELECT b, a FROM e), w AS (SELECT DISTINCT a AS node, a AS label FROM t UNION SELECT t.b, w.label FROM w JOIN t ON t.a = w.node WHERE w.label < t.b), c AS (SELECT node, min(label) AS label FROM w GROUP BY node) SELECT count(DISTINCT label) AS components, (SELECT count(*) FROM e) - count(*) + count(DISTINCT label) AS cycles FROM c")
+@query(f"""WITH RECURSIVE {_E}, t AS (SELECT a, b FROM e UNION SELECT b, a FROM e), w(node, label) USING KEY (node) AS (SELECT DISTINCT a, a FROM t UNION
+ SELECT t.b, min(w.label) FROM w JOIN t ON t.a = w.node JOIN recurring.w r ON r.node = t.b WHERE w.label < r.label GROUP BY t.b)
+SELECT count(DISTINCT label) AS components, (SELECT count(*) FROM e) - count(*) + count(DISTINCT label) AS cycles FROM w""")
 def betti_numbers(spark, sf_dir):
     """Components and independent cycles of a graph."""
-    e = cut(pairs(spark, sf_dir).select(F.least(F.col("src") % 150, F.col("dst") % 150).alias("src"), F.greatest(F.col("src") % 150, F.col("dst") % 150).alias("dst")).where("src <> dst").distinct())
+    e = cut(pairs(spark, sf_dir).select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")).where("src <> dst").distinct())
     c = graph.components(e).agg(F.countDistinct("component").alias("components"), F.count("*").alias("n"))
     both = c.crossJoin(F.broadcast(e.agg(F.count("*").alias("m"))))  # one row each
     return both.select("components", (F.col("m") - F.col("n") + F.col("components")).alias("cycles"))
@@ -70,7 +72,7 @@ def betti_numbers(spark, sf_dir):
 @query(f"WITH {_E}, t AS (SELECT x.a, x.b, y.b AS c FROM e x JOIN e y ON y.a = x.b JOIN e z ON z.a = x.a AND z.b = y.b) SELECT node, CAST(sum(m) AS BIGINT) AS message FROM (SELECT unnest([a, b, c]) AS node, a * b % 97 + c AS m FROM t) GROUP BY node")
 def triangle_messages(spark, sf_dir):
     """Messages of triangles summed at their corners."""
-    t = graph.triangles(pairs(spark, sf_dir).select((F.col("src") % 150).alias("src"), (F.col("dst") % 150).alias("dst")))
+    t = graph.triangles(pairs(spark, sf_dir))
     m = F.col("a") * F.col("b") % 97 + F.col("c")
     return t.select(F.explode(F.array("a", "b", "c")).alias("node"), m.alias("m")).groupBy("node").agg(F.sum("m").alias("message"))
 

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corvexa.operators import flow, graph
+from corvexa.plans.graphs import walk_sql
 from corvexa.registry import query, table
 
 _N = "nodes AS (SELECT p_partkey AS node, p_size % 20 AS kind, CAST(1 AS BIGINT) << (p_partkey % 6) AS tags FROM part)"
@@ -107,7 +108,7 @@ def aliases_dataflow(spark, sf_dir):
     return flow.aliases(x, y, edges(spark, sf_dir))
 
 
-@query(_sql("SELECT node, depth FROM (SELECT node, min(depth) AS depth FROM w GROUP BY node)").replace("WITH ", "WITH RECURSIVE ", 1).replace(" SELECT node, depth FROM (", ", w AS (SELECT node, 0 AS depth FROM x UNION SELECT e.dst, depth + 1 FROM w JOIN (SELECT src, dst FROM edges WHERE kind & 1 <> 0 AND src NOT IN (SELECT node FROM z)) e ON e.src = w.node WHERE depth < 12) SELECT node, depth FROM (", 1))
+@query(_sql("SELECT node, depth FROM w").replace("WITH ", "WITH RECURSIVE ", 1).replace(" SELECT node, depth FROM w", ", " + walk_sql("w", "SELECT node, 0 FROM x", "(SELECT src, dst FROM edges WHERE kind & 1 <> 0 AND src NOT IN (SELECT node FROM z))") + " SELECT node, depth FROM w", 1))
 def taint_closure_sanitized(spark, sf_dir):
     """The taint step driven to its fixpoint: sanitizers are reached but pass nothing on."""
     x, _, z = _sets(spark, sf_dir)

@@ -86,14 +86,14 @@ def macro_expansion(spark, sf_dir):
     return parse.expand_macros(parse.tokens(e, "k", "s"), macros, "k", rounds=3)
 
 
-@query("SELECT p_partkey AS k, unnest(['send', 'receive', 'make']) AS kind, unnest(['ch' || p_size, 'in' || p_partkey, 'int']) AS operand FROM part WHERE p_partkey % 10 = 0")
+@query("SELECT p_partkey AS k, unnest(['send', 'receive', 'make']) AS kind, unnest(['ch' || p_size, 'in' || p_partkey, 'int']) AS operand FROM part")
 def go_channels(spark, sf_dir):
     p = table(spark, sf_dir, "part", "p_partkey", "p_size")
     s = F.concat(F.lit("ch"), "p_size", F.lit(" <- 1; x := <-in"), "p_partkey", F.lit("; c := make(chan int, 4)"))
     return parse.channels(p.select(F.col("p_partkey").alias("k"), s.alias("s")), "k", "s")
 
 
-@query("SELECT p_partkey AS k, unnest(['cached', 'app.route']) AS name, 'f' || p_size AS target FROM part WHERE p_partkey % 10 = 0")
+@query("SELECT p_partkey AS k, unnest(['cached', 'app.route']) AS name, 'f' || p_size AS target FROM part")
 def python_decorators(spark, sf_dir):
     p = table(spark, sf_dir, "part", "p_partkey", "p_size")
     s = F.concat(F.lit("import x\n@cached\n@app.route('/a')\ndef f"), "p_size", F.lit("(a, b=1):\n    return a\n"))

@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 from corvexa.operators import semiring
 from corvexa.registry import query, table
 
-_A = "SELECT l_suppkey % 40 AS i, l_partkey % 60 AS k, CAST(max(l_quantity) AS BIGINT) AS v FROM lineitem WHERE (l_suppkey + l_partkey) % 3 = 0 GROUP BY 1, 2"
-_B = "SELECT p_partkey % 60 AS k, p_size % 25 AS j, max(p_partkey % 97) + 1 AS v FROM part GROUP BY 1, 2"
+_A = "SELECT l_suppkey AS i, l_partkey AS k, CAST(max(l_quantity) AS BIGINT) AS v FROM lineitem GROUP BY 1, 2"
+_B = "SELECT p_partkey AS k, p_size AS j, p_partkey % 97 + 1 AS v FROM part"
 _PARTS = {
     "real": ("CAST(sum(x * y) % 4294967296 AS BIGINT)", "BIGINT"),
     "min_plus": ("min(least(x + y, 4294967295))", ""),
@@ -23,8 +23,8 @@ _PARTS = {
 
 def _matrices(spark, sf_dir):
     l, p = table(spark, sf_dir, "lineitem", "l_suppkey", "l_partkey", "l_quantity"), table(spark, sf_dir, "part", "p_partkey", "p_size")
-    a = l.where((F.col("l_suppkey") + F.col("l_partkey")) % 3 == 0).groupBy((F.col("l_suppkey") % 40).alias("i"), (F.col("l_partkey") % 60).alias("k")).agg(F.max("l_quantity").cast("long").alias("v"))
-    b = p.groupBy((F.col("p_partkey") % 60).alias("k"), (F.col("p_size").cast("long") % 25).alias("j")).agg((F.max(F.col("p_partkey") % 97) + 1).alias("v"))
+    a = l.groupBy(F.col("l_suppkey").alias("i"), F.col("l_partkey").alias("k")).agg(F.max("l_quantity").cast("long").alias("v"))
+    b = p.select(F.col("p_partkey").alias("k"), F.col("p_size").cast("long").alias("j"), (F.col("p_partkey") % 97 + 1).alias("v"))
     return a, b
 
 
