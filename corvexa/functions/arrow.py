@@ -9,13 +9,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql.types import StructType
 
 #: An Arrow batch holds so many bytes and rows at most, so long texts can't fill a worker.
-BATCH_BYTES, BATCH_ROWS = 8 << 20, 4096
+BATCH_BYTES, BATCH_ROWS = 2 << 20, 4096
 
 
 def bounded(df: DataFrame) -> DataFrame:
+    """``df`` in a session whose Arrow batches are bounded. Settings are only tightened, never widened, as plans read
+    them when they run: so no operator undoes another's bound."""
     conf = df.sparkSession.conf
-    conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
-    conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    for name, top in (("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS), ("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)):
+        now = conf.get(name).rstrip("b")
+        if not (now.isdigit() and 0 < int(now) <= top):
+            conf.set(name, str(top))
     return df
 
 
