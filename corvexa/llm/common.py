@@ -2,14 +2,11 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Bytes and rows that an Arrow batch to a Python worker holds at most.
-BATCH_BYTES, BATCH_ROWS = 2 << 20, 4096
+from corvexa.functions.arrow import bounded
+from corvexa.plans.lineage import Workspace  # noqa: F401
 
 
 def session_of(df: DataFrame) -> SparkSession:
@@ -17,10 +14,10 @@ def session_of(df: DataFrame) -> SparkSession:
 
 
 def bounded_batches(spark: SparkSession) -> None:
-    """Bound the Arrow batches, so that long texts cannot fill a Python worker."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
-    spark.conf.set("spark.sql.parquet.columnarReaderBatchSize", "1024")
+    """Bound the Arrow batches, so that long texts cannot fill a Python worker, and the reader's rows that feed them."""
+    bounded(spark.range(0))
+    if int(spark.conf.get("spark.sql.parquet.columnarReaderBatchSize")) > 1024:
+        spark.conf.set("spark.sql.parquet.columnarReaderBatchSize", "1024")
 
 
 def _release() -> None:
@@ -53,37 +50,6 @@ def shuffle_width(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-class Workspace:
-    """Written tables in the folder that the cluster shares (spark.checkpoint.dir).
-
-    Writing a table cuts lineage: a lost executor costs a reread, no recomputation of earlier rounds. A local
-    folder is made only where the setting is absent (single-machine tests).
-    """
-
-    def __init__(self, spark: SparkSession, name: str):
-        base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-        if not base:
-            base = "file://" + tempfile.mkdtemp(prefix="corvexa-")
-            spark.conf.set("spark.checkpoint.dir", base)
-        self.spark, self.root, self.n = spark, f"{base.rstrip('/')}/corvexa-{name}-{uuid.uuid4().hex}", 0
-        self.paths: dict[int, str] = {}
-
-    def save(self, df: DataFrame, name: str = "t") -> DataFrame:
-        self.n += 1
-        path = f"{self.root}/{self.n:03d}-{name}"
-        df.write.parquet(path)
-        out = self.spark.read.schema(df.schema).parquet(path)
-        self.paths[id(out)] = path
-        return out
-
-    def drop(self, *tables: DataFrame) -> None:
-        """Remove tables of this workspace that nothing reads any more."""
-        for t in tables:
-            if path := self.paths.pop(id(t), None):
-                p = self.spark._jvm.org.apache.hadoop.fs.Path(path)
-                p.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(p, True)
-
-
 def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
     """A table of the data folder, with the named columns only."""
     df = spark.read.parquet(f"{sf_dir}/{name}.parquet")

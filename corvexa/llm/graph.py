@@ -1,34 +1,14 @@
-"""Connected components by alternating large-star and small-star rounds."""
+"""Connected components of links (a, b)."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-from .common import Workspace
+from corvexa.operators import graph
 
+from .common import Workspace
 
-def components(ws: Workspace, edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
-    """(node, comp) of every node of an edge; comp is the smallest node of its component.
 
-    Each round is aggregations and equi-joins over the edges, written to the shared folder; O(log^2 n) rounds at
-    most, two or three where components are stars already. Minima are combined before the shuffle, and the joins
-    are ones whose skewed keys the adaptive planner splits.
-    """
-    e = ws.save(edges.where(F.col(a) != F.col(b)).select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct(), "edges")
-    seen = None
-    while True:
-        sym = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = sym.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = sym.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        large = ws.save(large, "large")
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        new = ws.save(small.unionByName(low.select("u", F.col("m").alias("v"))).distinct(), "small")
-        now = new.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first()
-        ws.drop(e, large)
-        e = new
-        if now == seen:
-            break
-        seen = now
-    return e.select(F.col("u").alias("node"), F.col("v").alias("comp")).unionByName(e.select(F.col("v").alias("node"), F.col("v").alias("comp")).distinct())
+def components(ws: Workspace, edges: DataFrame) -> DataFrame:
+    """(node, comp) of every node of an edge; comp is the smallest node of its component."""
+    return ws.save(graph.components(edges, "a", "b").withColumnRenamed("component", "comp"), "components")

@@ -6,7 +6,7 @@ a greedy search from the medoid proposes neighbours, relaxed pruning (a candidat
 is nearer to it, by the factor ALPHA, than the vertex is) keeps edges of different directions, and each edge's reverse
 is added and pruned alike. Vertices that the medoid doesn't reach get an edge from their nearest reached vertex.
 Every query searches every shard with a beam, and the shards' answers are merged. The graphs are written to the shared
-folder once; tiles of a shard and a chunk of queries are solved apart.
+folder once, and each is read once: a task holds one shard's graph, and the queries stream past it.
 """
 
 from __future__ import annotations
@@ -19,9 +19,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import Workspace, bounded_batches, session_of
-from .vectors import best, valid_vectors
+from .vectors import best, matrix, streamed, valid_vectors
 
-SHARD, DEGREE, BEAM, ALPHA, CHUNK = 4096, 28, 64, 1.2, 1024
+SHARD, DEGREE, BEAM, ALPHA = 4096, 28, 64, 1.2
 #: Free places of a vertex for edges that keep all vertices within reach.
 SPARE = 4
 
@@ -147,10 +147,6 @@ def _reach_all(x: np.ndarray, edges: np.ndarray, start: int, degree: int) -> Non
         front = np.array([u])
 
 
-def _matrix(column: pa.Array) -> np.ndarray:
-    return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1)
-
-
 def nearest(table: DataFrame, k: int = 10, every: int = 100, key: str = "vec_id", vector: str = "embedding", shard_rows: int = SHARD) -> DataFrame:
     """(query_id, rank, vec_id, score): of the rows whose id is divisible by ``every`` the k nearest rows found.
 
@@ -171,39 +167,33 @@ def nearest(table: DataFrame, k: int = 10, every: int = 100, key: str = "vec_id"
 
     def build(key: tuple[pa.Scalar, ...], part: pa.Table) -> pa.Table:
         part = part.sort_by("id").combine_chunks()
-        edges, start = build_graph(_matrix(part.column("v").combine_chunks()))
+        edges, start = build_graph(matrix(part.column("v").combine_chunks()))
         flag = np.zeros(len(edges), dtype=bool)
         flag[start] = True
         return pa.table({"shard": part.column("shard"), "id": part.column("id"), "v": part.column("v"), "at": pa.array(np.arange(len(edges))), "edges": pa.array(edges.tolist(), type=pa.list_(pa.int64())), "start": pa.array(flag)})
 
     index = ws.save(dealt.groupBy("shard").applyInArrow(build, "shard long, id long, v array<double>, at long, edges array<long>, start boolean"), "index")
     asked = rows.where(F.pmod("id", F.lit(every)) == 0)
-    chunks = max(1, -(-asked.count() // CHUNK))
-    empty = {"at": F.lit(-1).cast("long"), "edges": F.lit(None).cast("array<long>"), "start": F.lit(False)}
-    sought = asked.select(F.explode(F.sequence(F.lit(0).cast("long"), F.lit(shards - 1).cast("long"))).alias("shard"), F.pmod(F.xxhash64("id"), F.lit(chunks)).alias("chunk"), "id", "v").withColumns(empty)
-    stored = index.withColumn("chunk", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(chunks - 1).cast("long"))))
-    tiles = sought.unionByName(stored)
-
-    def search(key: tuple[pa.Scalar, ...], part: pa.Table) -> pa.Table:
-        part = part.sort_by("at").combine_chunks()
-        at = part.column("at").to_numpy()
-        n = int((at < 0).sum())
-        ids, v = part.column("id").to_numpy(), _matrix(part.column("v").combine_chunks())
-        out: list[tuple] = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
-        if n and n < len(at):
-            edges = _matrix(part.column("edges").slice(n).combine_chunks())
-            start = int(np.flatnonzero(part.column("start").slice(n).to_numpy(zero_copy_only=False))[0])
-            x, x_ids = v[n:], ids[n:]
-            for lo in range(0, n, 256):
-                q = v[lo : min(n, lo + 256)]
-                found, _ = beam_search(x, edges, start, q, max(BEAM, 2 * k))
-                one, col = np.nonzero(found[:, : k + 1] >= 0)
-                p = found[one, col]
-                out.append((ids[lo + one], x_ids[p], np.sqrt(((x[p] - q[one]) ** 2).sum(axis=1))))
-        return pa.table(dict(zip(("query_id", "rep", "score"), map(pa.array, map(np.concatenate, zip(*out, strict=True))), strict=True)))
-
-    found = tiles.groupBy("shard", "chunk").applyInArrow(search, "query_id long, rep long, score double")
+    nothing = {"at": F.lit(None).cast("long"), "edges": F.lit(None).cast("array<long>"), "start": F.lit(False)}
+    sought = asked.select(F.explode(F.sequence(F.lit(0).cast("long"), F.lit(shards - 1).cast("long"))).alias("shard"), F.lit(1).alias("tag"), "id", "v").withColumns(nothing)
+
+    def load(t: pa.Table) -> tuple:
+        start = int(np.flatnonzero(t.column("start").combine_chunks().to_numpy(zero_copy_only=False))[0])
+        return t.column("id").to_numpy(), matrix(t.column("v")), matrix(t.column("edges")), start
+
+    def ask(index: tuple, part: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        x_ids, x, edges, start = index
+        for lo in range(0, part.num_rows, 256):
+            now = part.slice(lo, 256)
+            q_ids, q = now.column("id").to_numpy(), matrix(now.column("v"))
+            found, _ = beam_search(x, edges, start, q, max(BEAM, 2 * k))
+            one, col = np.nonzero(found[:, : k + 1] >= 0)
+            p = found[one, col]
+            away = np.sqrt(((x[p] - q[one]) ** 2).sum(axis=1))
+            yield pa.RecordBatch.from_arrays([pa.array(q_ids[one]), pa.array(x_ids[p]), pa.array(away)], names=["query_id", "vec_id", "score"])
+
+    found = streamed(index.withColumn("tag", F.lit(0)).unionByName(sought), "shard", load, ask, "query_id long, vec_id long, score double", order="at")
     # k + 1 classes of a query hold its k nearest rows; then classes become their rows.
-    classes = best(found.withColumnRenamed("rep", "vec_id"), k + 1, ascending=True).select("query_id", F.col("vec_id").alias("rep"), "score")
+    classes = best(found, k + 1, ascending=True).select("query_id", F.col("vec_id").alias("rep"), "score")
     rows_of = ranked.select("rep", F.col("id").alias("vec_id"))
     return best(classes.join(rows_of, "rep").where("vec_id <> query_id"), k, ascending=True)
