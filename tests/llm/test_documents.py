@@ -123,14 +123,42 @@ def test_packing_is_a_partition_of_the_tokens(spark, documents):
         assert [r["offset"] for r in s] == [sum(q["length"] for q in s[:k]) for k in range(len(s))]
         n = sum(r["length"] for r in s)
         assert n == 2048 or n & (n - 1) == 0 and n < 2048
-    full = Counter(sum(r["length"] for r in s) for s in by_seq.values())
-    assert sum(v for k, v in full.items() if k < 2048) <= 3 * 11
+    # Every window is full, and but for the partitions' ends it has the length of a tier.
+    sizes = Counter(sum(r["length"] for r in s) for s in by_seq.values())
+    assert all(r["tier"] == sum(q["length"] for q in s) for s in by_seq.values() for r in s)
+    assert sum(v for k, v in sizes.items() if k < 256) <= 3 * 8 and {256, 512, 1024, 2048} <= set(sizes)
+
+
+def test_packing_tiers_and_step_groups():
+    """Pieces open windows of their own tier, shorter ones fill the gaps, and step groups are even in number and cost."""
+    rng = random.Random(3)
+    packer = packing.Packer(0)
+    lengths = [rng.choice([rng.randrange(1, 257), rng.randrange(257, 513), rng.randrange(513, 1025), rng.randrange(1025, 2048), 5000]) for _ in range(3000)]
+    for k, n in enumerate(lengths):
+        packer.add(k, np.arange(n, dtype="<u4"))
+    rows = packer.pack(last=True)
+    assert sum(r[2] for r in rows) == sum(lengths)
+    windows, groups = defaultdict(list), defaultdict(dict)
+    for r in rows:
+        windows[r[5]].append(r)
+        groups[r[7], r[8]].setdefault(r[5], []).append(r[2])
+    for w in windows.values():
+        size = w[0][7]
+        assert sum(r[2] for r in w) == size
+        if size in (512, 1024, 2048) and w[0][2] < size:
+            assert size // 2 < w[0][2]  # opened by a piece of the tier
+    for size in (256, 512, 1024, 2048):
+        mine = [g for (t, _), g in groups.items() if t == size]
+        count = [len(g) for g in mine]
+        cost = [sum(n * n for p in g.values() for n in p) / len(g) for g in mine]
+        assert max(count) - min(count) <= 1 and max(cost) < 1.05 * min(cost)
+    assert len(rows) <= len(lengths) + len(windows)  # a window cuts one piece at most
 
 
 def test_shards_are_even_gapless_and_whole(spark):
     rng = random.Random(9)
     rows = [(k, "same text " * 3 if k % 3 == 0 else "x" * rng.randrange(0, 90), None) for k in range(3000)]
-    got = sharding.histogram_shards(frame(spark, rows), 7).select("doc_id", "size", "shard", "slot").collect()
+    got = sharding.histogram_shards(frame(spark, rows), 7, tolerance=1e-3).select("doc_id", "size", "shard", "slot").collect()
     sizes, slots = Counter(), defaultdict(list)
     for r in got:
         assert r["size"] == len(rows[r["doc_id"]][1]) + 16
@@ -141,6 +169,28 @@ def test_shards_are_even_gapless_and_whole(spark):
     assert all(sorted(s) == list(range(len(s))) for s in slots.values())
 
 
+def test_equal_texts_stay_together(spark, monkeypatch):
+    """Small groups are kept whole; a hot text is cut where shards are full, and sorted in several runs."""
+    monkeypatch.setattr(sharding, "LEAST_RUN", 64)
+    rng = random.Random(4)
+    pairs = [f"text {k} " + "x" * rng.randrange(0, 60) for k in range(2000)]
+    rows = [(k, pairs[k % 2000], None) for k in range(4000)] + [(4000 + k, "hot", None) for k in range(2000)]
+    got = sharding.histogram_shards(frame(spark, rows), 40).select("doc_id", "text", "size", "shard", "slot").collect()
+    shards, sizes, slots = defaultdict(set), Counter(), defaultdict(list)
+    for r in got:
+        shards[r["text"]].add(r["shard"])
+        sizes[r["shard"]] += r["size"]
+        slots[r["shard"]].append(r["slot"])
+    assert all(len(s) == 1 for t, s in shards.items() if t != "hot") and len(shards["hot"]) > 1
+    assert max(sizes.values()) - min(sizes.values()) <= 0.045 * sum(sizes.values()) / 40
+    assert all(sorted(s) == list(range(len(s))) for s in slots.values()) and len(got) == 6000
+
+
+def test_shards_equal_sql(spark, oracle):
+    for sql, f in ((queries.OP4_SQL, queries.op4_sharding), (queries.OP8_SQL, queries.op8_top_k)):
+        assert spark_rows(f(spark, SMALL)) == oracle_rows(oracle, sql)
+
+
 def test_language_on_held_out_rows(spark):
     out = queries.op5_language_id(spark, MID).join(spark.read.parquet(f"{MID}/documents.parquet").select("doc_id", "lang"), "doc_id").collect()
     held = [r for r in out if r["held_out"] and r["lang"]]
@@ -247,3 +297,29 @@ def test_revisit_rules(spark):
     assert alone[2]["state"] == "matched" and alone[2]["merged"] == {"X": "s", "Date": "1", "ETag": "a"}
     assert alone[4]["state"] == "mismatch" and alone[4]["merged"] is None
     assert revisits.resolve_revisits(df.limit(0)).count() == 0
+
+
+def test_revisits_merge_without_case_and_keep_repeats(spark):
+    rows = [
+        (1, "http://a.com/p", 10, "response", "t", None, {"Date": "0", "X": "s", "Expires": "9"}),
+        (1, "http://a.com/p", 10, "response", "t", None, {"Date": "0", "X": "s", "Expires": "9"}),
+        *[(2, "http://a.com/p", 20, "revisit", "t", None, {"date": "1", "x": "new"})] * 3,
+        *[(k, "http://a.com/p", 20, "revisit", None, "m", None) for k in (3, 3)],
+        (4, "http://a.com/q", 20, "revisit", "t", None, {}),
+    ]
+    schema = "rec_id long, url string, ts long, kind string, etag string, last_modified string, headers map<string,string>, state string, curl string, span string"
+    df = spark.createDataFrame([(*r, "x", "y", "z") for r in rows], schema)
+    got = [(r["rec_id"], r["ref_id"], r["state"], r["merged"]) for r in revisits.resolve_revisits(df).collect()]
+    assert sorted(r[0] for r in got) == [2, 2, 2, 3, 3, 4]
+    assert all(r == (2, 1, "matched", {"X": "s", "date": "1", "Expires": "9"}) for r in got if r[0] == 2)
+    assert all(r[1:] == (1, "mismatch", None) for r in got if r[0] == 3) and (4, None, "unresolved", None) in got
+
+
+def test_revisits_of_a_hot_url(spark):
+    """Many ranges of one URL, with outlier times: the latest earlier response by brute force."""
+    rng = random.Random(11)
+    rows = [(k, "http://hot.org/", rng.choice([rng.randrange(2000), 10**12]), rng.choice(["response", "revisit"]), f"e{k % 3}", None, None) for k in range(600)]
+    df = spark.createDataFrame(rows, "rec_id long, url string, ts long, kind string, etag string, last_modified string, headers map<string,string>")
+    for r in revisits.resolve_revisits(df, 16).collect():
+        before = [(t, i) for i, _, t, kind, *_ in rows if kind == "response" and t < r["ts"]]
+        assert r["ref_id"] == (max(before)[1] if before else None)
