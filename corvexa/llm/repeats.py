@@ -1,22 +1,25 @@
 """Removal of repeated byte strings by suffix arrays of shards.
 
 A byte goes if a string of LENGTH bytes that covers it also starts earlier. Every such string ("window") has one
-anchor: its GRAM-byte string of the least hash, the leftmost if there are several. Equal windows have equal anchors,
-so consecutive windows with one anchor travel together as a run, and only runs whose anchor string occurs elsewhere
+anchor: its substring of GRAMS[0] bytes of the least hash, the leftmost if there are several. Equal windows have equal
+anchors, so consecutive windows with one anchor travel together as a run, and only runs whose anchor occurs elsewhere
 can repeat:
 
-1. Each text is cut into runs. Runs equal in full are settled by hashes: the earliest stays, others are repeats
-   (within a batch before the shuffle, so a passage of a third of all documents sends one row a batch).
-2. Runs that share an anchor string but differ are fetched as bytes and gathered into shards by anchor. A shard's
-   suffix array is built by induced sorting; the permuted common prefixes of at least LENGTH join equal windows.
-3. An anchor string with more than HEAVY differing runs doesn't fit a shard: its windows are hashed one by one, packed
-   into columns, dealt by hash, and the earliest of each hash stays.
+1. Each text is cut into runs. Copies of a whole run are found by its hash, so that they needn't be gathered: the
+   earliest stays, others are repeats (within a batch before the shuffle, so a passage of a third of all documents
+   sends one row a batch).
+2. Runs that share an anchor but differ are fetched as bytes and gathered into shards by anchor. A shard's suffix
+   array is built by induced sorting; permuted common prefixes of at least LENGTH, compared byte by byte, join equal
+   windows.
+3. The runs of an anchor with more than HEAVY differing ones don't fit a shard: they are cut again by longer anchors,
+   of the next length in GRAMS, and go through both steps anew. At the last length an anchor is the window itself.
 
-Hashes have 64 bits and are compared only under equal anchors, so a false match is about as likely as 1e-12 a TB.
+Hashes have 64 bits and copies must agree in those of the anchor and of the run.
 """
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,9 +31,11 @@ from pyspark.sql.types import ArrayType, StructType
 from .common import Workspace, bounded_batches, map_batches, session_of
 from .suffix import mix, permuted_lcp, powers, prefix_hash, span_hash, suffix_array
 
-LENGTH, GRAM = 100, 32
-#: Bytes of a shard, runs of one anchor that a shard takes, windows of a packed bucket.
-SHARD, HEAVY, BUCKET = 1 << 20, 8192, 400_000
+LENGTH = 100
+#: Bytes of anchors, level by level.
+GRAMS = (32, 64, 96, LENGTH)
+#: Bytes of a shard, and differing runs of one anchor that a shard takes.
+SHARD, HEAVY = 1 << 20, 8192
 #: A text is cut into runs by segments of so many bytes, so that memory stays bounded.
 SEGMENT = 1 << 20
 _U = np.uint64
@@ -48,17 +53,17 @@ def _sliding_min(x: np.ndarray, w: int) -> np.ndarray:
     return np.minimum(behind[: n - w + 1], ahead[w - 1 : n])
 
 
-def runs(raw: np.ndarray) -> tuple[np.ndarray, ...]:
+def runs(raw: np.ndarray, gram: int = GRAMS[0]) -> tuple[np.ndarray, ...]:
     """Of one text: anchor hash, content hash, windows and first window of each run."""
     found = []
     for at in range(0, max(0, len(raw) - LENGTH + 1), SEGMENT):
         part = raw[at : at + SEGMENT + LENGTH - 1]
         total = prefix_hash(part)
-        n = len(part) - GRAM + 1
+        n = len(part) - gram + 1
         _, down = powers(len(part))
-        grams = mix((total[GRAM:] - total[:n]) * down[:n] + _U(GRAM))
+        grams = mix((total[gram:] - total[:n]) * down[:n] + _U(gram))
         keyed = (grams & ~_LOW) | np.arange(n, dtype=np.uint64)
-        least = _sliding_min(keyed, LENGTH - GRAM + 1)
+        least = _sliding_min(keyed, LENGTH - gram + 1)
         starts = np.flatnonzero(np.concatenate([[True], least[1:] != least[:-1]]))
         ends = np.append(starts[1:], len(least))
         anchor = grams[(least[starts] & _LOW).astype(np.int64)]
@@ -84,22 +89,24 @@ def _long(x) -> np.ndarray:
 _RUN = "f long, h long, n long, k long, r long, i long, again boolean"
 
 
-def _cut(docs: DataFrame) -> DataFrame:
-    """Rows of _RUN for the texts of (k, r, raw); ``again``: an equal run of the same batch is earlier."""
+def _cut(texts: DataFrame, gram: int) -> DataFrame:
+    """Rows of _RUN for texts, or parts of them, (k, r, i, raw); ``again``: an equal run of the same batch is earlier."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             got = []
-            for k, r, raw in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), strict=True):
-                f, h, n, i = runs(np.frombuffer(raw.as_buffer(), dtype=np.uint8))
-                got.append((f, h, n, np.full(len(f), k), np.full(len(f), r), i))
+            if not b.num_rows:
+                continue
+            for k, r, first, raw in zip(*[c.to_pylist() for c in b.columns[:3]], b.column(3), strict=True):
+                f, h, n, i = runs(np.frombuffer(raw.as_buffer(), dtype=np.uint8), gram)
+                got.append((f, h, n, np.full(len(f), k), np.full(len(f), r), i + first))
             f, h, n, k, r, i = (_long(np.concatenate(c)) for c in zip(*got, strict=True))
             o = np.lexsort((i, r, k, n, h, f))
             columns = [c[o] for c in (f, h, n, k, r, i)]
             again = ~_changes(*columns[:3])
             yield pa.RecordBatch.from_arrays([*map(pa.array, columns), pa.array(again)], names=["f", "h", "n", "k", "r", "i", "again"])
 
-    return docs.transform(map_batches, run, _RUN)
+    return texts.select("k", "r", "i", "raw").transform(map_batches, run, _RUN)
 
 
 def _settle(rows: DataFrame, width: int) -> DataFrame:
@@ -244,71 +251,6 @@ def _sorted_shards(runs_: DataFrame, width: int) -> DataFrame:
     return rows.transform(map_batches, run, _SPAN)
 
 
-def _hashed_windows(runs_: DataFrame, buckets: int) -> DataFrame:
-    """Repeated spans among the runs of heavy anchors: windows one by one, as packed columns."""
-
-    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            k, r, i, n = (c.to_numpy() for c in b.columns[:4])
-            if not len(k):
-                continue
-            hashes = []
-            for s, m in zip(b.column(4).to_pylist(), n.tolist(), strict=True):
-                at = np.arange(m)
-                hashes.append(span_hash(prefix_hash(np.frombuffer(s, dtype=np.uint8)), at, at + LENGTH))
-            h = _long(np.concatenate(hashes))
-            of = np.repeat(np.arange(len(n)), n)
-            p = i[of] + np.arange(len(of)) - np.repeat(np.cumsum(n) - n, n)
-            o = np.lexsort((p, r[of], k[of], h))
-            h, kk, rr, p = h[o], k[of][o], r[of][o], p[o]
-            again = ~_changes(h)
-            # A bucket of -1 is settled: an equal window of the batch is earlier.
-            bucket = np.where(again, -1, (h.view(np.uint64) % _U(buckets)).astype(np.int64))
-            o = np.argsort(bucket, kind="stable")
-            edges = np.flatnonzero(_changes(bucket[o]))
-            cells = [[c[x].tobytes() for x in np.split(o, edges[1:])] for c in (h, kk, rr, p)]
-            yield pa.RecordBatch.from_arrays([pa.array(bucket[o][edges]), *[pa.array(c, type=pa.binary()) for c in cells]], names=["g", "h", "k", "r", "p"])
-
-    def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, held = None, []
-
-        def solve() -> pa.RecordBatch:
-            h, k, r, p = (np.concatenate([np.frombuffer(x[c], dtype=np.int64) for x in held]) for c in range(4))
-            o = np.lexsort((p, r, k, h))
-            h, k, r, p = h[o], k[o], r[o], p[o]
-            later = ~_changes(h)
-            return _stretches(k[later], r[later], p[later])
-
-        for b in batches:
-            for g, *cells in zip(*[c.to_pylist() for c in b.columns], strict=True):
-                if g != now and held:
-                    yield solve()
-                    held = []
-                now = g
-                held.append(cells)
-        if held:
-            yield solve()
-
-    def done(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for cells in zip(*[c.to_pylist() for c in b.columns[1:]], strict=True):
-                _, k, r, p = (np.frombuffer(x, dtype=np.int64) for x in cells)
-                yield _stretches(k, r, p)
-
-    packed = runs_.select("k", "r", "i", "n", "s").transform(map_batches, pack, "g long, h binary, k binary, r binary, p binary")
-    open_ = packed.where("g >= 0").repartition(buckets, "g").sortWithinPartitions("g").transform(map_batches, settle, _SPAN)
-    return open_.unionByName(packed.where("g < 0").transform(map_batches, done, _SPAN))
-
-
-def _stretches(k: np.ndarray, r: np.ndarray, p: np.ndarray) -> pa.RecordBatch:
-    o = np.lexsort((p, r, k))
-    k, r, p = k[o], r[o], p[o]
-    first = np.ones(len(k), dtype=bool)
-    first[1:] = (k[1:] != k[:-1]) | (r[1:] != r[:-1]) | (p[1:] != p[:-1] + 1)
-    last = np.append(first[1:], True)[: len(k)]
-    return _span_batch(k[first], r[first], p[first], p[last] + LENGTH)
-
-
 def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     out: list[list[int]] = []
     for a, b in sorted(spans):
@@ -341,22 +283,25 @@ def remove_repeats(docs: DataFrame, text: str = "text", key: str = "doc_id", as_
     texts = keyed.select(F.col("__k").alias("k"), F.col("__r").alias("r"), raw.alias("raw"))
     long_enough = texts.where(F.octet_length("raw") >= LENGTH)
 
-    cut = _cut(long_enough)
     size = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
     # About 400,000 runs, or some shards' bytes, a partition.
     width = max(int(spark.conf.get("spark.sql.shuffle.partitions")), int(size / 35 / 400_000) + 1)
-    cut = ws.save(cut, "runs")
-    settled = ws.save(_settle(cut, width), "settled")
-    heavy = settled.where("kind = 1").groupBy("f").count().where(F.col("count") > HEAVY).select("f", F.lit(True).alias("heavy"))
-    heavy = ws.save(heavy, "heavy")
-    wanted = settled.where("kind = 1").join(heavy, "f", "left").withColumn("heavy", F.coalesce("heavy", F.lit(False))).select("f", "heavy", "k", "r", "i", "n")
-    fetched = ws.save(_fetch(long_enough, wanted), "fetched")
-    spans = cut.where("again").select("k", "r", F.col("i").alias("a"), (F.col("i") + F.col("n") + LENGTH - 1).alias("b"))
-    spans = spans.unionByName(settled.where("kind = 0").select("k", "r", F.col("i").alias("a"), (F.col("i") + F.col("n") + LENGTH - 1).alias("b")))
-    spans = spans.unionByName(_sorted_shards(fetched.where("NOT heavy"), width))
-    windows = fetched.where("heavy").agg(F.sum("n")).first()[0]
-    if windows:
-        spans = spans.unionByName(_hashed_windows(fetched.where("heavy"), windows // BUCKET + 1))
+    span = ["k", "r", F.col("i").alias("a"), (F.col("i") + F.col("n") + LENGTH - 1).alias("b")]
+    source, found = long_enough.withColumn("i", F.lit(0).cast("long")), []
+    for gram in GRAMS:
+        cut = ws.save(_cut(source, gram), "runs")
+        settled = ws.save(_settle(cut, width), "settled")
+        heavy = settled.where("kind = 1").groupBy("f").count().where(F.col("count") > HEAVY).select("f", F.lit(True).alias("heavy"))
+        heavy = ws.save(heavy, "heavy")
+        wanted = settled.where("kind = 1").join(heavy, "f", "left").withColumn("heavy", F.coalesce("heavy", F.lit(False))).select("f", "heavy", "k", "r", "i", "n")
+        fetched = ws.save(_fetch(long_enough, wanted), "fetched")
+        found += [cut.where("again").select(*span), settled.where("kind = 0").select(*span), _sorted_shards(fetched.where("NOT heavy"), width)]
+        if heavy.isEmpty():
+            break
+        if gram == LENGTH:
+            raise RuntimeError("equal windows differ: a collision of hashes")
+        source = fetched.where("heavy").select("k", "r", "i", F.col("s").alias("raw"))
+    spans = functools.reduce(DataFrame.unionByName, found)
     spans = ws.save(spans, "spans")
     lists = spans.groupBy("k", "r").agg(F.collect_list(F.struct("a", "b")).alias("__x")).withColumnsRenamed({"k": "__k", "r": "__r"})
     both = keyed.withColumn("__b", raw).join(lists.hint("shuffle_hash"), ["__k", "__r"], "left").select(*rest, "__b", "__x")

@@ -4,13 +4,13 @@ from __future__ import annotations
 
 import numpy as np
 
-#: Prefix length up to which suffixes are told apart, at least.
-DEPTH = 128
+#: Names up to which a reduced string is taken as it is; more are written as two digits each.
+NAMES = 4096
 _U = np.uint64
 _rng = np.random.default_rng(77)
 _BASE = _U(int(_rng.integers(1 << 62)) * 2 + 1)
 _INVERSE = _U(pow(int(_BASE), -1, 1 << 64))
-_VALUES = _rng.integers(1, 1 << 63, 260, dtype=np.uint64)
+_VALUES = _rng.integers(1, 1 << 63, 1 << 16, dtype=np.uint64)
 _powers = [np.ones(1, dtype=np.uint64), np.ones(1, dtype=np.uint64)]
 
 
@@ -32,7 +32,8 @@ def prefix_hash(codes: np.ndarray) -> np.ndarray:
     """Sums of the first 0 to n terms of the hash polynomial."""
     up, _ = powers(len(codes))
     out = np.zeros(len(codes) + 1, dtype=np.uint64)
-    np.cumsum(_VALUES[codes] * up[: len(codes)], out=out[1:])
+    values = _VALUES[codes] if codes.dtype.itemsize <= 2 else mix(codes.astype(np.uint64) + _BASE)
+    np.cumsum(values * up[: len(codes)], out=out[1:])
     return out
 
 
@@ -119,7 +120,7 @@ def _assemble(parts: list[np.ndarray]) -> np.ndarray:
 
 
 def suffix_array(t: np.ndarray, sigma: int) -> np.ndarray:
-    """Order of the suffixes of t (its last element the only 0), right for the first DEPTH elements at least."""
+    """Order of the suffixes of t, whose elements are below sigma; the last one is the only 0."""
     small = classify(t)
     lms = np.flatnonzero(small[1:] & ~small[:-1]) + 1
     first = induce(t, small, lms, sigma)
@@ -134,25 +135,24 @@ def suffix_array(t: np.ndarray, sigma: int) -> np.ndarray:
     names = np.empty(len(t), dtype=np.int64)
     names[by_piece] = np.concatenate([[0], np.cumsum(h[1:] != h[:-1])])
     reduced = names[lms]
-    if reduced.max(initial=0) + 1 < len(lms):
-        by_piece = lms[_rank_order(reduced)]
+    if (distinct := int(reduced.max(initial=0)) + 1) < len(lms):
+        by_piece = lms[_sorted_names(reduced, distinct, len(t))]
     return induce(t, small, by_piece, sigma)
 
 
-def _rank_order(names: np.ndarray) -> np.ndarray:
-    """Order of the suffixes of the reduced string. Its alphabet is too large to induce bucket by bucket, so ranks
-    are doubled, until DEPTH elements of the text are covered (a name covers two at least)."""
-    rank, n, h = names, len(names), 1
-    while True:
-        key = rank * (n + 1)
-        key[: n - h] += rank[h:] + 1
-        order = np.argsort(key, kind="stable")
-        s = key[order]
-        new = np.empty(n, dtype=np.int64)
-        new[order] = np.concatenate([[0], np.cumsum(s[1:] != s[:-1])])
-        rank, h = new, 2 * h
-        if h * 2 >= DEPTH or rank[order[-1]] == n - 1 or h >= n:
-            return order
+def _sorted_names(reduced: np.ndarray, distinct: int, n: int) -> np.ndarray:
+    """Order of the suffixes of the reduced string, by recursion.
+
+    Buckets are handled one by one, so many names are written as two digits each; the suffixes that begin with a first
+    digit are in the order of those of the names. Where that doesn't shorten the string, the names are taken as they are.
+    """
+    if distinct <= NAMES or 2 * len(reduced) > 0.9 * n:
+        return suffix_array(reduced.astype(np.uint16 if distinct < 1 << 16 else np.uint32), distinct)
+    base = int(np.ceil(np.sqrt(distinct)))
+    digits = np.zeros(2 * len(reduced) - 1, dtype=np.uint16)
+    digits[:-1:2], digits[1::2] = reduced[:-1] // base + 1, reduced[:-1] % base + 1
+    order = suffix_array(digits, base + 2)
+    return order[order % 2 == 0] // 2
 
 
 def permuted_lcp(t: np.ndarray, sa: np.ndarray, cap: int, least: int = 0) -> np.ndarray:
@@ -168,6 +168,7 @@ def permuted_lcp(t: np.ndarray, sa: np.ndarray, cap: int, least: int = 0) -> np.
     if least:
         i = i[np.maximum(i, phi[i]) + least <= n]
         i = i[span_hash(total, i, i + least) == span_hash(total, phi[i], phi[i] + least)]
+        i = i[_same(t, i, phi[i], least)]
     j, shared = phi[i], np.full(len(i), least, dtype=np.int64)
     step = 1 << (cap.bit_length() - 1)
     while step:
@@ -180,3 +181,20 @@ def permuted_lcp(t: np.ndarray, sa: np.ndarray, cap: int, least: int = 0) -> np.
     out = np.zeros(n, dtype=np.int64)
     out[i] = shared
     return out
+
+
+def _same(t: np.ndarray, i: np.ndarray, j: np.ndarray, size: int) -> np.ndarray:
+    """Whether ``size`` elements from i are those from j, compared one by one. i ascends; where both go on by one place
+    from the pair before, only the last element is new."""
+    if not len(i):
+        return np.zeros(0, dtype=bool)
+    windows = np.lib.stride_tricks.sliding_window_view(t, size)
+
+    def whole(at: np.ndarray) -> np.ndarray:
+        parts = [(windows[i[p]] == windows[j[p]]).all(axis=1) for p in np.array_split(at, len(at) // 8192 + 1)]
+        return np.concatenate(parts)
+
+    goes_on = np.concatenate([[False], (i[1:] == i[:-1] + 1) & (j[1:] == j[:-1] + 1)])
+    out = t[i + size - 1] == t[j + size - 1]
+    out[~goes_on] = whole(np.flatnonzero(~goes_on))
+    return out if out.all() else whole(np.arange(len(i)))

@@ -10,6 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from corvexa.llm import language, lattice, minhash, packing, quality, queries, repeats, revisits, sharding
+from corvexa.llm import suffix
 from corvexa.llm.suffix import permuted_lcp, suffix_array
 
 from ..conftest import SMALL, oracle_rows, spark_rows
@@ -217,20 +218,34 @@ def test_quality_on_held_out_rows(spark):
     assert all(r["predicted"] == (r["score"] >= 0.5) for r in held)
 
 
-def test_suffix_array_and_common_prefixes():
+@pytest.mark.parametrize("names", [4096, 1])
+def test_suffix_array_and_common_prefixes(monkeypatch, names):
+    """Whole suffixes in order, also where they share hundreds of elements; names as they are and as digits."""
+    monkeypatch.setattr(suffix, "NAMES", names)
     rng = np.random.default_rng(1)
-    for alphabet in (2, 4, 200):
-        t = np.append(rng.integers(1, alphabet + 1, 600), 0).astype(np.uint16)
+    made = [np.append(rng.integers(1, alphabet + 1, 600), 0) for alphabet in (1, 2, 4, 200)]
+    for t in made:
         t[100:250] = t[300:450]
+    made += [np.append(np.tile(rng.integers(1, 5, 150), 6), 0), np.append(np.tile([1, 2], 300), 0), np.array([1, 0]), np.append(np.tile([3, 1, 2], 200), 0)]
+    for t in made:
+        t = t.astype(np.uint16)
         sa = suffix_array(t, 256)
-        by = [tuple(t[k : k + 128]) for k in sa]
+        by = [tuple(t[k:]) for k in sa]
         assert sorted(sa.tolist()) == list(range(len(t))) and by == sorted(by)
         shared = permuted_lcp(t, sa, 100)
+        at_least = permuted_lcp(t, sa, 100, least=100)
         for a, b in zip(sa, sa[1:]):
             n = 0
             while n < 100 and max(a, b) + n < len(t) and t[a + n] == t[b + n]:
                 n += 1
-            assert shared[b] == n
+            assert shared[b] == n and at_least[b] == (100 if n == 100 else 0)
+
+
+def test_equality_is_by_elements(monkeypatch):
+    """Positions whose hashes agree by chance are not taken for equal."""
+    t = np.array([5, 6, 7, 8, 5, 6, 7, 9, 5, 6, 7, 8], dtype=np.uint16)
+    assert suffix._same(t, np.array([4, 5, 8]), np.array([0, 1, 0]), 3).tolist() == [True, False, True]
+    assert suffix._same(t, np.array([8, 9]), np.array([0, 1]), 3).tolist() == [True, True]
 
 
 @pytest.mark.parametrize("heavy", [8192, 2])
@@ -248,6 +263,30 @@ def test_repeats_equal_brute_force(spark, documents, monkeypatch, heavy):
             assert (r["n_bytes"], removed, len(r["spans"]), bytes(r["kept"])) == (*want[r["doc_id"]][:3], want[r["doc_id"]][4])
 
 
+@pytest.mark.parametrize("heavy", [8192, 30])
+def test_repeats_in_long_texts(spark, monkeypatch, heavy):
+    """Texts beyond a segment, with passages that cross its end, and one line in many surroundings."""
+    monkeypatch.setattr(repeats, "HEAVY", heavy)
+    monkeypatch.setattr(repeats, "SEGMENT", 1 << 14)
+    rng = random.Random(12)
+    word = lambda n: "".join(rng.choice("abcdefgh ") for _ in range(n))
+    line, long = word(97), word(70_000)
+    docs = [(k, word(90) + line + word(90)) for k in range(60)]
+    docs += [(100, long), (101, word(500) + long[16_000:16_800] + word(40) + long[32_700:32_900]), (102, long[:40_000]), (103, "z" * 40_000)]
+    want = brute.repeats(docs)
+    for r in repeats.remove_repeats(frame(spark, [(i, t, None) for i, t in docs]).repartition(4)).select("doc_id", "n_bytes", "spans", "kept").collect():
+        removed = sum(s["end"] - s["start"] for s in r["spans"])
+        assert (r["n_bytes"], removed, len(r["spans"]), bytes(r["kept"])) == (*want[r["doc_id"]][:3], want[r["doc_id"]][4])
+
+
+def test_repeats_in_a_text_over_a_mebibyte(spark):
+    rng = np.random.default_rng(5)
+    long = bytes(rng.integers(97, 123, 1_300_000, dtype=np.uint8)).decode()
+    docs = [(1, long), (2, long[1_048_000:1_049_000] + "!" * 50), (3, long[5:104]), (4, long[1_299_900:])]
+    got = {r["doc_id"]: [(s["start"], s["end"]) for s in r["spans"]] for r in repeats.remove_repeats(frame(spark, [(i, t, None) for i, t in docs])).select("doc_id", "spans").collect()}
+    assert got == {1: [], 2: [(0, 1000)], 3: [], 4: [(0, 100)]}
+
+
 def test_sampled_segmentations(spark, documents):
     path = queries.tokenizer_path("piece_bpe_32k.model")
     texts = dict(documents) | {-1: "a ▁ b  c", -2: " lead", -3: "\x00\U0001f600é", -4: "hello hello hello"}
