@@ -8,8 +8,12 @@ probability 4e-7, and the estimate errs by more than the margin with one of abou
 
 No pairs of a group are listed. Documents of equal shingle sets form one class, whose smallest id stands for it. In
 each bucket members are first tied to the smallest one; confirmed ties make components. Only buckets that then still
-hold two components are compared member by member, in blocks of at most BLOCK members, and a block passes on at most
-a spanning forest of what it confirms.
+hold two components are compared member by member: the members outside of the bucket's largest component, BLOCK at
+most, with all others, in blocks of which each passes on at most a spanning forest of what it confirms.
+
+A bucket with more members outside of its largest component (texts of one mould, say) isn't compared in pairs. Its
+members get longer and rarer keys: their shingles are ordered by how often they occur among such members, and two sets
+of the wanted similarity share one of their first, that is rarest, |A| - ceil(t |A|) + 1 shingles. This misses no pair.
 """
 
 from __future__ import annotations
@@ -19,7 +23,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import Workspace, bounded_batches, map_batches, session_of
@@ -30,7 +34,9 @@ BANDS = BUCKETS // ROWS
 #: Below the threshold by this much, an estimate rules a pair out: five standard errors of 125 registers.
 MARGIN = 0.16
 #: Members of a block, and members that go with one copy of a leader.
-BLOCK, SPREAD = 1024, 256
+BLOCK, SPREAD = 256, 256
+#: Bits of the table of shingle frequencies that orders shingles: its size is fixed.
+SLOTS = 20
 
 _U = np.uint64
 _rng = np.random.default_rng(20240611)
@@ -58,7 +64,7 @@ def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
     for k, base in enumerate((_BASE, _INVERSE)):
         while len(_powers[k]) <= n:
             p = _powers[k]
-            _powers[k] = np.concatenate([p, p * (p[-1] * base)])
+            _powers[k] = np.concatenate([p, p * (p[-1:] * base)])
     return _powers[0], _powers[1]
 
 
@@ -180,15 +186,20 @@ def _against_leaders(pairs: DataFrame, values: DataFrame, test, dtype: str) -> D
     return rows.transform(map_batches, run, "a long, b long")
 
 
-def _units(members: DataFrame) -> DataFrame:
+def _sizes(tied: DataFrame) -> DataFrame:
+    """tied (key, node, comp) -> (key, most, all, top) of keys with two components: the largest one and numbers of members."""
+    each = tied.groupBy("key", "comp").count()
+    sizes = each.groupBy("key").agg(F.max(F.struct("count", "comp")).alias("x"), F.sum("count").alias("all")).where("x.count < all")
+    return sizes.select("key", F.col("x.comp").alias("most"), F.col("x.count").alias("top"), "all")
+
+
+def _units(members: DataFrame, sizes: DataFrame) -> DataFrame:
     """members (key, node, comp) -> the same with ``big`` and with (i, j) for every two blocks that can hold a pair.
 
     ``big``: of the bucket's largest component. Its members need no comparison among themselves, so only the others
     go to many blocks: a hot component is dealt out once for each block of what it is compared with.
     """
-    each = members.groupBy("key", "comp").count()
-    sizes = each.groupBy("key").agg(F.max(F.struct("count", "comp")).alias("top"), F.sum("count").alias("all"))
-    sizes = sizes.select("key", F.col("top.comp").alias("most"), F.ceil(F.col("top.count") / BLOCK).alias("bigs"), F.ceil((F.col("all") - F.col("top.count")) / BLOCK).alias("smalls"))
+    sizes = sizes.select("key", "most", F.ceil(F.col("top") / BLOCK).alias("bigs"), F.ceil((F.col("all") - F.col("top")) / BLOCK).alias("smalls"))
     zero, last = F.lit(0).cast("long"), F.col("smalls") - 1
     m = members.join(sizes, "key").withColumn("big", F.col("comp") == F.col("most"))
     own = F.pmod(F.xxhash64("node"), F.when(F.col("big"), F.col("bigs")).otherwise(F.col("smalls")))
@@ -235,6 +246,47 @@ def _by_unit(rows: DataFrame, names: list[str], solve, schema: str) -> DataFrame
     return rows.transform(map_batches, run, schema)
 
 
+def _shared_keys(ws: Workspace, keyed: DataFrame) -> DataFrame:
+    """keyed (key, node) -> (key, node, a) of keys with two nodes, a the least; of keys with the same nodes one is enough."""
+    n = keyed.groupBy("key").agg(F.min("node").alias("a"), F.max("node").alias("z"), F.count("*").alias("n"), F.bit_xor(F.xxhash64("node")).alias("x")).where("a < z")
+    buckets = ws.save(n.groupBy("a", "z", "n", "x").agg(F.min("key").alias("key")).select("key", "a"), "buckets")
+    return ws.save(keyed.join(buckets, "key").select("key", "node", "a"), "members")
+
+
+def _rare_keys(spark: SparkSession, texts: DataFrame, words: int, percent: int) -> DataFrame:
+    """texts (node, text) -> (key, node): of each set the rarest shingles, of which two linked sets share one at least."""
+
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+        for b in batches:
+            yield b.column(0).to_pylist(), [shingle_set(t, words) for t in b.column(1).to_pylist()]
+
+    def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = np.zeros(1 << SLOTS, dtype=np.int64)
+        for _, found in sets(batches):
+            for s in found:
+                np.add.at(table, (s >> _U(64 - SLOTS)).astype(np.int64), 1)
+        some = np.flatnonzero(table)
+        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(table[some])], names=["slot", "n"])
+
+    counts = texts.transform(map_batches, tally, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()
+    table = np.zeros(1 << SLOTS, dtype=np.int64)
+    table[counts.column("slot").to_numpy()] = counts.column("n").to_numpy()
+    shared = spark.sparkContext.broadcast(table)  # 2**SLOTS numbers, however large the input is
+
+    def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for nodes, found in sets(batches):
+            keys, owners = [np.zeros(0, dtype=np.uint64)], [np.zeros(0, dtype=np.int64)]
+            for node, s in zip(nodes, found, strict=True):
+                often = shared.value[(s >> _U(64 - SLOTS)).astype(np.int64)]
+                first = np.lexsort((s, often))[: len(s) + (-percent * len(s)) // 100 + 1]
+                first = first[often[first] > 1]  # others have one owner
+                keys.append(s[first])
+                owners.append(np.full(len(first), node))
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.concatenate(owners))], names=["key", "node"])
+
+    return texts.transform(map_batches, pick, "key long, node long")
+
+
 def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", words: int = 5, percent: int = 85) -> DataFrame:
     """Per row: (key, n_shingles, component_id, kept), linking texts of Jaccard >= percent / 100 on word shingles.
 
@@ -271,28 +323,48 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", wo
             keys = band_keys(r).view(np.int64).ravel()
             yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(np.repeat(b.column(0).to_numpy(), BANDS))], names=["key", "node"])
 
-    bands = values.transform(map_batches, banded, "key long, node long")
-    buckets = bands.groupBy("key").agg(F.min("node").alias("a"), F.max("node").alias("z"), F.count("*").alias("n"), F.bit_xor(F.xxhash64("node")).alias("x")).where("a < z")
-    # Of buckets with the same members one is enough.
-    buckets = ws.save(buckets.groupBy("a", "z", "n", "x").agg(F.min("key").alias("key")).select("key", "a"), "buckets")
-    members = ws.save(bands.join(buckets, "key").select("key", "node", "a"), "members")
-    stars = members.where("node <> a").select("a", F.col("node").alias("b")).distinct()
-    likely = ws.save(_against_leaders(stars, values, lambda v, w: estimate(v, w) >= floor, "<u2"), "likely")
+    def texts_of(nodes: DataFrame) -> DataFrame:
+        # The side with ids only is the one that is hashed; texts stream past it.
+        return docs.join(nodes.hint("shuffle_hash"), F.col("__k") == F.col("node"), "left_semi")
+
+    links, comps, wide = _resolve(ws, _shared_keys(ws, values.transform(map_batches, banded, "key long, node long")), values, texts_of, words, percent, floor, None, BLOCK)
+    if not wide.isEmpty():
+        many = texts_of(wide.select("node").distinct()).select(F.col("__k").alias("node"), "__t")
+        rare = ws.save(_rare_keys(spark, many, words, percent).distinct(), "rare")
+        links, comps, _ = _resolve(ws, _shared_keys(ws, rare), values, texts_of, words, percent, floor, links, None)
+    named = classes.select("c1", "c2", "node").join(comps, "node", "left").select("c1", "c2", F.coalesce("comp", "node").alias("comp"))
+    out = with_id.select("k", "n", "c1", "c2").join(named, ["c1", "c2"]).select("k", "n", "comp")
+    out = out.unionByName(rows.where("c1 IS NULL OR k IS NULL").select("k", "n", F.col("k").alias("comp")))
+    return out.select(F.col("k").alias(key), F.col("n").alias("n_shingles"), F.col("comp").alias("component_id"), F.coalesce(F.col("k") == F.col("comp"), F.lit(True)).alias("kept"))
+
+
+def _resolve(ws: Workspace, members: DataFrame, values: DataFrame, texts_of, words: int, percent: int, floor: float, links: DataFrame | None, most: int | None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Links among members (key, node, a) of shared keys, added to ``links``; their components; and the members (key,
+    node) of keys that are left open because more than ``most`` members lie outside of their largest component."""
 
     def full_sets(nodes: DataFrame) -> DataFrame:
-        # The side with ids only is the one that is hashed; texts stream past it.
-        return ws.save(_sets(docs.join(nodes.hint("shuffle_hash"), F.col("__k") == F.col("node"), "left_semi"), F.col("__k"), words), "sets")
+        return ws.save(_sets(texts_of(nodes), F.col("__k"), words), "sets")
 
+    stars = members.where("node <> a").select("a", F.col("node").alias("b")).distinct()
+    if links is not None:
+        # What is tied already needs no comparison.
+        known = components(ws, links)
+        label = lambda c: known.select(F.col("node").alias(c), F.col("comp").alias(f"__{c}"))
+        stars = stars.join(label("a"), "a", "left").join(label("b"), "b", "left").where("NOT coalesce(__a = __b, false)").select("a", "b")
+    likely = ws.save(_against_leaders(stars, values, lambda v, w: estimate(v, w) >= floor, "<u2"), "likely")
     wanted = ws.save(likely.select(F.col("a").alias("node")).unionByName(likely.select(F.col("b").alias("node"))).distinct(), "nodes")
     sets = full_sets(wanted)
-    links = ws.save(_against_leaders(likely, sets, lambda v, w: linked(w, v, percent), "<u8"), "links")
+    new = _against_leaders(likely, sets, lambda v, w: linked(w, v, percent), "<u8")
+    links = ws.save(new if links is None else links.unionByName(new), "links")
     comps = components(ws, links)
 
     # Buckets that still hold two components.
     tied = members.select("key", "node").join(comps, "node", "left").select("key", "node", F.coalesce("comp", "node").alias("comp"))
     tied = ws.save(tied, "tied")
-    mixed = tied.groupBy("key").agg(F.min("comp").alias("p"), F.max("comp").alias("q")).where("p < q").select("key")
-    open_ = ws.save(_units(tied.join(mixed, "key")).join(values, "node"), "open")
+    sizes = ws.save(_sizes(tied), "sizes")
+    wide = sizes.where(F.lit(False) if most is None else F.col("all") - F.col("top") > most)
+    narrow = sizes if most is None else sizes.where(F.col("all") - F.col("top") <= most)
+    open_ = ws.save(_units(tied, narrow).join(values, "node"), "open")
 
     def likely_in_unit(unit, columns) -> Iterator[tuple]:
         node, comp, big, v = columns
@@ -304,7 +376,7 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", wo
             yield (*unit, node[h], big[h])
 
     flagged = ws.save(_by_unit(open_, ["node", "comp", "big", "v"], likely_in_unit, "key long, i long, j long, node long, big boolean").distinct(), "flagged")
-    if flagged.limit(1).count():
+    if not flagged.isEmpty():
         more = full_sets(flagged.select("node").distinct().join(wanted, "node", "left_anti"))
         sets = sets.unionByName(more)
         unit_rows = flagged.join(tied, ["key", "node"]).join(sets.withColumnRenamed("v", "full"), "node").join(values, "node")
@@ -329,7 +401,4 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", wo
         new = _by_unit(unit_rows, ["node", "comp", "big", "full", "v"], confirm, "a long, b long").distinct()
         links = ws.save(links.unionByName(ws.save(new, "more-links")), "all-links")
         comps = components(ws, links)
-    named = classes.select("c1", "c2", "node").join(comps, "node", "left").select("c1", "c2", F.coalesce("comp", "node").alias("comp"))
-    out = with_id.select("k", "n", "c1", "c2").join(named, ["c1", "c2"]).select("k", "n", "comp")
-    out = out.unionByName(rows.where("c1 IS NULL OR k IS NULL").select("k", "n", F.col("k").alias("comp")))
-    return out.select(F.col("k").alias(key), F.col("n").alias("n_shingles"), F.col("comp").alias("component_id"), F.coalesce(F.col("k") == F.col("comp"), F.lit(True)).alias("kept"))
+    return links, comps, tied.join(wide.select("key"), "key").select("key", "node")

@@ -70,6 +70,39 @@ def test_minhash_large_group_of_near_copies(spark, monkeypatch):
     assert got == brute.components(docs)
 
 
+@pytest.mark.parametrize("block", [4, 256])
+def test_minhash_texts_of_one_mould(spark, monkeypatch, block):
+    """Many texts that share bands but not the wanted similarity, linked pairs among them: wide buckets by rare shingles."""
+    monkeypatch.setattr(minhash, "BLOCK", block)
+    rng = random.Random(21)
+    base = [f"w{k}" for k in range(100)]
+    docs = {}
+    for k in range(90):
+        w = base[: 100 - k % 3] + [f"own{k}x{j}" for j in range(rng.randrange(14, 30))]
+        docs[k] = " ".join(w)
+        if k % 6 == 0:
+            w[rng.randrange(len(w))] = "changed"
+            docs[1000 + k] = " ".join(w)
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in minhash.near_duplicates(frame(spark, [(i, t, None) for i, t in docs.items()])).collect()}
+    want = brute.components(docs)
+    assert got == want and len({c for _, c in want.values()}) > 20
+
+
+def test_minhash_rare_keys_meet(spark):
+    """Two sets of the wanted similarity share one of their rarest shingles, whatever the other texts are."""
+    texts = corpus(31, 90)
+    keyed = defaultdict(set)
+    frame_ = spark.createDataFrame(list(enumerate(texts)), "node long, text string")
+    for r in minhash._rare_keys(spark, frame_, 5, 85).collect():
+        keyed[r["node"]].add(r["key"])
+    sets = [brute.shingles(t) for t in texts]
+    for i in range(len(texts)):
+        for j in range(i):
+            both = len(sets[i] & sets[j])
+            if both and 100 * both >= 85 * (len(sets[i]) + len(sets[j]) - both):
+                assert keyed[i] & keyed[j]
+
+
 def test_minhash_estimate_and_probes():
     rng = np.random.default_rng(0)
     pool = np.unique(rng.integers(0, 1 << 63, 6000).astype(np.uint64) * np.uint64(2))
