@@ -25,6 +25,8 @@ NGRAMS = (1, 2, 3, 4)
 #: Labelled rows used at most, of each language and in all; landmarks of each language.
 PER_LANG, IN_ALL, LANDMARKS = 250, 4000, 60
 RIDGE, SHARPNESS = 1e-2, 6.0
+#: Cells of a presence matrix.
+CELLS = 4 << 20
 _GAPS = re.compile(r"[\W\d_]+")
 
 
@@ -54,6 +56,20 @@ class LanguageModel:
     weights: np.ndarray  # a row for each gram, a column for each language
     bias: np.ndarray
 
+    def margins(self, sets: list[np.ndarray]) -> np.ndarray:
+        """A row for each non-empty gram set and a column for each language: presence matrices times the weights."""
+        out = np.zeros((len(sets), len(self.langs)))
+        size = max(1, CELLS // len(self.vocabulary))
+        for first in range(0, len(sets), size):
+            part = sets[first : first + size]
+            flat, sizes = np.concatenate(part), np.array([len(s) for s in part])
+            at = np.minimum(np.searchsorted(self.vocabulary, flat), len(self.vocabulary) - 1)
+            known = self.vocabulary[at] == flat
+            present = np.zeros((len(part), len(self.vocabulary)), dtype=np.float32)
+            present[np.repeat(np.arange(len(part)), sizes)[known], at[known]] = 1
+            out[first : first + size] = present @ self.weights / np.sqrt(sizes)[:, None] + self.bias
+        return out
+
     def score(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
         """Language and probability of each text; ``und`` and 0.0 if it is null or has no letter."""
         sets = [grams(t) if t else np.zeros(0, dtype=np.uint64) for t in texts]
@@ -61,15 +77,7 @@ class LanguageModel:
         some = [i for i, s in enumerate(sets) if len(s)]
         if not some or not self.langs:
             return names, scores
-        flat = np.concatenate([sets[i] for i in some])
-        sizes = np.array([len(sets[i]) for i in some])
-        at = np.minimum(np.searchsorted(self.vocabulary, flat), len(self.vocabulary) - 1)
-        known = self.vocabulary[at] == flat
-        # Presence matrix times weights: the rows of present grams, summed by text.
-        rows = np.zeros((len(flat) + 1, len(self.langs)))
-        rows[:-1] = np.where(known[:, None], self.weights[at], 0.0)
-        sums = np.add.reduceat(rows, np.cumsum(sizes) - sizes, axis=0)
-        margin = sums / np.sqrt(sizes)[:, None] + self.bias
+        margin = self.margins([sets[i] for i in some])
         z = np.exp(SHARPNESS * (margin - margin.max(axis=1, keepdims=True)))
         z /= z.sum(axis=1, keepdims=True)
         for i, k, p in zip(some, z.argmax(axis=1).tolist(), z.max(axis=1).tolist(), strict=True):
@@ -116,14 +124,15 @@ def train(docs: DataFrame, text: str = "text", lang: str = "lang", key: str = "d
     """
     bounded_batches(session_of(docs))
     rows = docs.where(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.col(key).cast("long").alias("k"), F.col(text).alias("t"), F.col(lang).alias("l"), F.xxhash64(F.col(key).cast("string")).alias("h"))
-    counts = {r["l"]: r["count"] for r in rows.groupBy("l").count().collect()}
+    # The IN_ALL / 2 most frequent languages are learned.
+    counts = {r["l"]: r["count"] for r in rows.groupBy("l").count().orderBy(F.desc("count"), "l").limit(IN_ALL // 2).collect()}
     if not counts:
         return fit([], [])
-    each = max(2, min(PER_LANG, IN_ALL // len(counts)))
+    each = min(PER_LANG, IN_ALL // len(counts))
     # A bound on the hash that about 1.5 * each rows of the language meet; the surplus is cut after sorting.
     bound = {v: min(1.0, (1.5 * each + 20) / n) for v, n in counts.items()}
     limit = F.create_map(*[F.lit(x) for v, p in bound.items() for x in (v, hash_bound(p))])
-    sample = rows.where(F.col("h") <= limit[F.col("l")]).drop("h")
+    sample = rows.where(F.col("h") <= F.try_element_at(limit, F.col("l"))).drop("h")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

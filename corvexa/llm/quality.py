@@ -1,13 +1,16 @@
 """Quality scores by Bradley-Terry ranking.
 
 A preference pair is a document labelled 1 and one labelled 0; a linear score is fitted by logistic loss on the
-feature differences of pairs (Newton steps with a small ridge). Scores are then placed so that the quantile of the
+feature differences of pairs (Newton steps with a small ridge). Features are figures of the whole text (lengths, kinds
+of characters, repeats), their sizes and squares, and the shares of its distinct words in SLOTS hash slots, whose
+weights are learned from the words alone. Scores are then placed so that the quantile of the
 training scores at the share of label 0 becomes 0.5: a threshold by score quantile.
 """
 
 from __future__ import annotations
 
 import math
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -21,9 +24,11 @@ from pyspark.sql.types import ArrayType, DoubleType, IntegerType, StructType
 from .common import bounded_batches, hash_bound, map_batches, session_of
 
 #: Labelled documents used at most, and preference pairs drawn from them.
-LABELLED, PAIRS = 6000, 60_000
-RIDGE, STEPS = 1e-3, 25
-N_RAW = 14
+LABELLED, PAIRS = 6000, 30_000
+RIDGE, WORD_RIDGE, STEPS = 1e-3, 2e-2, 25
+#: Figures of a text, and hash slots of its words.
+FIGURES, SLOTS = 14, 128
+N_RAW = FIGURES + SLOTS
 _KIND = np.zeros(256, dtype=np.int64)
 for _a, _b, _k in ((65, 90, 1), (97, 122, 2), (48, 57, 3), (128, 255, 4)):
     _KIND[_a : _b + 1] = _k
@@ -45,13 +50,15 @@ def features(text: str | None) -> np.ndarray:
     share = counts[counts > 0] / m
     seen = Counter(words)
     repeats = sum(map(str.__eq__, words, words[1:]))
-    return np.array(
+    figures = np.array(
         [
             math.log1p(n), len(raw) / max(1, n), kinds[1] / letters, letters / m, kinds[3] / m, kinds[0] / m, kinds[6] / m, kinds[5] / m,
             math.log1p(len(seen)) / math.log(2 + n), max(seen.values(), default=0) / max(1, n), repeats / max(1, n),
             math.log1p(n / max(1, len(lines))), 1 - len(set(lines)) / max(1, len(lines)), -float(share @ np.log2(share)) if raw else 0.0,
         ]
     )
+    slots = np.bincount(np.fromiter((zlib.crc32(w.encode("utf-8", "replace")) % SLOTS for w in seen), dtype=np.int64, count=len(seen)), minlength=SLOTS)
+    return np.concatenate([figures, slots / max(1, len(seen))])
 
 
 @dataclass
@@ -64,7 +71,8 @@ class QualityModel:
 
     def expand(self, raw: np.ndarray) -> np.ndarray:
         z = np.clip((raw - self.mean) / self.scale, -8, 8)
-        return np.hstack([z, np.abs(z), np.minimum(z * z, 16)])
+        f = z[:, :FIGURES]
+        return np.hstack([f, np.abs(f), np.minimum(f * f, 16), z[:, FIGURES:]])
 
     def score(self, raw: np.ndarray) -> np.ndarray:
         if not len(self.weights):
@@ -73,24 +81,31 @@ class QualityModel:
         return 1 / (1 + np.exp(-np.clip(s, -30, 30)))
 
 
+def newton(pairs: np.ndarray, ridge: np.ndarray) -> np.ndarray:
+    """Weights that minimise the mean of log(1 + exp(-w.x)) over the pairs plus the sum of ridge w^2 / 2."""
+    w = np.zeros(pairs.shape[1])
+    for _ in range(STEPS):
+        p = 1 / (1 + np.exp(np.clip(pairs @ w, -30, 30)))
+        step = np.linalg.solve((pairs * (p * (1 - p))[:, None]).T @ pairs / len(pairs) + np.diag(ridge), pairs.T @ p / len(pairs) - ridge * w)
+        w = w + step
+        if np.abs(step).max() < 1e-6:
+            break
+    return w
+
+
 def fit(raw: np.ndarray, labels: np.ndarray, seed: int = 7) -> QualityModel:
     """Bradley-Terry fit; with one label only, every score is 0.5."""
     good, bad = np.flatnonzero(labels == 1), np.flatnonzero(labels == 0)
     if not len(good) or not len(bad):
         return QualityModel(np.zeros(N_RAW), np.ones(N_RAW), np.zeros(0), 0.0, 1.0)
-    model = QualityModel(raw.mean(0), raw.std(0) + 1e-6, np.zeros(3 * N_RAW), 0.0, 1.0)
+    # Slots that hardly vary in the sample don't get a large scale.
+    floor = np.concatenate([np.full(FIGURES, 1e-6), np.full(SLOTS, 1e-3)])
+    model = QualityModel(raw.mean(0), raw.std(0) + floor, np.zeros(0), 0.0, 1.0)
     x = model.expand(raw)
     rng = np.random.default_rng(seed)
-    pairs = x[rng.choice(good, PAIRS)] - x[rng.choice(bad, PAIRS)]
-    w = model.weights
-    for _ in range(STEPS):
-        p = 1 / (1 + np.exp(np.clip(pairs @ w, -30, 30)))
-        step = np.linalg.solve((pairs * (p * (1 - p))[:, None]).T @ pairs / PAIRS + RIDGE * np.eye(len(w)), pairs.T @ p / PAIRS - RIDGE * w)
-        w = w + step
-        if np.abs(step).max() < 1e-6:
-            break
-    model.weights = w
-    s = x @ w
+    ridge = np.concatenate([np.full(3 * FIGURES, RIDGE), np.full(SLOTS, WORD_RIDGE)])
+    model.weights = newton(x[rng.choice(good, PAIRS)] - x[rng.choice(bad, PAIRS)], ridge)
+    s = x @ model.weights
     model.threshold = float(np.quantile(s, len(bad) / len(labels)))
     # The spread of the lower half of label-1 scores makes the logistic scale.
     model.spread = float(max(1e-3, np.median(s[good]) - model.threshold) / 3)
@@ -112,10 +127,10 @@ def _features(docs: DataFrame, text: str, *kept: Column) -> DataFrame:
 
 def train(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_id", label: str = "quality") -> QualityModel:
     """Fit on rows of ``labels`` (key, label 0 or 1) that meet ``docs``; at most about LABELLED, those whose key
-    hashes least. The bound holds for training only. Null keys and labels are left out; repeated rows count again."""
+    hashes least. The bound holds for training only. Null keys and labels are left out; repeated labels count once."""
     spark = session_of(docs)
     bounded_batches(spark)
-    rows = labels.where(F.col(key).isNotNull() & F.col(label).isin(0, 1)).select(F.col(key).cast("long").alias("__k"), F.col(label).cast("int").alias("__y"))
+    rows = labels.where(F.col(key).isNotNull() & F.col(label).isin(0, 1)).select(F.col(key).cast("long").alias("__k"), F.col(label).cast("int").alias("__y")).distinct()
     n = rows.count()
     # Both labels are drawn alike, so the quantile of label 0 is that of the labels.
     if n > LABELLED:

@@ -237,11 +237,35 @@ def test_language_without_letters(spark):
     assert got[3] == got[4] == got[5] == ("und", 0.0) and got[1][0] in {"en", "de", "fr"}
 
 
-def test_folded_weights_equal_the_kernel_form():
-    sets = [language.grams(t) for t in corpus(3, 20)]
-    model = language.fit(sets, ["a" if k % 2 else "b" for k in range(20)])
-    s = sets[0]
-    assert model.langs == ["a", "b"] and len(model.score(["", None, "1 2"])[0]) == 3 and len(s)
+def test_folded_weights_equal_the_kernel_form(monkeypatch):
+    """Margins of presence matrices against kernels with the landmarks, written out."""
+    monkeypatch.setattr(language, "LANDMARKS", 6)
+    monkeypatch.setattr(language, "CELLS", 3000)
+    sets = [language.grams(t) for t in corpus(3, 40)]
+    labels = [("a", "b", "c")[k % 3] for k in range(40)]
+    model = language.fit(sets, labels)
+    marks = [s for lang in "abc" for s in [s for s, y in zip(sets, labels) if y == lang][:6]]
+    kernel = lambda x, y: len(set(x.tolist()) & set(y.tolist())) / math.sqrt(len(x) * len(y))
+    values, vectors = np.linalg.eigh(np.array([[kernel(x, y) for y in marks] for x in marks]))
+    keep = values > 1e-8 * values[-1]
+    phi = np.array([[kernel(s, m) for m in marks] for s in sets]) @ (vectors[:, keep] / np.sqrt(values[keep]))
+    w = np.array([1 / labels.count(y) for y in labels])
+    w *= len(w) / w.sum()
+    y = np.where(np.array(labels)[:, None] == np.array(["a", "b", "c"]), 1.0, -1.0)
+    mean, bias = np.average(phi, axis=0, weights=w), np.average(y, axis=0, weights=w)
+    c = phi - mean
+    beta = np.linalg.inv(c.T @ np.diag(w) @ c + language.RIDGE * 40 * np.eye(phi.shape[1])) @ c.T @ np.diag(w) @ (y - bias)
+    assert np.allclose(model.margins(sets), c @ beta + bias, atol=1e-4)
+
+
+def test_bradley_terry_is_the_minimum():
+    """The gradient of the plain loss, pair by pair, vanishes at the weights; either step along an axis raises the loss."""
+    rng = np.random.default_rng(4)
+    pairs, ridge = rng.normal(size=(300, 4)) + [0.5, 0, -0.2, 0.1], np.array([1e-3, 1e-2, 1e-3, 1e-3])
+    w = quality.newton(pairs, ridge)
+    loss = lambda v: sum(math.log1p(math.exp(-float(x @ v))) for x in pairs) / len(pairs) + float(ridge @ v**2) / 2
+    gradient = ridge * w - sum(x / (1 + math.exp(float(x @ w))) for x in pairs) / len(pairs)
+    assert np.abs(gradient).max() < 1e-6 and all(loss(w + d * e) > loss(w) for e in np.eye(4) for d in (-1e-2, 1e-2))
 
 
 def test_quality_on_held_out_rows(spark):
