@@ -401,4 +401,6 @@ def _resolve(ws: Workspace, members: DataFrame, values: DataFrame, texts_of, wor
         new = _by_unit(unit_rows, ["node", "comp", "big", "full", "v"], confirm, "a long, b long").distinct()
         links = ws.save(links.unionByName(ws.save(new, "more-links")), "all-links")
         comps = components(ws, links)
-    return links, comps, tied.join(wide.select("key"), "key").select("key", "node")
+    left = ws.save(tied.join(wide.select("key"), "key").select("key", "node"), "wide")
+    ws.drop(likely, wanted, tied, sizes, open_, flagged)
+    return links, comps, left

@@ -287,7 +287,7 @@ def remove_repeats(docs: DataFrame, text: str = "text", key: str = "doc_id", as_
     # About 400,000 runs, or some shards' bytes, a partition.
     width = max(int(spark.conf.get("spark.sql.shuffle.partitions")), int(size / 35 / 400_000) + 1)
     span = ["k", "r", F.col("i").alias("a"), (F.col("i") + F.col("n") + LENGTH - 1).alias("b")]
-    source, found = long_enough.withColumn("i", F.lit(0).cast("long")), []
+    source, found, saved = long_enough.withColumn("i", F.lit(0).cast("long")), [], []
     for gram in GRAMS:
         cut = ws.save(_cut(source, gram), "runs")
         settled = ws.save(_settle(cut, width), "settled")
@@ -295,6 +295,7 @@ def remove_repeats(docs: DataFrame, text: str = "text", key: str = "doc_id", as_
         heavy = ws.save(heavy, "heavy")
         wanted = settled.where("kind = 1").join(heavy, "f", "left").withColumn("heavy", F.coalesce("heavy", F.lit(False))).select("f", "heavy", "k", "r", "i", "n")
         fetched = ws.save(_fetch(long_enough, wanted), "fetched")
+        saved += [cut, settled, heavy, fetched]
         found += [cut.where("again").select(*span), settled.where("kind = 0").select(*span), _sorted_shards(fetched.where("NOT heavy"), width)]
         if heavy.isEmpty():
             break
@@ -303,6 +304,7 @@ def remove_repeats(docs: DataFrame, text: str = "text", key: str = "doc_id", as_
         source = fetched.where("heavy").select("k", "r", "i", F.col("s").alias("raw"))
     spans = functools.reduce(DataFrame.unionByName, found)
     spans = ws.save(spans, "spans")
+    ws.drop(*saved)
     lists = spans.groupBy("k", "r").agg(F.collect_list(F.struct("a", "b")).alias("__x")).withColumnsRenamed({"k": "__k", "r": "__r"})
     both = keyed.withColumn("__b", raw).join(lists.hint("shuffle_hash"), ["__k", "__r"], "left").select(*rest, "__b", "__x")
     names = [*rest, "n_bytes", "spans", "kept"]
