@@ -25,7 +25,8 @@ RUN_BYTES, LEAST_RUN = 64 << 20, 256 << 10
 
 
 def hashed(text: Column) -> Column:
-    return F.conv(F.substring(F.md5(text.cast("binary")), 1, BITS // 4), 16, 10).cast("long")
+    """A column that is known to hold no null, so that no filter on it, with the digest written out again, is inferred."""
+    return F.coalesce(F.conv(F.substring(F.md5(text.cast("binary")), 1, BITS // 4), 16, 10).cast("long"), F.lit(0).cast("long"))
 
 
 def _refine(rows: DataFrame, column: str, by: list[str], state: list[dict], goals: list[int]) -> int:
@@ -120,7 +121,7 @@ def histogram_shards(docs: DataFrame, n_shards: int = 40, tolerance: float = 0.0
         bits = F.element_at(F.filter("__hot", lambda x: x["__h"] == h), 1)["bits"]
         steps = F.when(F.col("__hot").isNull(), F.lit(0).cast("long")).otherwise(n(lambda x: x["__h"] <= h) + n(lambda x: x["__h"] < h))
         inner = F.when(F.col("__hot").isNotNull() & F.exists("__hot", lambda x: x["__h"] == h), F.call_function("shiftright", j, F.lit(BITS) - bits)).otherwise(F.lit(0).cast("long"))
-        return df.withColumn("__part", F.shiftleft(steps, 40) + inner).drop("__hot")
+        return df.withColumn("__part", F.coalesce(F.shiftleft(steps, 40) + inner, F.lit(0).cast("long"))).drop("__hot")
 
     run = ["shard", "__band", "__part"]
     counts = ws.save(placed(keys).groupBy(*run).agg(F.count("*").alias("__n")), "runs")
