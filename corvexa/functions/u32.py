@@ -133,3 +133,15 @@ def avg_floor(a, b) -> Column:
 
 def clamp(x, lo, hi) -> Column:
     return F.least(F.greatest(_c(x), _c(lo)), _c(hi))
+
+
+def fma(a: Column, b: Column, c: Column) -> Column:
+    """a * b + c with one rounding: the product's rounding error, found by splitting both factors, is added to the sum."""
+    split = lambda x: (lambda t: t - (t - x))(x * 134217729.0)
+    a, b, c = a.cast("double"), b.cast("double"), c.cast("double")
+    p, ah, bh = a * b, split(a), split(b)
+    al, bl = a - ah, b - bh
+    low = ((ah * bh - p) + ah * bl + al * bh) + al * bl
+    s = p + c
+    v = s - p
+    return s + (((p - (s - v)) + (c - v)) + low)

@@ -18,6 +18,26 @@ def kind_is(nodes: DataFrame, kind: int) -> DataFrame:
     return nodes.where(F.col("kind") == kind).select("node")
 
 
+#: Kinds of nodes that are literals: numbers, characters, strings.
+LITERALS = (3, 4, 5)
+#: Tag bits of the region that a node belongs to.
+IN_FILE, IN_FUNCTION, IN_PACKAGE = 1, 2, 4
+
+
+def literals(nodes: DataFrame, kinds: tuple[int, ...] = LITERALS) -> DataFrame:
+    return nodes.where(F.col("kind").isin(*kinds)).select("node")
+
+
+def linked(frontier: DataFrame, edges: DataFrame, mask: int) -> DataFrame:
+    """Nodes that an edge of one of the mask's kinds joins to the frontier, whichever way it points."""
+    return hop(frontier, edges, mask).unionByName(hop(frontier, edges, mask, backward=True)).distinct()
+
+
+def calls_to(nodes: DataFrame, callees: DataFrame, edges: DataFrame) -> DataFrame:
+    """Call sites: nodes of a call-argument edge to a callee."""
+    return hop(callees, edges, CALL_ARG, backward=True).join(nodes.select("node"), "node", "left_semi")
+
+
 def tagged(nodes: DataFrame, mask: int) -> DataFrame:
     """Nodes whose tags meet a family's mask."""
     return nodes.where(F.col("tags").bitwiseAND(F.lit(mask)) != 0).select("node")
@@ -82,3 +102,17 @@ def aliases(x: DataFrame, y: DataFrame, edges: DataFrame) -> DataFrame:
 
 def dataflow(edges: DataFrame) -> DataFrame:
     return of_kind(edges, DATAFLOW)
+
+
+#: What each rule of the checks wants: uses that a guard covers, or uses that none covers.
+COVERED = ("auth_check_dominates", "buffer_size_check", "lock_dominates", "path_canonical", "sanitizer_dominates", "sql_param_bound", "xss_escape")
+UNCOVERED = ("format_string_check", "unchecked_return")
+
+
+def check(rule: str, uses: DataFrame, guards: DataFrame, edges: DataFrame) -> DataFrame:
+    """(rule, node) of one check. A guard covers itself and, over a dominance edge, what it dominates."""
+    if rule not in COVERED + UNCOVERED:
+        raise ValueError(f"no such check: {rule}")
+    covered = guards.select("node").unionByName(hop(guards, edges, DOMINANCE)).distinct()
+    found = held(uses, covered) if rule in COVERED else lacking(uses, covered)
+    return found.select(F.lit(rule).alias("rule"), "node")

@@ -100,3 +100,36 @@ def select1(index: DataFrame, asked: DataFrame) -> DataFrame:
 def stochastic_multiply(a: Column, b: Column) -> Column:
     """Product of two bit-stream probabilities: the share of positions set in both."""
     return F.zip_with(a, b, lambda x, y: x.bitwiseAND(y))
+
+
+def zeros(width: DataFrame) -> DataFrame:
+    """(word, bits) of no bits, for every word of width(word)."""
+    return width.select("word", F.lit(0).cast("long").alias("bits"))
+
+
+def copied(source: DataFrame, target: DataFrame) -> DataFrame:
+    """(word, bits): the source's bits at the target's words."""
+    return target.select("word").join(source, "word", "left").select("word", F.coalesce("bits", F.lit(0).cast("long")).alias("bits"))
+
+
+def apply_byte_table(pairs: DataFrame, bytes_: DataFrame) -> DataFrame:
+    """(k, bits) of pairs(k, x, y): byte i is v of bytes_(a, b, v) at byte i of x and of y. The table has 65,536 rows."""
+    byte = lambda c, i: F.call_function("shiftright", F.col(c), i * 8).bitwiseAND(F.lit(255).cast("long"))
+    each = pairs.select("k", "x", "y", F.explode(F.array(*map(F.lit, range(4)))).alias("i"))
+    each = each.select("k", "i", byte("x", F.col("i")).alias("a"), byte("y", F.col("i")).alias("b"))
+    found = each.join(F.broadcast(bytes_), ["a", "b"])
+    return found.groupBy("k").agg(F.bit_or(F.call_function("shiftleft", F.col("v"), F.col("i") * 8)).alias("bits"))
+
+
+def four_russians(rows: DataFrame, vectors: DataFrame) -> DataFrame:
+    """(g, bits): the rows (g, row, bits) of a boolean matrix of 32 rows joined by or, where vectors(g, front) have a bit.
+
+    Of each byte of the vector a table of its 256 values holds the rows joined; the vector's bytes then pick one each.
+    """
+    byte = F.call_function("div", F.col("row"), F.lit(8).cast("long"))
+    held = rows.groupBy("g", byte.alias("byte")).agg(F.map_from_entries(F.collect_list(F.struct((F.col("row") % 8).cast("int"), "bits"))).alias("m"))  # 8 rows
+    row = lambda r: F.coalesce(F.try_element_at("m", r), F.lit(0).cast("long"))
+    value = lambda v: F.aggregate(F.sequence(F.lit(0), F.lit(7)), F.lit(0).cast("long"), lambda s, r: F.when(F.call_function("shiftright", v, r) % 2 == 1, s.bitwiseOR(row(r))).otherwise(s))
+    tables = held.select("g", "byte", F.transform(F.sequence(F.lit(0), F.lit(255)), value).alias("t"))
+    at = F.call_function("shiftright", F.col("front"), (F.col("byte") * 8).cast("int")).bitwiseAND(F.lit(255).cast("long"))
+    return tables.join(vectors, "g").groupBy("g").agg(F.bit_or(F.get("t", at.cast("int"))).alias("bits"))

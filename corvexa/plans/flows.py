@@ -43,6 +43,30 @@ def node_kind_eq(spark, sf_dir):
     return flow.kind_is(nodes(spark, sf_dir), 7)
 
 
+@query(_sql("SELECT node FROM nodes WHERE kind BETWEEN 3 AND 5"))
+def literal_of(spark, sf_dir):
+    return flow.literals(nodes(spark, sf_dir))
+
+
+for _name, _bit in (("in_file", flow.IN_FILE), ("in_function", flow.IN_FUNCTION), ("in_package", flow.IN_PACKAGE)):
+
+    @query(_sql(f"SELECT node FROM nodes WHERE tags & {_bit} <> 0"), name=_name)
+    def _region(spark, sf_dir, bit=_bit):
+        return flow.tagged(nodes(spark, sf_dir), bit)
+
+
+@query(_sql("SELECT dst AS node FROM edges JOIN x ON node = src WHERE kind & 6 <> 0 UNION SELECT src FROM edges JOIN x ON node = dst WHERE kind & 6 <> 0"))
+def edge_predicate(spark, sf_dir):
+    """Nodes that an edge of a family joins to a set, either way."""
+    return flow.linked(_sets(spark, sf_dir)[0], edges(spark, sf_dir), flow.ALIAS | flow.CALL_ARG)
+
+
+@query(_sql("SELECT DISTINCT src AS node FROM edges JOIN z ON node = dst WHERE kind & 4 <> 0 AND src IN (SELECT node FROM nodes WHERE kind < 10)"))
+def call_to(spark, sf_dir):
+    """Call sites of some callees on the graph."""
+    return flow.calls_to(nodes(spark, sf_dir).where("kind < 10"), _sets(spark, sf_dir)[2], edges(spark, sf_dir))
+
+
 @query(_sql("SELECT node FROM nodes WHERE tags & 20 <> 0"))
 def label_by_family(spark, sf_dir):
     return flow.tagged(nodes(spark, sf_dir), 20)
@@ -85,18 +109,26 @@ def flows_to_to_sink(spark, sf_dir):
 
 @query(_sql("SELECT node FROM x WHERE node NOT IN (SELECT node FROM z)"))
 def taint_kill(spark, sf_dir):
-    """Also unchecked returns and format strings: uses that no check covers."""
     x, _, z = _sets(spark, sf_dir)
     return flow.lacking(x, z)
 
 
 @query(_sql("SELECT node FROM x WHERE node IN (SELECT node FROM y)"))
 def check_dominates(spark, sf_dir):
-    """Authentication, lock, buffer-size, path, sanitizer, SQL-parameter and escape checks: covered uses."""
     x, y, _ = _sets(spark, sf_dir)
     return flow.held(x, y)
 
 
+for _k, _rule in enumerate(flow.COVERED + flow.UNCOVERED):
+    _not = "NOT " if _rule in flow.UNCOVERED else ""
+
+    @query(_sql(f"SELECT '{_rule}' AS rule, node FROM nodes WHERE kind IN ({_k}, {_k + 9}) AND node {_not}IN (SELECT node FROM nodes g WHERE node % 5 = {_k % 5} UNION SELECT dst FROM edges WHERE kind & 8 <> 0 AND src % 5 = {_k % 5})"), name=_rule)
+    def _check(spark, sf_dir, rule=_rule, k=_k):
+        """Uses of one kind of node against the guards of the rule."""
+        n = nodes(spark, sf_dir)
+        return flow.check(rule, n.where(F.col("kind").isin(k, k + 9)).select("node"), some(spark, sf_dir, k % 5, 5), edges(spark, sf_dir))
+
+
 @query(_sql("SELECT node FROM x WHERE node IN (SELECT node FROM y) AND node NOT IN (SELECT node FROM z)"))
 def integer_overflow_arith(spark, sf_dir):
     return flow.overflow_risk(*_sets(spark, sf_dir))

@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from corvexa.functions import u32
+from corvexa.operators import extensions
+from corvexa.plans.lineage import cut
 from corvexa.registry import query, table
 
 _AB = "SELECT l_orderkey AS k, l_linenumber AS n, (l_orderkey * 2654435761) % 4294967296 AS a, (l_partkey * 40503 + l_suppkey) % CASE WHEN l_linenumber = 3 THEN 1 ELSE 4294967296 END AS b FROM lineitem"
@@ -81,6 +83,76 @@ def subgroup_shuffle(spark, sf_dir):
     return pair.select(F.explode(F.transform("x", lambda e: F.struct(e["i"].alias("i"), F.get(other(e), F.lit(0))["v"].alias("shuffled")))).alias("e")).where("e.shuffled IS NOT NULL").select("e.i", "e.shuffled")
 
 
+@query(f"""SELECT o_orderkey // {LANES} AS g, CAST(list_reduce(list(v ORDER BY o_orderkey), lambda a, b: (a * b) % 4294967296, CAST(1 AS HUGEINT)) AS BIGINT) AS product
+ FROM (SELECT o_orderkey, CAST(CAST(round(o_totalprice) AS BIGINT) | 1 AS HUGEINT) AS v FROM orders) GROUP BY 1""")
+def subgroup_multiply(spark, sf_dir):
+    """Wrapping products over groups of LANES neighbours."""
+    t = table(spark, sf_dir, "orders", "o_orderkey", "o_totalprice")
+    g = F.call_function("div", F.col("o_orderkey"), F.lit(LANES).cast("long"))
+    v = F.round("o_totalprice").cast("long").bitwiseOR(F.lit(1).cast("long"))
+    return t.groupBy(g.alias("g")).agg(F.collect_list(v).alias("x")).select("g", F.aggregate("x", F.lit(1).cast("long"), u32.mul).alias("product"))  # LANES values at most
+
+
+def fetch_nand(updates: DataFrame, slot: str, order: str, operand: str, start: int = u32.MAX) -> DataFrame:
+    """(slot, final) after v = not (v and operand) in ``order``.
+
+    Steps compose: each is v -> (v and m) xor c. Ranges of the order are folded apart, so a hot slot is many tasks, and
+    their few results are folded in turn.
+    """
+    placed = cut(updates.select(slot, F.col(order).alias("o"), F.col(operand).alias("m")).repartitionByRange(slot, "o").withColumn("b", F.spark_partition_id()))
+    both = lambda s, u: F.struct(s["m"].bitwiseAND(u["m"]).alias("m"), s["c"].bitwiseAND(u["m"]).bitwiseXOR(u["c"]).alias("c"))
+    one = F.struct(F.lit(u32.MAX).cast("long").alias("m"), F.lit(0).cast("long").alias("c"))
+    step = F.struct(F.col("o"), F.col("m").cast("long").alias("m"), F.lit(u32.MAX).cast("long").alias("c"))
+    parts = placed.groupBy(slot, "b").agg(F.min("o").alias("o"), F.aggregate(F.array_sort(F.collect_list(step)), one, both).alias("f")).select(slot, "o", "f.m", "f.c")
+    whole = parts.groupBy(slot).agg(F.aggregate(F.array_sort(F.collect_list(F.struct("o", "m", "c"))), one, both).alias("f"))
+    return whole.select(slot, F.lit(start).cast("long").bitwiseAND(F.col("f.m")).bitwiseXOR(F.col("f.c")).alias("final"))
+
+
+@query("""SELECT user_id AS slot, CAST(list_reduce(list(event_id ORDER BY ts, event_id), lambda v, x: 4294967295 - (v & x), 4294967295) AS BIGINT) AS final FROM events GROUP BY user_id""")
+def atomic_fetch_nand(spark, sf_dir):
+    t = table(spark, sf_dir, "events", "event_id", "ts", "user_id").select(F.col("user_id").alias("slot"), F.struct("ts", "event_id").alias("o"), F.col("event_id").alias("m"))
+    return fetch_nand(t, "slot", "o", "m")
+
+
+@query(f"SELECT CAST(bit_and(a) AS BIGINT) AS all_and, CAST(bit_or(a) AS BIGINT) AS all_or, CAST(bit_xor(a) AS BIGINT) AS all_xor, min(a) AS all_min, max(a) AS all_max FROM ({_AB})")
+def collective_bits(spark, sf_dir):
+    """Collective reductions over all lanes of all groups: one row."""
+    return operands(spark, sf_dir).agg(F.bit_and("a").alias("all_and"), F.bit_or("a").alias("all_or"), F.bit_xor("a").alias("all_xor"), F.min("a").alias("all_min"), F.max("a").alias("all_max"))
+
+
+_ODD = "SELECT l_orderkey AS k, l_linenumber AS n, CASE l_orderkey % 6 WHEN 0 THEN CAST('nan' AS DOUBLE) WHEN 1 THEN CAST('inf' AS DOUBLE) WHEN 2 THEN CAST('-inf' AS DOUBLE) ELSE l_quantity - 25 END AS x FROM lineitem"
+
+
+@query(f"SELECT k, n, isnan(x) AS is_nan, isinf(x) AS is_inf, isfinite(x) AS is_finite FROM ({_ODD})")
+def float_classes(spark, sf_dir):
+    """Classes of numbers that hold NaN and both infinities."""
+    t = table(spark, sf_dir, "lineitem", "l_orderkey", "l_linenumber", "l_quantity")
+    r, x, inf = F.col("l_orderkey") % 6, F.col("x"), float("inf")
+    t = t.select(F.col("l_orderkey").alias("k"), F.col("l_linenumber").alias("n"), F.when(r == 0, float("nan")).when(r == 1, inf).when(r == 2, -inf).otherwise(F.col("l_quantity") - 25).alias("x"))
+    return t.select("k", "n", F.isnan(x).alias("is_nan"), (~F.isnan(x) & (F.abs(x) == inf)).alias("is_inf"), (~F.isnan(x) & (F.abs(x) < inf)).alias("is_finite"))
+
+
+@query("SELECT l_orderkey AS k, l_linenumber AS n, CAST(CAST(round(l_extendedprice * 100) AS HUGEINT) * 100000007 + l_partkey AS VARCHAR) AS exact, round(l_quantity * 1.5 + l_linenumber, 6) AS near FROM lineitem")
+def fused_multiply_add(spark, sf_dir):
+    """a * b + c with one rounding: exact in decimals, and in doubles where they hold the product."""
+    t = table(spark, sf_dir, "lineitem", "l_orderkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_partkey")
+    a = F.round(F.col("l_extendedprice") * 100).cast("decimal(18,0)")
+    return t.select(F.col("l_orderkey").alias("k"), F.col("l_linenumber").alias("n"), (a * F.lit(100000007).cast("decimal(10,0)") + F.col("l_partkey").cast("decimal(18,0)")).cast("decimal(38,0)").cast("string").alias("exact"), F.round(u32.fma(F.col("l_quantity"), F.lit(1.5), F.col("l_linenumber")), 6).alias("near"))
+
+
+@query(f"""SELECT k, n, CASE WHEN a % 2 = 0 THEN a // 2 ELSE (3 * a + 1) % 4294967296 END AS collatz, xor(a, a >> 1) AS gray, (a & b) | ((4294967295 - a) & n) AS mux,
+ a % 7 = 3 AND b > 1000 AS flagged FROM ({_AB})""")
+def opaque_operations(spark, sf_dir):
+    """Operations that a caller has registered by name: unary, binary, ternary, and a rule condition."""
+    ops = extensions.Extensions()
+    ops.register("collatz", lambda a: F.when(a % 2 == 0, u32.div(a, 2)).otherwise(u32.add(u32.mul(a, 3), 1)))
+    ops.register("gray", lambda a: a.bitwiseXOR(F.shiftright(a, 1)))
+    ops.register("mux", lambda s, a, b: s.bitwiseAND(a).bitwiseOR(u32.bit_not(s).bitwiseAND(b)))
+    ops.register("flagged", lambda a, b: (a % 7 == 3) & (b > 1000))
+    a, b, n = F.col("a"), F.col("b"), F.col("n").cast("long")
+    return operands(spark, sf_dir).select("k", "n", ops.call("collatz", a).alias("collatz"), ops.call("gray", a).alias("gray"), ops.call("mux", a, b, n).alias("mux"), ops.condition("flagged", a, b).column.alias("flagged"))
+
+
 @query("""SELECT user_id AS slot, count(*) AS added, bit_or(event_id) AS ored, bit_and(event_id) AS anded, bit_xor(event_id) AS xored, min(event_id) AS least, max(event_id) AS most,
  arg_max(event_type, (ts, event_id)) AS exchanged, epoch_us(max(ts)) AS lru FROM events GROUP BY user_id""")
 def atomic_updates(spark, sf_dir):

@@ -93,3 +93,33 @@ def select1_query(spark, sf_dir):
 def stochastic_and_mul(spark, sf_dir):
     streams = lambda c, m: F.transform(F.array(*map(F.lit, (1, 2, 3, 4))), lambda i: c * m * i % 65536)
     return table(spark, sf_dir, "orders", "o_orderkey", "o_custkey").select(F.col("o_orderkey").alias("k"), sets.stochastic_multiply(streams(F.col("o_orderkey"), 2654435761), streams(F.col("o_custkey"), 40503)).alias("product"))
+
+
+@query(f"WITH a AS ({_PACK.format(_A)}), w AS (SELECT DISTINCT p_partkey // 32 AS word FROM part) SELECT word, coalesce(bits, 0) AS copied, CAST(0 AS BIGINT) AS zeroed FROM w LEFT JOIN a USING (word)")
+def bitset_copy_zero(spark, sf_dir):
+    """A packed set copied to a table with a word for every place, and one of zeros."""
+    width = table(spark, sf_dir, "part", "p_partkey").select(F.call_function("div", F.col("p_partkey"), F.lit(32).cast("long")).alias("word")).distinct()
+    zero = sets.zeros(width)
+    return sets.copied(sets.pack(_parts(spark, sf_dir, 3)), zero).withColumnRenamed("bits", "copied").join(zero.withColumnRenamed("bits", "zeroed"), "word")
+
+
+@query("SELECT k, CAST(list_sum([(((x >> (8 * i)) & 255) * ((y >> (8 * i)) & 255) + 7) % 256 << (8 * i) FOR i IN range(4)]) AS BIGINT) AS looked FROM (SELECT o_orderkey AS k, (o_orderkey * 2654435761) % 4294967296 AS x, (o_custkey * 40503) % 4294967296 AS y FROM orders)")
+def byte_table_apply(spark, sf_dir):
+    """Words combined byte by byte through a table of all pairs of bytes."""
+    t = table(spark, sf_dir, "orders", "o_orderkey", "o_custkey").select(F.col("o_orderkey").alias("k"), u32.mul(F.col("o_orderkey"), 2654435761).alias("x"), (F.col("o_custkey") * 40503 % u32.WORD).alias("y"))
+    pair = spark.range(1 << 16).select(F.shiftright("id", 8).alias("a"), F.col("id").bitwiseAND(F.lit(255).cast("long")).alias("b"))
+    return sets.apply_byte_table(t, pair.select("a", "b", ((F.col("a") * F.col("b") + 7) % 256).alias("v"))).withColumnRenamed("bits", "looked")
+
+
+_LOCAL = "arcs AS (SELECT DISTINCT p_partkey // 32 AS g, p_partkey % 32 AS src, k * (p_partkey + p_size) % 32 AS dst FROM part, (SELECT unnest([1, 3, 5]) AS k)), front AS (SELECT p_partkey // 32 AS g, p_partkey % 32 AS node FROM part WHERE p_size % 3 = 0)"
+
+
+@query(f"WITH {_LOCAL} SELECT arcs.g, bit_or(CAST(1 AS BIGINT) << dst) AS bits FROM arcs JOIN front ON front.g = arcs.g AND front.node = arcs.src GROUP BY 1")
+def four_russians_matvec(spark, sf_dir):
+    """Boolean matrices of 32 by 32 times vectors: a table a byte of the vector, one look-up a byte."""
+    p = table(spark, sf_dir, "part", "p_partkey", "p_size")
+    k, g = F.col("p_partkey"), F.call_function("div", F.col("p_partkey"), F.lit(32).cast("long")).alias("g")
+    bit = lambda c: F.call_function("shiftleft", F.lit(1).cast("long"), c.cast("int"))
+    rows = p.select(g, (k % 32).alias("row"), F.explode(F.array(*[m * (k + F.col("p_size")) % 32 for m in (1, 3, 5)])).alias("d")).groupBy("g", "row").agg(F.bit_or(bit(F.col("d"))).alias("bits"))
+    front = p.where("p_size % 3 = 0").select(g, (k % 32).alias("n")).groupBy("g").agg(F.bit_or(bit(F.col("n"))).alias("front"))
+    return sets.four_russians(rows, front).where("bits <> 0")
