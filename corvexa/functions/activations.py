@@ -67,6 +67,16 @@ def adamw(p: Column, g: Column, m: Column, v: Column, step: int, rate: float = 1
     return p - rate * (m / (1 - b1**step) / (F.sqrt(v / (1 - b2**step)) + eps) + decay * p), m, v
 
 
+def scale_grad(x: Column, scale: Column, grad: Column) -> tuple[Column, Column]:
+    """Of x * scale: gradients of x and of the scale."""
+    return grad * scale, grad * x
+
+
+def residual_grad(grad: Column) -> tuple[Column, Column, Column]:
+    """Of x + attention + mlp: each gets the gradient as it is."""
+    return grad, grad, grad
+
+
 def ema(old: Column, new: Column, decay: float) -> Column:
     return decay * old + (1 - decay) * new
 

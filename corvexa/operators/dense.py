@@ -120,6 +120,20 @@ def unpack_fields(word: Column, bits: int, count: int, signed: bool = False) ->
     return F.transform(F.sequence(F.lit(0), F.lit(count - 1)), lambda k: sign(field(k)))
 
 
+def int4_products(df: DataFrame, key: str, vector: str, weights: DataFrame) -> DataFrame:
+    """(key, r, y): each vector times the rows of weights(r, words, scale), eight signed 4-bit weights to a word."""
+    if weights.count() > BLOCK:
+        raise ValueError("the matrix has too many rows to broadcast")
+    fields = F.flatten(F.transform("words", lambda w: unpack_fields(w, 4, 8, signed=True)))
+    both = df.select(key, vector).crossJoin(F.broadcast(weights.select("r", fields.alias("__w"), "scale")))  # rows of a checked number
+    return both.select(key, "r", (dot(F.col(vector), F.col("__w")) * F.col("scale")).alias("y"))
+
+
+def gram(pairs: DataFrame, coefficients: DataFrame) -> DataFrame:
+    """(i, j, v): the coefficient c of each pair(i, j, pair); 0 where there is none."""
+    return pairs.join(coefficients, "pair", "left").select("i", "j", F.coalesce("c", F.lit(0).cast("long")).alias("v"))
+
+
 def pack_fields(fields: Column, bits: int) -> Column:
     low = F.transform(fields, lambda x, k: F.call_function("shiftleft", x.cast("long").bitwiseAND(F.lit((1 << bits) - 1)), (k * bits).cast("int")))
     return F.aggregate(low, F.lit(0).cast("long"), lambda s, x: s.bitwiseOR(x))

@@ -37,22 +37,22 @@ def ntt_butterfly(spark, sf_dir):
     return table(spark, sf_dir, "orders", "o_orderkey", "o_custkey").select(k.alias("id"), low.alias("low"), high.alias("high"))
 
 
-@query(f"SELECT id, round(v[1] * v[5] + v[2] * v[6] + v[3] * v[7] - v[4] * v[8], 6) AS s, round(v[1] * v[6] + v[2] * v[5] - v[3] * v[8] + v[4] * v[7], 6) AS x, round(v[1] * v[7] + v[3] * v[5] + v[2] * v[8] - v[4] * v[6], 6) AS y, round(v[1] * v[8] + v[4] * v[5] + v[2] * v[7] - v[3] * v[6], 6) AS p FROM ({_V})")
+_EIGHT = f"(SELECT id, h, v[h * 8 + 1:h * 8 + 8] AS v FROM ({_V}), range(8) r(h))"
+
+
+@query(f"SELECT id, h, round(v[1] * v[5] + v[2] * v[6] + v[3] * v[7] - v[4] * v[8], 6) AS s, round(v[1] * v[6] + v[2] * v[5] - v[3] * v[8] + v[4] * v[7], 6) AS x, round(v[1] * v[7] + v[3] * v[5] + v[2] * v[8] - v[4] * v[6], 6) AS y, round(v[1] * v[8] + v[4] * v[5] + v[2] * v[7] - v[3] * v[6], 6) AS p FROM {_EIGHT}")
 def clifford_product(spark, sf_dir):
+    """Products of the multivectors in each eight components."""
+    t = vectors(spark, sf_dir).select("id", F.explode(F.sequence(F.lit(0), F.lit(7))).alias("h"), "v").select("id", F.col("h").cast("long").alias("h"), F.slice("v", F.col("h") * 8 + 1, 8).alias("v"))
     v = [F.get("v", F.lit(k)) for k in range(8)]
-    return vectors(spark, sf_dir).select("id", *[F.round(c, 6).alias(n) for n, c in zip("sxyp", algebra.geometric_product(v[:4], v[4:]), strict=True)])
+    return t.select("id", "h", *[F.round(c, 6).alias(n) for n, c in zip("sxyp", algebra.geometric_product(v[:4], v[4:]), strict=True)])
 
 
-@query(f"SELECT id, round(v[4] - 0.5 * v[3] - 0.125 * v[2] - 0.0625 * v[1], 6) AS fourth, round(v[9] - 0.5 * v[8] - 0.125 * v[7] - 0.0625 * v[6], 6) AS ninth FROM ({_V})")
+@query(f"SELECT id, j, round(v[j + 1] - 0.5 * coalesce(v[j], 0) - 0.125 * CASE WHEN j > 1 THEN v[j - 1] ELSE 0 END - 0.0625 * CASE WHEN j > 2 THEN v[j - 2] ELSE 0 END, 6) AS d FROM (SELECT id, [0.0] || v AS w, v, unnest(range(len(v))) AS j FROM ({_V}))")
 def fractional_derivative(spark, sf_dir):
-    d = vectors(spark, sf_dir).select("id", algebra.fractional_derivative(F.slice("v", 1, 9), 0.5, 4).alias("d"))
-    return d.select("id", F.round(F.get("d", F.lit(3)), 6).alias("fourth"), F.round(F.get("d", F.lit(8)), 6).alias("ninth"))
-
-
-@query(f"SELECT id, round(CASE WHEN v[2] * v[1] > 0 THEN v[4] * v[3] ELSE 0 END * v[2], 6) AS dx, round(CASE WHEN v[2] * v[1] > 0 THEN v[4] * v[3] ELSE 0 END * v[1], 6) AS dw1, round(v[4] * greatest(v[2] * v[1], 0), 6) AS dw2 FROM ({_V})")
-def mlp_gradients(spark, sf_dir):
-    g = algebra.relu_layer_gradients(*[F.get("v", F.lit(k)) for k in range(4)])
-    return vectors(spark, sf_dir).select("id", *[(F.round(c, 6) + 0).alias(n) for n, c in zip(("dx", "dw1", "dw2"), g, strict=True)])
+    """Half derivatives of whole vectors, from the four newest values."""
+    d = vectors(spark, sf_dir).select("id", F.posexplode(algebra.fractional_derivative(F.col("v"), 0.5, 4)).alias("j", "d"))
+    return d.select("id", F.col("j").cast("long").alias("j"), F.round("d", 6).alias("d"))
 
 
 _E = f"{_PAIRS}, {_EVEN}"

@@ -83,22 +83,13 @@ def kv_cache_append(spark, sf_dir):
     return old.join(new.select("pos", F.col("v").alias("n")), "pos", "left").select("pos", F.coalesce("n", "v").alias("v"))
 
 
-@query(f"SELECT l_orderkey, l_linenumber, round(e.v, 6) AS first FROM lineitem JOIN (SELECT id, v[1] AS v FROM ({_V})) e ON e.id = l_partkey % (SELECT count(*) FROM embeddings)")
+@query(f"SELECT l_orderkey, l_linenumber, round(e.v, 6) AS first, round(e.t, 4) AS total FROM lineitem JOIN (SELECT id, v[1] AS v, list_sum(v) AS t FROM ({_V})) e ON e.id = l_partkey % (SELECT count(*) FROM embeddings)")
 def embedding_lookup(spark, sf_dir):
     """Part keys folded by the number of rows of the table that is looked up, so that every row can be met."""
     v = vectors(spark, sf_dir)
-    e = v.select("id", F.get("v", F.lit(0)).alias("x"))
+    e = v.select("id", F.get("v", F.lit(0)).alias("x"), dense.total(F.col("v")).alias("total"))
     t = table(spark, sf_dir, "lineitem", "l_orderkey", "l_linenumber", "l_partkey").withColumn("id", F.col("l_partkey") % max(1, v.count()))
-    return t.join(e, "id").select("l_orderkey", "l_linenumber", F.round("x", 6).alias("first"))
-
-
-@query(f"""WITH t AS (SELECT id, v[1] AS p, v[2] AS g, v[3] * 0.1 AS m, abs(v[4]) * 0.01 AS s FROM ({_V})), n AS (SELECT id, p, 0.9 * m + (1 - 0.9) * g AS m, 0.999 * s + (1 - 0.999) * g * g AS s FROM t)
-SELECT id, round(p - 0.001 * (m / (1 - pow(0.9, 3)) / (sqrt(s / (1 - pow(0.999, 3))) + 1e-8) + 0.01 * p), 6) AS p, round(m, 6) AS m, round(s, 7) AS v, round(0.99 * p + (1 - 0.99) * m, 6) AS ema FROM n""")
-def adamw_step(spark, sf_dir):
-    at = lambda k: F.get("v", F.lit(k))
-    t = vectors(spark, sf_dir).select("id", at(0).alias("p"), at(1).alias("g"), (at(2) * 0.1).alias("m"), (F.abs(at(3)) * 0.01).alias("s"))
-    p, m, s = A.adamw(F.col("p"), F.col("g"), F.col("m"), F.col("s"), 3)
-    return t.select("id", F.round(p, 6).alias("p"), F.round(m, 6).alias("m"), F.round(s, 7).alias("v"), F.round(A.ema(F.col("p"), m, 0.99), 6).alias("ema"))
+    return t.join(e, "id").select("l_orderkey", "l_linenumber", F.round("x", 6).alias("first"), F.round("total", 4).alias("total"))
 
 
 @query(f"WITH t AS (SELECT id, unnest(v) AS x, unnest(range(len(v))) AS k FROM ({_V})), s AS (SELECT id, 2 * stddev_pop(x) AS c FROM t GROUP BY id) SELECT id, k AS pos, round(least(greatest(x, -c), c), 6) AS clipped, least(greatest(round(x / 0.1), 0), 15) AS rounded FROM t JOIN s USING (id)")

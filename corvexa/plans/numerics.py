@@ -31,17 +31,6 @@ def knn_graph(spark, sf_dir):
     return dense.nearest(v, v.where("id % 50 = 0"), 5).select("query", "rank", "id", F.round("distance", 6).alias("distance"))
 
 
-_W = [[0.5, -0.25, 1.0], [1.5, 0.75, -2.0], [0.25, 0.5, 0.125], [-1.0, 2.0, 0.0]]
-_BIAS = [0.1, -0.2, 0.3]
-
-
-@query("SELECT id, " + ", ".join(f"round({' + '.join(f'v[{k + 1}] * {_W[k][j]}' for k in range(4))} + {_BIAS[j]}, 6) AS y{j}, round(greatest({' + '.join(f'v[{k + 1}] * {_W[k][j]}' for k in range(4))} + {_BIAS[j]}, 0), 6) AS relu{j}" for j in range(3)) + f" FROM ({_V})")
-def linear_rows(spark, sf_dir):
-    y = dense.linear(F.slice("v", 1, 4), _W, _BIAS)
-    out = vectors(spark, sf_dir).select("id", y.alias("y"))
-    return out.select("id", *[F.round(c, 6).alias(n) for j in range(3) for n, c in ((f"y{j}", F.get("y", F.lit(j))), (f"relu{j}", A.relu(F.get("y", F.lit(j)))))])
-
-
 _M = "SELECT l_linenumber AS batch, l_suppkey % 8 AS i, l_partkey % 16 AS k, CAST(sum(CAST(l_quantity AS BIGINT)) AS BIGINT) AS v FROM lineitem GROUP BY 1, 2, 3"
 
 
@@ -74,13 +63,6 @@ def im2col_3x3(spark, sf_dir):
     return dense.patches(grid(spark, sf_dir)).select("y", "x", F.posexplode("patch").alias("k", "v")).select("y", "x", F.col("k").cast("long").alias("k"), "v")
 
 
-@query(f"SELECT id, k, round(sum(x * cos(-2 * pi() * k * n / 8)), 4) + 0 AS re, round(sum(x * sin(-2 * pi() * k * n / 8)), 4) + 0 AS im FROM (SELECT id, unnest(v[1:8]) AS x, unnest(range(8)) AS n FROM ({_V})), range(8) r(k) GROUP BY id, k")
-def fft_radix2(spark, sf_dir):
-    s = dense.with_fft(vectors(spark, sf_dir).select("id", F.slice("v", 1, 8).alias("w")), "w")
-    k = F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(7)), lambda k: F.struct((F.round(F.get("spectrum", 2 * k), 4) + 0).alias("re"), (F.round(F.get("spectrum", 2 * k + 1), 4) + 0).alias("im"))))
-    return s.select("id", k.alias("k", "e")).select("id", F.col("k").cast("long").alias("k"), "e.re", "e.im")
-
-
 @query()
 def newton_schulz(spark, sf_dir):
     """Orthogonalised 4 x 16 blocks of the embeddings."""
@@ -88,12 +70,6 @@ def newton_schulz(spark, sf_dir):
     return dense.with_orthogonal(vectors(spark, sf_dir).where(n % 4 == 0), "v", 4).select("id", F.transform("orthogonal", lambda x: F.round(x, 6)).alias("orthogonal"))
 
 
-@query(f"SELECT id, round((v[4] + 3) / d, 6) AS a, round(-v[2] / d, 6) AS b, round(-v[3] / d, 6) AS c, round((v[1] + 3) / d, 6) AS e FROM (SELECT id, v, (v[1] + 3) * (v[4] + 3) - v[2] * v[3] AS d FROM ({_V}))")
-def kfac_block_inverse(spark, sf_dir):
-    i = dense.with_inverse(vectors(spark, sf_dir).select("id", F.slice("v", 1, 4).alias("w")), "w", 2, 3.0)
-    return i.select("id", *[F.round(F.get("inverse", F.lit(k)), 6).alias(n) for k, n in enumerate("abce")])
-
-
 @query("""SELECT id, [w & 15, (w >> 4) & 15, (w >> 28) & 15] AS fields, CASE WHEN (w >> 28) & 15 >= 8 THEN ((w >> 28) & 15) - 16 ELSE (w >> 28) & 15 END AS signed, w AS packed,
  CAST(list_sum(list_transform(range(0, 8), lambda k: CASE WHEN (w >> (4 * k)) & 15 >= 8 THEN ((w >> (4 * k)) & 15) - 16 ELSE (w >> (4 * k)) & 15 END * (k + 1))) AS BIGINT) AS dot, round(((w & 63) * 0.5) + 0.25, 3) AS int6, round((w & 255) * 0.125, 3) AS int8
  FROM (SELECT o_orderkey AS id, (o_orderkey * 2654435761) % 4294967296 AS w FROM orders)""")
