@@ -35,7 +35,7 @@ LENGTH = 100
 #: Bytes of anchors, level by level.
 GRAMS = (32, 64, 96, LENGTH)
 #: Bytes of a shard, and differing runs of one anchor that a shard takes.
-SHARD, HEAVY = 1 << 20, 8192
+SHARD, HEAVY = 1 << 19, 4096
 #: A text is cut into runs by segments of so many bytes, so that memory stays bounded.
 SEGMENT = 1 << 20
 _U = np.uint64
@@ -86,11 +86,12 @@ def _long(x) -> np.ndarray:
     return np.asarray(x).view(np.int64) if np.asarray(x).dtype == np.uint64 else np.asarray(x, dtype=np.int64)
 
 
-_RUN = "f long, h long, n long, k long, r long, i long, again boolean"
+_RUN = "f long, h long, n long, k long, r long, i long, p long, again boolean"
 
 
 def _cut(texts: DataFrame, gram: int) -> DataFrame:
-    """Rows of _RUN for texts, or parts of them, (k, r, i, raw); ``again``: an equal run of the same batch is earlier."""
+    """Rows of _RUN for texts, or parts of them, (k, r, i, raw); ``p`` is where the part begins, ``again``: an equal run
+    of the same batch is earlier."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -99,18 +100,18 @@ def _cut(texts: DataFrame, gram: int) -> DataFrame:
                 continue
             for k, r, first, raw in zip(*[c.to_pylist() for c in b.columns[:3]], b.column(3), strict=True):
                 f, h, n, i = runs(np.frombuffer(raw.as_buffer(), dtype=np.uint8), gram)
-                got.append((f, h, n, np.full(len(f), k), np.full(len(f), r), i + first))
-            f, h, n, k, r, i = (_long(np.concatenate(c)) for c in zip(*got, strict=True))
+                got.append((f, h, n, np.full(len(f), k), np.full(len(f), r), i + first, np.full(len(f), first)))
+            f, h, n, k, r, i, p = (_long(np.concatenate(c)) for c in zip(*got, strict=True))
             o = np.lexsort((i, r, k, n, h, f))
-            columns = [c[o] for c in (f, h, n, k, r, i)]
+            columns = [c[o] for c in (f, h, n, k, r, i, p)]
             again = ~_changes(*columns[:3])
-            yield pa.RecordBatch.from_arrays([*map(pa.array, columns), pa.array(again)], names=["f", "h", "n", "k", "r", "i", "again"])
+            yield pa.RecordBatch.from_arrays([*map(pa.array, columns), pa.array(again)], names=["f", "h", "n", "k", "r", "i", "p", "again"])
 
     return texts.select("k", "r", "i", "raw").transform(map_batches, run, _RUN)
 
 
 def _settle(rows: DataFrame, width: int) -> DataFrame:
-    """(kind, f, k, r, i, n): kind 0, a run equal to an earlier one; kind 1, the first of several unequal runs of an
+    """(kind, f, k, r, i, n, p): kind 0, a run equal to an earlier one; kind 1, the first of several unequal runs of an
     anchor. Rows are sorted and streamed; of what lies before only the last run is held."""
     dealt = rows.where("NOT again").drop("again").repartition(width, "f").sortWithinPartitions("f", "h", "n", "k", "r", "i")
 
@@ -120,7 +121,7 @@ def _settle(rows: DataFrame, width: int) -> DataFrame:
         for b in batches:
             if not b.num_rows:
                 continue
-            f, h, n, k, r, i = (c.to_numpy() for c in b.columns)
+            f, h, n, k, r, i, p = (c.to_numpy() for c in b.columns)
             new_f, new_v = _changes(f), _changes(f, h, n)
             if last is not None:
                 new_f[0] = f[0] != last[0]
@@ -135,7 +136,7 @@ def _settle(rows: DataFrame, width: int) -> DataFrame:
             if not new_f[0] and alone is not None and variants[0] > 1:
                 extra.append(alone)
                 alone = None
-            out = [np.concatenate([f[~new_v], f[many]])] + [np.concatenate([c[~new_v], c[many]]) for c in (k, r, i, n)]
+            out = [np.concatenate([f[~new_v], f[many]])] + [np.concatenate([c[~new_v], c[many]]) for c in (k, r, i, n, p)]
             kind = np.concatenate([np.zeros((~new_v).sum(), dtype=np.int64), np.ones(many.sum(), dtype=np.int64)])
             if extra:
                 out = [np.append(c, e) for c, e in zip(out, extra[0], strict=True)]
@@ -145,25 +146,27 @@ def _settle(rows: DataFrame, width: int) -> DataFrame:
             elif new_f[np.flatnonzero(group == group[-1])[0]] or new_v.any():
                 at = np.flatnonzero((group == group[-1]) & new_v)
                 if len(at):
-                    alone = (f[at[0]], k[at[0]], r[at[0]], i[at[0]], n[at[0]])
+                    alone = tuple(c[at[0]] for c in (f, k, r, i, n, p))
             last = (f[-1], h[-1], n[-1])
-            yield pa.RecordBatch.from_arrays([pa.array(kind), *map(pa.array, out)], names=["kind", "f", "k", "r", "i", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array(kind), *map(pa.array, out)], names=["kind", "f", "k", "r", "i", "n", "p"])
 
-    return dealt.transform(map_batches, run, "kind long, f long, k long, r long, i long, n long")
+    return dealt.transform(map_batches, run, "kind long, f long, k long, r long, i long, n long, p long")
 
 
-def _fetch(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """wanted (f, heavy, k, r, i, n) with the runs' bytes. The wanted runs of a text are one list beside it."""
-    lists = wanted.groupBy("k", "r").agg(F.collect_list(F.struct("f", "heavy", "i", "n")).alias("x"))
-    both = docs.join(lists.hint("shuffle_hash"), ["k", "r"]).select("k", "r", "raw", "x")
+def _fetch(texts: DataFrame, wanted: DataFrame) -> DataFrame:
+    """wanted (f, heavy, k, r, i, n, p) with the runs' bytes, from texts or parts of them (k, r, i, raw) that begin at p.
+    The wanted runs of a text are one list beside it."""
+    lists = wanted.groupBy("k", "r", F.col("p").alias("i")).agg(F.collect_list(F.struct("f", "heavy", F.col("i").alias("at"), "n")).alias("x"))
+    both = texts.join(lists.hint("shuffle_hash"), ["k", "r", "i"]).select("k", "r", "i", "raw", "x")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             out: list[list] = [[] for _ in range(7)]
             size = 0
-            for k, r, raw, x in zip(*[c.to_pylist() for c in b.columns], strict=True):
+            for k, r, first, raw, x in zip(*[c.to_pylist() for c in b.columns], strict=True):
                 for w in x:
-                    for c, v in zip(out, (w["f"], w["heavy"], k, r, w["i"], w["n"], raw[w["i"] : w["i"] + w["n"] + LENGTH - 1]), strict=True):
+                    at = w["at"] - first
+                    for c, v in zip(out, (w["f"], w["heavy"], k, r, w["at"], w["n"], raw[at : at + w["n"] + LENGTH - 1]), strict=True):
                         c.append(v)
                     size += w["n"]
                 if size > 1 << 20:
@@ -293,8 +296,8 @@ def remove_repeats(docs: DataFrame, text: str = "text", key: str = "doc_id", as_
         settled = ws.save(_settle(cut, width), "settled")
         heavy = settled.where("kind = 1").groupBy("f").count().where(F.col("count") > HEAVY).select("f", F.lit(True).alias("heavy"))
         heavy = ws.save(heavy, "heavy")
-        wanted = settled.where("kind = 1").join(heavy, "f", "left").withColumn("heavy", F.coalesce("heavy", F.lit(False))).select("f", "heavy", "k", "r", "i", "n")
-        fetched = ws.save(_fetch(long_enough, wanted), "fetched")
+        wanted = settled.where("kind = 1").join(heavy, "f", "left").withColumn("heavy", F.coalesce("heavy", F.lit(False))).select("f", "heavy", "k", "r", "i", "n", "p")
+        fetched = ws.save(_fetch(source, wanted), "fetched")
         saved += [cut, settled, heavy, fetched]
         found += [cut.where("again").select(*span), settled.where("kind = 0").select(*span), _sorted_shards(fetched.where("NOT heavy"), width)]
         if heavy.isEmpty():

@@ -57,72 +57,67 @@ def classify(t: np.ndarray) -> np.ndarray:
 def induce(t: np.ndarray, small: np.ndarray, lms: np.ndarray, sigma: int) -> np.ndarray:
     """All suffixes in order, from the leftmost S-type ones in theirs: larger ones left to right, smaller ones back.
 
-    A bucket (one first byte) is handled at once: waves of entries, each of which puts its predecessors at the next
+    A bucket (one first element) is handled at once: waves of entries, each of which puts its predecessors at the next
     free places of their buckets, as the sequential scan would.
     """
+    counts = np.bincount(t, minlength=sigma)
+    stops = np.cumsum(counts)
+    starts = stops - counts
+    out = np.empty(len(t), dtype=np.int32)
     order = np.argsort(t[lms], kind="stable")
-    cuts = np.searchsorted(t[lms][order], np.arange(sigma + 1))
-    seeds = [lms[order[cuts[c] : cuts[c + 1]]] for c in range(sigma)]
-
-    def deal(queue: list[list[np.ndarray]], found: list[np.ndarray]) -> None:
-        p = np.concatenate(found) if found else np.zeros(0, dtype=np.int64)
-        if len(p):
-            c = t[p]
-            o = np.argsort(c, kind="stable")
-            p, c = p[o], c[o]
-            edges = np.flatnonzero(np.concatenate([[True], c[1:] != c[:-1]]))
-            for a, b in zip(edges.tolist(), [*edges[1:].tolist(), len(p)], strict=True):
-                queue[int(c[a])].append(p[a:b])
-
-    queue: list[list[np.ndarray]] = [[] for _ in range(sigma)]
-    larger: list[np.ndarray] = []
+    seeds, cuts = lms[order], np.searchsorted(t[lms][order], np.arange(sigma + 1)).tolist()
+
+    def deal(p: np.ndarray, free: np.ndarray, step: int) -> None:
+        """Entries of ``p``, in order, at the free places of their buckets, upwards or downwards."""
+        if len(p) <= 8:
+            for x in p.tolist():
+                c = t[x]
+                at = free[c]
+                out[at if step > 0 else at - 1] = x
+                free[c] = at + step
+            return
+        c = t[p]
+        o = c.argsort(kind="stable")
+        p, c = p[o], c[o]
+        new = np.empty(len(p), dtype=bool)
+        new[0] = True
+        np.not_equal(c[1:], c[:-1], out=new[1:])
+        edges = new.nonzero()[0]
+        sizes = np.empty(len(edges), dtype=np.int64)
+        sizes[:-1], sizes[-1] = edges[1:], len(p)
+        sizes -= edges
+        inner = np.arange(len(p)) - edges.repeat(sizes)
+        out[free[c] + inner if step > 0 else free[c] - 1 - inner] = p
+        free[c[edges]] += step * sizes
+
+    heads = starts.copy()
     for c in range(sigma):
-        mine, out = [], []
-        wave = np.concatenate(queue[c]) if queue[c] else np.zeros(0, dtype=np.int64)
-        while len(wave):
-            mine.append(wave)
+        done = int(starts[c])
+        while done < (to := int(heads[c])):
+            wave, done = out[done:to], to
             p = wave[wave > 0] - 1
-            p = p[~small[p]]
-            same = t[p] == c
-            out.append(p[~same])
-            wave = p[same]
-        if len(seeds[c]):
-            p = seeds[c]
-            out.append(p[p > 0] - 1)
-        larger.append(np.concatenate(mine) if mine else np.zeros(0, dtype=np.int64))
-        deal(queue, out)
-    queue = [[] for _ in range(sigma)]
-    parts: list[np.ndarray] = []
+            deal(p[~small[p]], heads, 1)
+        if cuts[c] < cuts[c + 1]:
+            p = seeds[cuts[c] : cuts[c + 1]]
+            deal(p[p > 0] - 1, heads, 1)
+    tails = stops.copy()
+    out[0], tails[0] = len(t) - 1, 0
     for c in range(sigma - 1, -1, -1):
-        mine, out = [], []
-        wave = np.concatenate(queue[c]) if queue[c] else np.zeros(0, dtype=np.int64)
-        if c == 0:
-            wave = seeds[0][::-1]
-        while len(wave):
-            mine.append(wave)
+        done = int(stops[c])
+        while done > (to := int(tails[c])):
+            wave, done = out[to:done][::-1], to
             p = wave[wave > 0] - 1
-            p = p[small[p]]
-            same = t[p] == c
-            out.append(p[~same])
-            wave = p[same]
-        p = larger[c][::-1]
-        p = p[p > 0] - 1
-        out.append(p[small[p] & (t[p] < c)])
-        parts += [x[::-1] for x in mine]
-        parts.append(larger[c])
-        deal(queue, out)
-    # parts run from the largest bucket down, each as smaller waves back to front, then the larger part.
-    return _assemble(parts)
-
-
-def _assemble(parts: list[np.ndarray]) -> np.ndarray:
-    return np.concatenate([p for p in reversed(parts) if len(p)])
+            deal(p[small[p]], tails, -1)
+        wave = out[int(starts[c]) : int(heads[c])][::-1]
+        p = wave[wave > 0] - 1
+        deal(p[small[p]], tails, -1)
+    return out
 
 
 def suffix_array(t: np.ndarray, sigma: int) -> np.ndarray:
     """Order of the suffixes of t, whose elements are below sigma; the last one is the only 0."""
     small = classify(t)
-    lms = np.flatnonzero(small[1:] & ~small[:-1]) + 1
+    lms = (np.flatnonzero(small[1:] & ~small[:-1]) + 1).astype(np.int32)
     first = induce(t, small, lms, sigma)
     is_lms = np.zeros(len(t), dtype=bool)
     is_lms[lms] = True
@@ -135,6 +130,7 @@ def suffix_array(t: np.ndarray, sigma: int) -> np.ndarray:
     names = np.empty(len(t), dtype=np.int64)
     names[by_piece] = np.concatenate([[0], np.cumsum(h[1:] != h[:-1])])
     reduced = names[lms]
+    del first, is_lms, total, ends, h, names
     if (distinct := int(reduced.max(initial=0)) + 1) < len(lms):
         by_piece = lms[_sorted_names(reduced, distinct, len(t))]
     return induce(t, small, by_piece, sigma)
