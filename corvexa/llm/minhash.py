@@ -8,7 +8,7 @@ probability 4e-7, and the estimate errs by more than the margin with one of abou
 
 No pairs of a group are listed. Documents of equal shingle sets form one class, whose smallest id stands for it. In
 each bucket members are first tied to the smallest one; confirmed ties make components. Only buckets that then still
-hold two components are compared member by member: the members outside of the bucket's largest component, BLOCK at
+hold two components are compared member by member: the members outside of the bucket's largest component, WIDE at
 most, with all others, in blocks of which each passes on at most a spanning forest of what it confirms.
 
 A bucket with more members outside of its largest component (texts of one mould, say) isn't compared in pairs. Its
@@ -33,8 +33,9 @@ BUCKETS, MANTISSA, ROWS = 125, 10, 5
 BANDS = BUCKETS // ROWS
 #: Below the threshold by this much, an estimate rules a pair out: five standard errors of 125 registers.
 MARGIN = 0.16
-#: Members of a block, and members that go with one copy of a leader.
-BLOCK, SPREAD = 256, 256
+#: Members of a block, members that go with one copy of a leader, and members outside of its largest component that a
+#: bucket may have to be compared in pairs.
+BLOCK, SPREAD, WIDE = 512, 256, 4096
 #: Bits of the table of shingle frequencies that orders shingles: its size is fixed.
 SLOTS = 20
 
@@ -327,7 +328,7 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", wo
         # The side with ids only is the one that is hashed; texts stream past it.
         return docs.join(nodes.hint("shuffle_hash"), F.col("__k") == F.col("node"), "left_semi")
 
-    links, comps, wide = _resolve(ws, _shared_keys(ws, values.transform(map_batches, banded, "key long, node long")), values, texts_of, words, percent, floor, None, BLOCK)
+    links, comps, wide = _resolve(ws, _shared_keys(ws, values.transform(map_batches, banded, "key long, node long")), values, texts_of, words, percent, floor, None, WIDE)
     if not wide.isEmpty():
         many = texts_of(wide.select("node").distinct()).select(F.col("__k").alias("node"), "__t")
         rare = ws.save(_rare_keys(spark, many, words, percent).distinct(), "rare")

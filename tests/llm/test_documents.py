@@ -70,10 +70,11 @@ def test_minhash_large_group_of_near_copies(spark, monkeypatch):
     assert got == brute.components(docs)
 
 
-@pytest.mark.parametrize("block", [4, 256])
-def test_minhash_texts_of_one_mould(spark, monkeypatch, block):
+@pytest.mark.parametrize("wide", [4, 4096])
+def test_minhash_texts_of_one_mould(spark, monkeypatch, wide):
     """Many texts that share bands but not the wanted similarity, linked pairs among them: wide buckets by rare shingles."""
-    monkeypatch.setattr(minhash, "BLOCK", block)
+    monkeypatch.setattr(minhash, "WIDE", wide)
+    monkeypatch.setattr(minhash, "BLOCK", 16)
     rng = random.Random(21)
     base = [f"w{k}" for k in range(100)]
     docs = {}
