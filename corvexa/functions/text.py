@@ -140,10 +140,14 @@ def inflate(df: DataFrame, raw: str, into: str = "inflated") -> DataFrame:
     """Raw deflate streams, stored blocks among them; null for a broken stream."""
 
     def one(x):
+        if x is None:
+            return None
         try:
-            return None if x is None else zlib.decompress(x, -15)
+            d = zlib.decompressobj(-15)
+            out = d.decompress(x) + d.flush()
         except zlib.error:
             return None
+        return out if d.eof else None
 
     return with_columns(df, raw, f"{into} binary", lambda v: [[one(x) for x in v]])
 
@@ -158,6 +162,18 @@ def deflate_stored(df: DataFrame, raw: str, into: str = "deflated") -> DataFrame
     return with_columns(df, raw, f"{into} binary", lambda v: [[one(x) for x in v]])
 
 
+def deflated(df: DataFrame, raw: str, into: str = "deflated") -> DataFrame:
+    """Raw deflate streams of a binary column, with matches and Huffman codes."""
+
+    def one(x):
+        if x is None:
+            return None
+        c = zlib.compressobj(6, zlib.DEFLATED, -15)
+        return c.compress(x) + c.flush()
+
+    return with_columns(df, raw, f"{into} binary", lambda v: [[one(x) for x in v]])
+
+
 def bracket_pairs(df: DataFrame, key: str, raw: str, open_: bytes = b"(", close: bytes = b")") -> DataFrame:
     """(key, open, close, depth) of matched brackets; unmatched ones give no row."""
     a, z = open_[0], close[0]

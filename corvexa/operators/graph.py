@@ -278,6 +278,27 @@ def diffuse(values: DataFrame, edges: DataFrame, rate: float, rounds: int = 1) -
     return values
 
 
+def chebyshev(values: DataFrame, edges: DataFrame, weights: list[float]) -> DataFrame:
+    """(node, v): the sum of weights[k] T_k(L) v, where L v is v less the mean of its neighbours and T_k the k-th Chebyshev
+    polynomial: T_k = 2 L T_(k-1) - T_(k-2). Each order is one join over the edges, written to the shared folder."""
+    both = cut(edges.select("src", "dst").unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))))
+
+    def less_mean(t: DataFrame) -> DataFrame:
+        near = both.join(t.select(F.col("node").alias("dst"), F.col("v").alias("w")), "dst").groupBy(F.col("src").alias("node")).agg(F.avg("w").alias("m"))
+        return t.join(near, "node", "left").select("node", (F.col("v") - F.coalesce("m", F.lit(0.0))).alias("v"))
+
+    before = now = None
+    total = values.select("node", (F.col("v") * weights[0]).alias("sum"))
+    for k, w in enumerate(weights[1:], 1):
+        if k == 1:
+            before, now = values.select("node", "v"), cut(less_mean(values.select("node", "v")))
+        else:
+            new = less_mean(now).join(before.withColumnRenamed("v", "b"), "node").select("node", (2 * F.col("v") - F.col("b")).alias("v"))
+            before, now = now, cut(new)
+        total = total.join(now, "node").select("node", (F.col("sum") + w * F.col("v")).alias("sum"))
+    return total.withColumnRenamed("sum", "v")
+
+
 def remap(source: DataFrame, mapping: DataFrame, width: int) -> DataFrame:
     """(pos, v) of ``width`` target positions: v of the source that maps there, 0 where none does."""
     moved = mapping.join(source, "pos").where(F.col("to").between(0, width - 1)).groupBy("to").agg(F.max_by("v", "pos").alias("v"))

@@ -47,6 +47,71 @@ def find_literals(df: DataFrame, key: str, raw: str, patterns: list[bytes]) -> D
     return flat_map(df, key, raw, "pattern_id long, start long, stop long", scan)
 
 
+def find_within(df: DataFrame, key: str, raw: str, windows: DataFrame, patterns: list[bytes]) -> DataFrame:
+    """(key, pattern_id, start, stop) of occurrences that lie within a window(key, lo, hi) of their text, each once.
+
+    A window without a byte that ends a pattern isn't scanned. Windows of a text are one list beside it.
+    """
+    if sum(map(len, patterns)) > MAX_PATTERN_BYTES:
+        raise ValueError("the patterns are too large to broadcast")
+    lists = windows.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("lo", "hi"))).alias("x"))
+    both = df.select(key, raw).join(lists, key).select(key, F.struct(F.col(raw).alias("raw"), "x").alias("v"))
+    last = re.compile(b"[" + b"".join(re.escape(bytes([c])) for c in sorted({p[-1] for p in patterns if p})) + b"]") if any(patterns) else None
+
+    def scan(v) -> list[tuple]:
+        out, body = set(), v["raw"] or b""
+        for w in v["x"]:
+            part = body[max(0, w["lo"]) : max(0, w["hi"])]
+            if last is None or not last.search(part):
+                continue
+            for k, p in enumerate(patterns):
+                at = part.find(p) if p else -1
+                while at >= 0:
+                    out.add((k, max(0, w["lo"]) + at, max(0, w["lo"]) + at + len(p)))
+                    at = part.find(p, at + 1)
+        return sorted(out)
+
+    return flat_map(both, key, "v", "pattern_id long, start long, stop long", scan)
+
+
+def count_by_suffix(df: DataFrame, key: str, raw: str, patterns: list[bytes], width: int = 2) -> DataFrame:
+    """(key, pattern_id, hits) where there are any: places whose last ``width`` bytes end a pattern are found at once for
+    a whole text, and only those are compared. Shorter patterns have bytes of their own length compared."""
+    import numpy as np
+
+    if sum(map(len, patterns)) > MAX_PATTERN_BYTES:
+        raise ValueError("the patterns are too large to broadcast")
+
+    def scan(v) -> list[tuple]:
+        b = np.frombuffer(v or b"", dtype=np.uint8)
+        out = []
+        codes = {}
+        for k, p in enumerate(patterns):
+            n = min(width, len(p))
+            if not n or len(b) < len(p):
+                continue
+            if n not in codes:
+                c = b[n - 1 :].astype(np.uint32)
+                for j in range(1, n):
+                    c = c | b[n - 1 - j : len(b) - j].astype(np.uint32) << np.uint32(8 * j)
+                codes[n] = c  # at place i: the n bytes that end at byte i + n - 1
+            ends = np.flatnonzero(codes[n] == int.from_bytes(p[-n:], "big")) + n
+            ends = ends[ends >= len(p)]
+            for j in range(len(p) - n):
+                ends = ends[b[ends - len(p) + j] == p[j]]
+            if len(ends):
+                out.append((k, len(ends)))
+        return out
+
+    return flat_map(df, key, raw, "pattern_id long, hits long", scan)
+
+
+def ordered(spans: DataFrame, key: str) -> DataFrame:
+    """Spans with ``place``: their order in their text, by start, then the longer first, then the pattern."""
+    w = Window.partitionBy(key).orderBy("start", F.desc("stop"), "pattern_id")
+    return spans.withColumn("place", F.row_number().over(w).cast("long") - 1)
+
+
 def find_regexes(df: DataFrame, key: str, raw: str, patterns: list[bytes]) -> DataFrame:
     """(key, pattern_id, start, stop) of the non-overlapping matches of each byte regex, leftmost first."""
     cache: list = []

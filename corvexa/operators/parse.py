@@ -5,6 +5,8 @@ Lexing is one JVM regex per text; patterns over neighbours are windows of one te
 
 from __future__ import annotations
 
+from collections import deque
+from dataclasses import dataclass
 from itertools import count
 
 from pyspark.sql import Column, DataFrame, Window
@@ -12,35 +14,77 @@ from pyspark.sql import functions as F
 
 from corvexa.plans.lineage import cut
 
+#: Tokens of macros that are sent to all tasks, at most.
+MAX_MACRO_TOKENS = 1 << 20
 #: Alternatives in the order in which they are tried.
-TOKENS = r'''"(?:\\.|[^"\\\n])*"|'(?:\\.|[^'\\\n])*'|[A-Za-z_][A-Za-z0-9_]*|[0-9]+\.[0-9]+|0[xX][0-9a-fA-F]+|[0-9]+|<<=|>>=|\.\.\.|->|\+\+|--|<<|>>|<=|>=|==|!=|&&|\|\||[-+*/%&|^]=|##|[-+*/%&|^~!=<>#?:;,.(){}\[\]\\@$`]'''
-KEYWORDS = ("if", "else", "for", "while", "do", "return", "break", "continue", "switch", "case", "default", "goto", "sizeof", "typedef", "struct", "union", "enum", "static", "const", "void", "int", "char", "long", "short", "float", "double", "unsigned", "signed")
-#: C's two-letter spellings of brackets and hashes.
-DIGRAPHS = (("%:%:", "##"), ("<:", "["), (":>", "]"), ("<%", "{"), ("%>", "}"), ("%:", "#"))
+TOKENS = (
+    r'''(?:u8|[LuU])?"(?:\\.|[^"\\\n])*"|[LuU]?'(?:\\.|[^'\\\n])*'|[A-Za-z_][A-Za-z0-9_]*|0[xX][0-9a-fA-F]+[uUlL]*'''
+    r"""|(?:[0-9]+\.[0-9]*|\.[0-9]+)(?:[eE][-+]?[0-9]+)?[fFlL]?|[0-9]+[eE][-+]?[0-9]+[fFlL]?|[0-9]+[uUlL]*"""
+    r"""|%:%:|<<=|>>=|\.\.\.|->|\+\+|--|<<|>>|<=|>=|==|!=|&&|\|\||[-+*/%&|^]=|##|<:|:>|<%|%>|%:|[-+*/%&|^~!=<>#?:;,.(){}\[\]\\@$`]"""
+)
+#: The language's keywords.
+KEYWORDS = tuple("auto break case char const continue default do double else enum extern float for goto if inline int long register restrict return short signed sizeof static struct switch typedef union unsigned void volatile while _Alignas _Alignof _Atomic _Bool _Complex _Generic _Imaginary _Noreturn _Static_assert _Thread_local".split())
+#: Two-letter spellings of brackets and hashes.
+DIGRAPHS = {"%:%:": "##", "<:": "[", ":>": "]", "<%": "{", "%>": "}", "%:": "#"}
 
 
 def spliced(source: Column) -> Column:
-    """Backslash line ends joined, and digraphs outside of strings written plainly."""
-    out = F.regexp_replace(source, r"\\\r?\n", "")
-    for a, b in DIGRAPHS:
-        out = F.replace(out, F.lit(a), F.lit(b))
-    return out
+    """Backslash line ends joined."""
+    return F.regexp_replace(source, r"\\\r?\n", "")
 
 
 def without_comments(source: Column) -> Column:
-    """Block and line comments as one blank; comment marks inside strings stay."""
-    kept = r'''("(?:\\.|[^"\\\n])*"|'(?:\\.|[^'\\\n])*')|/\*(?s:.*?)\*/|//[^\n]*'''
-    return F.regexp_replace(source, kept, "$1 ")
+    """Block and line comments as one blank each; strings stay as they are, and so does a block comment that is left open."""
+    piece = r"""(?s)"(?:\\.|[^"\\\n])*"|'(?:\\.|[^'\\\n])*'|/\*.*?\*/|//[^\n]*|[^"'/]+|."""
+    pieces = F.regexp_extract_all(source, F.lit(piece), F.lit(0))
+    comment = lambda x: (F.length(x) > 1) & (x.startswith("/*") | x.startswith("//"))
+    return F.array_join(F.transform(pieces, lambda x: F.when(comment(x), " ").otherwise(x)), "")
+
+
+def comment_spans(df: DataFrame, key: str, source: str) -> DataFrame:
+    """(key, kind, start, stop) of block and line comments, in bytes; an open block comment ends with the text."""
+    import re
+
+    from corvexa.functions.arrow import flat_map
+
+    pattern = re.compile(rb'''"(?:\\.|[^"\\\n])*"|'(?:\\.|[^'\\\n])*'|(?P<block>/\*.*?(?:\*/|\Z))|(?P<line>//[^\n]*)''', re.S)
+
+    def find(v) -> list[tuple]:
+        return [(m.lastgroup, *m.span()) for m in pattern.finditer(v or b"") if m.lastgroup]
+
+    return flat_map(df.select(key, F.col(source).cast("binary").alias("raw")), key, "raw", "kind string, start long, stop long", find)
+
+
+def masked(df: DataFrame, key: str, source: str, spans: DataFrame) -> DataFrame:
+    """(key, kept): the bytes that no span(key, start, stop) covers; rows without spans stay whole. A keep mask applied."""
+    from corvexa.functions.arrow import flat_map
+
+    lists = spans.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("start", "stop"))).alias("x"))
+    both = df.select(key, F.col(source).cast("binary").alias("raw")).join(lists, key, "left").select(key, F.struct("raw", "x").alias("v"))
+
+    def keep(v) -> list[tuple]:
+        if v["raw"] is None:
+            return [(None,)]
+        out, at = [], 0
+        for s in v["x"] or []:
+            out.append(v["raw"][at : max(at, s["start"])])
+            at = max(at, s["stop"])
+        return [(b"".join([*out, v["raw"][at:]]),)]
+
+    return flat_map(both, key, "v", "kept binary", keep)
 
 
 def token_kind(t: Column) -> Column:
-    return F.when(t.isin(*KEYWORDS), "keyword").when(t.rlike("^[A-Za-z_]"), "identifier").when(t.rlike(r"^[0-9]+\."), "float").when(t.rlike("^[0-9]"), "integer").when(t.startswith('"'), "string").when(t.startswith("'"), "char").otherwise("operator")
+    kinds = F.when(t.isin(*KEYWORDS), "keyword").when(t.rlike('^(u8|[LuU])?"'), "string").when(t.rlike("^[LuU]?'"), "char").when(t.rlike("^[A-Za-z_]"), "identifier")
+    return kinds.when(t.rlike(r"^0[xX]"), "integer").when(t.rlike(r"^([0-9]+\.|\.[0-9]|[0-9]+[eE])"), "float").when(t.rlike("^[0-9]"), "integer").otherwise("operator")
 
 
 def tokens(df: DataFrame, key: str, source: str) -> DataFrame:
-    """(key, pos, token, kind), dense from 0; bytes that make no token are passed over."""
+    """(key, pos, token, kind), dense from 0; bytes that make no token are passed over. Digraphs are written plainly."""
     out = df.select(key, F.posexplode(F.regexp_extract_all(F.col(source), F.lit(TOKENS), F.lit(0))).alias("pos", "token"))
-    return out.select(key, F.col("pos").cast("long").alias("pos"), "token", token_kind(F.col("token")).alias("kind"))
+    plain = F.create_map(*[F.lit(x) for pair in DIGRAPHS.items() for x in pair])
+    token = F.when(F.col("token").isin(*DIGRAPHS), plain[F.col("token")]).otherwise(F.col("token"))
+    return out.select(key, F.col("pos").cast("long").alias("pos"), token.alias("token")).withColumn("kind", token_kind(F.col("token")))
 
 
 def calls(toks: DataFrame, key: str) -> DataFrame:
@@ -113,6 +157,92 @@ def expand_macros(toks: DataFrame, macros: DataFrame, key: str, rounds: int | No
     return now.select(key, place.cast("long").alias("pos"), "token")
 
 
+@dataclass(frozen=True)
+class Macro:
+    """``params`` is None for an object macro; the last one may be ``...``."""
+
+    name: str
+    params: tuple[str, ...] | None
+    body: tuple[str, ...]
+
+
+def expand_all(toks: DataFrame, macros: list[Macro], key: str) -> DataFrame:
+    """(key, pos, token): object and function macros expanded, with # and ##, rescanned; a name isn't expanded inside of
+    its own expansion. A file's tokens fit a task; the macros are sent to all tasks, and checked before."""
+    if sum(len(m.body) + 1 for m in macros) > MAX_MACRO_TOKENS:
+        raise ValueError("the macros are too large to broadcast")
+    table = {m.name: m for m in macros}
+
+    def arguments(work: deque) -> tuple[list[list], frozenset] | None:
+        """Arguments up to the closing parenthesis, taken from the front; None, and nothing taken, if there is none."""
+        taken, args, depth = [], [[]], 0
+        while work:
+            t, h = work.popleft()
+            taken.append((t, h))
+            depth += (t in "([{") - (t in ")]}")
+            if not depth:
+                return args, h
+            if t == "," and depth == 1:
+                args.append([])
+            elif len(taken) > 1:
+                args[-1].append((t, h))
+        work.extendleft(reversed(taken))
+        return None
+
+    def substitute(m: Macro, args: list[list], hidden: frozenset) -> list:
+        named: dict[str, list] = {}
+        for k, p in enumerate(m.params or ()):
+            if p == "...":
+                rest = args[k:]
+                named["__VA_ARGS__"] = [x for n, a in enumerate(rest) for x in ([(",", frozenset())] if n else []) + a]
+            else:
+                named[p] = args[k] if k < len(args) else []
+        out: list = []
+        body, k, blank = m.body, 0, [("", frozenset())]  # an empty argument that is pasted
+        while k < len(body):
+            t = body[k]
+            pasted = k + 1 < len(body) and body[k + 1] == "##"
+            if t == "#" and m.params is not None and k + 1 < len(body) and body[k + 1] in named:
+                out.append(('"' + " ".join(x for x, _ in named[body[k + 1]]).replace("\\", "\\\\").replace('"', '\\"') + '"', frozenset()))
+                k += 2
+            elif t == "##" and out and k + 1 < len(body):
+                right = named.get(body[k + 1], [(body[k + 1], frozenset())]) or blank
+                out[-1] = (out[-1][0] + right[0][0], out[-1][1])
+                out += right[1:]
+                k += 2
+            else:
+                out += (named[t] or blank) if t in named and pasted else expand(named[t]) if t in named else [(t, frozenset())]
+                k += 1
+        return [(t, h | hidden) for t, h in out if t]
+
+    def expand(tokens: list) -> list:
+        work, out = deque(tokens), []
+        while work:
+            t, h = work.popleft()
+            m = table.get(t)
+            if m is None or t in h:
+                out.append((t, h))
+            elif m.params is None:
+                work.extendleft(reversed(substitute(m, [], h | {t})))
+            elif work and work[0][0] == "(" and (found := arguments(work)):
+                args, last = found
+                if args == [[]] and not m.params:
+                    args = []
+                work.extendleft(reversed(substitute(m, args, (h & last) | {t})))
+            else:
+                out.append((t, h))
+        return out
+
+    def solve(v) -> list[tuple]:
+        found = expand([(e["token"], frozenset()) for e in v or []])
+        return [(k, t) for k, (t, _) in enumerate(found)]
+
+    from corvexa.functions.arrow import flat_map
+
+    files = toks.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("pos", "token"))).alias("x"))
+    return flat_map(files, key, "x", "pos long, token string", solve)
+
+
 #: How strongly the operators bind, weakest first.
 BINDING = (("||",), ("&&",), ("|",), ("^",), ("&",), ("==", "!="), ("<", "<=", ">", ">="), ("<<", ">>"), ("+", "-"), ("*", "/", "%"))
 
@@ -145,6 +275,34 @@ def postfix(toks: DataFrame, key: str) -> DataFrame:
     return toks.select(key, "pos", "token").groupBy(key).applyInPandas(solve, f"`{key}` {dict(toks.dtypes)[key]}, postfix array<string>")
 
 
+def evaluated(expressions: DataFrame, key: str, postfix: str) -> DataFrame:
+    """Postfix expressions with ``value``, in 64-bit integers; null where it isn't one number."""
+    import operator
+
+    from corvexa.functions.arrow import with_columns
+
+    def quotient(a: int, b: int) -> int:
+        return abs(a) // abs(b) * (1 if (a < 0) == (b < 0) else -1)
+
+    ops = {"+": operator.add, "-": operator.sub, "*": operator.mul, "<<": operator.lshift, ">>": operator.rshift, "&": operator.and_, "|": operator.or_, "^": operator.xor, "<": operator.lt, "<=": operator.le, ">": operator.gt, ">=": operator.ge, "==": operator.eq, "!=": operator.ne}
+    ops |= {"&&": lambda a, b: bool(a) and bool(b), "||": lambda a, b: bool(a) or bool(b), "/": quotient, "%": lambda a, b: a - b * quotient(a, b)}
+
+    def one(tokens) -> int | None:
+        stack: list[int] = []
+        try:
+            for t in tokens or []:
+                if t in ops:
+                    b, a = stack.pop(), stack.pop()
+                    stack.append(int(ops[t](a, b)))
+                else:
+                    stack.append(int(t, 0))
+        except (IndexError, ValueError, ZeroDivisionError):
+            return None
+        return ((stack[0] + (1 << 63)) % (1 << 64)) - (1 << 63) if len(stack) == 1 else None
+
+    return with_columns(expressions, postfix, "value long", lambda vs: [[one(v) for v in vs]])
+
+
 def decorators(df: DataFrame, key: str, source: str) -> DataFrame:
     """(key, name, target) of Python decorators and the function or class below them."""
     pairs = F.regexp_extract_all(F.col(source), F.lit(r"@[A-Za-z_][A-Za-z0-9_.]*[^\n]*\n(?:\s*@[^\n]*\n)*\s*(?:async\s+)?(?:def|class)\s+[A-Za-z_][A-Za-z0-9_]*"), F.lit(0))

@@ -65,6 +65,33 @@ def lineage_closure(state: DataFrame, rules: DataFrame, rounds: int | None = Non
         total = cut(total.unionByName(delta).groupBy("i", "k").agg(F.bit_or("v").alias("v")))
 
 
+def product_wide(a: DataFrame, b: DataFrame) -> DataFrame:
+    """(i, j, word, v) of lineage masks of many words, a(i, k, word, v) times b(k, j, word, v): a cell's mask is joined by
+    or with that of the cell that it meets. Cells without a set bit are absent."""
+    a, b = a.where("v <> 0"), b.where("v <> 0")
+    left = a.join(b.select("k", "j").distinct(), "k").select("i", "j", "word", "v")
+    right = b.join(a.select("i", "k").distinct(), "k").select("i", "j", "word", "v")
+    return left.unionByName(right).groupBy("i", "j", "word").agg(F.bit_or("v").alias("v"))
+
+
+def lineage_closure_wide(state: DataFrame, rules: DataFrame, rounds: int | None = None) -> DataFrame:
+    """(i, k, word, v) cells of a right-linear closure with masks of many words, until nothing changes (semi-naive). It is an
+    error if ``rounds``, where given, end before that."""
+    total = cut(state.select("i", "k", "word", "v"))
+    delta = total
+    for n in count():
+        new = product_wide(delta, rules).withColumnRenamed("j", "k")
+        grown = new.join(total.withColumnRenamed("v", "old"), ["i", "k", "word"], "left").where("old IS NULL OR (v | old) <> old")
+        changed = cut(grown.select("i", "k", "word", F.col("v").bitwiseOR(F.coalesce("old", F.lit(0).cast("long"))).alias("v")))
+        if changed.isEmpty():
+            return total
+        if rounds is not None and n >= rounds:
+            raise RuntimeError(f"lineage_closure_wide: cells change after {rounds} rounds")
+        total = cut(total.unionByName(changed).groupBy("i", "k", "word").agg(F.bit_or("v").alias("v")))
+        # A changed word travels with the rest of its cell's mask.
+        delta = total.join(changed.select("i", "k").distinct(), ["i", "k"], "left_semi")
+
+
 def merge_intervals(lo_a: Column, hi_a: Column, lo_b: Column, hi_b: Column) -> tuple[Column, Column]:
     """The hull of two intervals."""
     return F.least(lo_a, lo_b), F.greatest(hi_a, hi_b)

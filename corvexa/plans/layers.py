@@ -157,6 +157,12 @@ def schulz_sql(source: str, n: int, steps: int = 5) -> str:
     return ", ".join(out)
 
 
+@query(f"WITH {schulz_sql(f'({_V})', 4)} SELECT id, [round(e, 6) FOR e IN flatten(x)] AS orthogonal FROM x5")
+def newton_schulz(spark, sf_dir):
+    """Orthogonalised 4 x 16 blocks of the embeddings."""
+    return dense.with_orthogonal(vectors(spark, sf_dir).where(F.size("v") % 4 == 0), "v", 4).select("id", F.transform("orthogonal", lambda x: F.round(x, 6)).alias("orthogonal"))
+
+
 _NESTEROV = f"(SELECT id, [z[1] + 0.95 * (0.95 * 0.1 * z[2] + z[1]) FOR z IN list_zip(list_reverse(v), v)] AS v FROM ({_V}))"
 
 

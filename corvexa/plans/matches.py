@@ -7,7 +7,7 @@ import operator
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corvexa.operators import match
+from corvexa.operators import automata, match
 from corvexa.registry import query, table
 
 from .texts import raw
@@ -74,11 +74,88 @@ def decode_then_scan(spark, sf_dir):
 
 @query(f"SELECT doc_id, pattern_id, count(*) AS hits FROM (SELECT doc_id, pattern_id, unnest(regexp_extract_all(text, p)) FROM documents, (SELECT unnest({REGEXES}) AS p, unnest(range({len(REGEXES)})) AS pattern_id)) GROUP BY 1, 2")
 def regex_set(spark, sf_dir):
-    found = match.find_regexes(raw(spark, sf_dir), "doc_id", "raw", [r.encode() for r in REGEXES])
-    return found.groupBy("doc_id", "pattern_id").agg(F.count("*").alias("hits"))
+    """Counts of each regex of a set, in the JVM."""
+    hits = F.array(*[F.struct(F.lit(k).cast("long").alias("pattern_id"), F.size(F.regexp_extract_all("text", F.lit(r), F.lit(0))).cast("long").alias("hits")) for k, r in enumerate(REGEXES)])
+    return table(spark, sf_dir, "documents", "doc_id", "text").select("doc_id", F.explode(hits).alias("e")).select("doc_id", "e.pattern_id", "e.hits").where("hits > 0")
 
 
-@query()
+_REGEX_SPANS = f"""pats AS (SELECT unnest({REGEXES}) AS p, unnest(range({len(REGEXES)})) AS pattern_id), cuts AS (SELECT doc_id, pattern_id, regexp_extract_all(text, p) AS hit, regexp_split_to_array(text, p) AS gap FROM documents, pats),
+parts AS (SELECT doc_id, pattern_id, unnest(hit) AS h, unnest(gap[:len(hit)]) AS g, unnest(range(len(hit))) AS k FROM cuts),
+found AS (SELECT doc_id, pattern_id, k, h, CAST(sum(strlen(g) + strlen(h)) OVER (PARTITION BY doc_id, pattern_id ORDER BY k) AS BIGINT) AS stop FROM parts)"""
+
+
+@query(f"WITH {_REGEX_SPANS} SELECT doc_id, pattern_id, stop - strlen(h) AS start, stop FROM found")
+def regex_ranges(spark, sf_dir):
+    """Byte spans of each regex of a set."""
+    return match.find_regexes(raw(spark, sf_dir), "doc_id", "raw", [r.encode() for r in REGEXES])
+
+
+def _windows(spark, sf_dir):
+    d = table(spark, sf_dir, "documents", "doc_id")
+    w = F.explode(F.array(*[F.struct((F.col("doc_id") % 50 + lo).alias("lo"), (F.col("doc_id") % 50 + hi).alias("hi")) for lo, hi in ((20, 400), (300, 700), (5000, 9000))]))
+    return d.select("doc_id", w.alias("w")).select("doc_id", "w.lo", "w.hi")
+
+
+@query(f"WITH {_SPANS} SELECT doc_id, pattern_id, start, stop FROM spans WHERE (start >= doc_id % 50 + 20 AND stop <= doc_id % 50 + 400) OR (start >= doc_id % 50 + 300 AND stop <= doc_id % 50 + 700) OR (start >= doc_id % 50 + 5000 AND stop <= doc_id % 50 + 9000)")
+def aho_corasick_bounded(spark, sf_dir):
+    """Occurrences within windows of each text, which overlap."""
+    return match.find_within(raw(spark, sf_dir), "doc_id", "raw", _windows(spark, sf_dir), PATTERNS)
+
+
+for _width in (2, 3):
+
+    @query(f"WITH {_SPANS} SELECT doc_id, pattern_id, count(*) AS hits FROM spans GROUP BY 1, 2", name=f"suffix{_width}_prefilter_counts")
+    def _suffix(spark, sf_dir, width=_width):
+        """Counts of literals behind a filter on their last bytes."""
+        return match.count_by_suffix(raw(spark, sf_dir), "doc_id", "raw", PATTERNS, width)
+
+
+@query(f"WITH {_SPANS} SELECT doc_id, pattern_id, start, stop, row_number() OVER (PARTITION BY doc_id ORDER BY start, stop DESC, pattern_id) - 1 AS place FROM spans")
+def match_order(spark, sf_dir):
+    """Spans of a text in order."""
+    return match.ordered(spans(spark, sf_dir), "doc_id")
+
+
+@query(f"""WITH {_SPANS}, e AS (SELECT doc_id, stop FROM spans WHERE pattern_id IN (0, 1) UNION SELECT doc_id, place FROM (SELECT doc_id, c, CAST(sum(strlen(c)) OVER (PARTITION BY doc_id ORDER BY k) AS BIGINT) AS place FROM (SELECT doc_id, unnest(string_split(text, '')) AS c, generate_subscripts(string_split(text, ''), 1) AS k FROM documents)) WHERE c BETWEEN '0' AND '9')
+SELECT doc_id, count(e.stop) AS ends, min(e.stop) AS first FROM documents LEFT JOIN e USING (doc_id) GROUP BY doc_id""")
+def automaton_scan(spark, sf_dir):
+    """A set of literals and a set of digits as one table, over which all texts advance together."""
+    t = automata.compile_set([b"the ", b"tion", b"[0-9]"])
+    return automata.scan(raw(spark, sf_dir), "doc_id", "raw", t)
+
+
+@query("""WITH t AS (SELECT doc_id, lower(text) AS t FROM documents), c AS (SELECT doc_id, len(string_split(t, 'the ')) - 1 + len(string_split(t, 'tion')) - 1 AS ends FROM t)
+SELECT doc_id, ends FROM c""")
+def automaton_ignoring_case(spark, sf_dir):
+    t = automata.compile_set([b"the ", b"tion"], ignore_case=True)
+    return automata.scan(raw(spark, sf_dir), "doc_id", "raw", t).select("doc_id", "ends")
+
+
+@query("SELECT s AS state, b AS byte, CASE WHEN b = 97 THEN 1 WHEN s = 1 AND b = 98 THEN 2 ELSE 0 END AS next, s = 1 AND b = 98 AS accept FROM range(3) a(s), range(256) r(b)")
+def automaton_table(spark, sf_dir):
+    """All transitions of the least table for the literal ab, or its copy as a|b sets: states that behave alike are one."""
+    t = automata.compile_set([b"ab", b"a(b|b)", b"[a]b"]).rows(spark)
+    return t.select(*[F.col(c).cast("long").alias(c) for c in ("state", "byte", "next")], "accept")
+
+
+@query("SELECT doc_id, coalesce(regexp_matches(text, '[A-Z][a-z]+ing'), false) AS hit, coalesce(regexp_matches(text, '[0-9]+ ment|tion[a-z]*'), false) AS either FROM documents")
+def anchored_regexes(spark, sf_dir):
+    """Regexes behind the literals that every match must hold, where there are some."""
+    t = table(spark, sf_dir, "documents", "doc_id", "text")
+    return t.select("doc_id", automata.prefiltered(F.col("text"), "[A-Z][a-z]+ing").alias("hit"), automata.prefiltered(F.col("text"), "[0-9]+ ment|tion[a-z]*").alias("either"))
+
+
+@query(f"WITH {_SPANS} SELECT doc_id, pattern_id, count(*) AS hits FROM spans WHERE pattern_id < 3 GROUP BY 1, 2")
+def hex_decode_then_scan(spark, sf_dir):
+    """Hexadecimal text decoded and scanned in one pass."""
+    decoded = raw(spark, sf_dir).select("doc_id", F.hex("raw").alias("h")).select("doc_id", F.unhex("h").alias("raw"))
+    return match.find_literals(decoded, "doc_id", "raw", PATTERNS[:3]).groupBy("doc_id", "pattern_id").agg(F.count("*").alias("hits"))
+
+
+@query(f"""WITH {_SPANS}, m AS (SELECT *, CASE WHEN start <= max(stop) OVER (PARTITION BY doc_id, pattern_id ORDER BY start, stop ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) THEN 0 ELSE 1 END AS f FROM spans),
+r AS (SELECT *, sum(f) OVER (PARTITION BY doc_id, pattern_id ORDER BY start, stop ROWS UNBOUNDED PRECEDING) AS r FROM m), g AS (SELECT doc_id, pattern_id, min(start) AS start, max(stop) AS stop FROM r GROUP BY doc_id, pattern_id, r),
+b AS (SELECT g.*, unnest(regexp_extract_all(substr(hex(encode(text)), 2 * start + 1, 2 * (stop - start)), '..')) AS h FROM g JOIN documents USING (doc_id)), c AS (SELECT doc_id, pattern_id, start, stop, h, count(*) AS n FROM b GROUP BY ALL)
+SELECT doc_id, pattern_id, start, stop, round(-sum(n / (stop - start) * log2(n / (stop - start))) + 0, 6) + 0 AS entropy, round(least(1, (stop - start) / 16) * -sum(n / (stop - start) * log2(n / (stop - start))) / 8, 6) + 0 AS confidence FROM c GROUP BY 1, 2, 3, 4""")
 def post_process(spark, sf_dir):
     """Merged spans with entropy and confidence."""
     r = raw(spark, sf_dir)

@@ -63,13 +63,6 @@ def im2col_3x3(spark, sf_dir):
     return dense.patches(grid(spark, sf_dir)).select("y", "x", F.posexplode("patch").alias("k", "v")).select("y", "x", F.col("k").cast("long").alias("k"), "v")
 
 
-@query()
-def newton_schulz(spark, sf_dir):
-    """Orthogonalised 4 x 16 blocks of the embeddings."""
-    n = F.size("v")
-    return dense.with_orthogonal(vectors(spark, sf_dir).where(n % 4 == 0), "v", 4).select("id", F.transform("orthogonal", lambda x: F.round(x, 6)).alias("orthogonal"))
-
-
 @query("""SELECT id, [w & 15, (w >> 4) & 15, (w >> 28) & 15] AS fields, CASE WHEN (w >> 28) & 15 >= 8 THEN ((w >> 28) & 15) - 16 ELSE (w >> 28) & 15 END AS signed, w AS packed,
  CAST(list_sum(list_transform(range(0, 8), lambda k: CASE WHEN (w >> (4 * k)) & 15 >= 8 THEN ((w >> (4 * k)) & 15) - 16 ELSE (w >> (4 * k)) & 15 END * (k + 1))) AS BIGINT) AS dot, round(((w & 63) * 0.5) + 0.25, 3) AS int6, round((w & 255) * 0.125, 3) AS int8
  FROM (SELECT o_orderkey AS id, (o_orderkey * 2654435761) % 4294967296 AS w FROM orders)""")

@@ -51,6 +51,26 @@ def provenance_join(spark, sf_dir):
     return semiring.lineage_closure(state, one.unionByName(two).distinct())[0]
 
 
+_BIT = "(CAST(1 AS HUGEINT) << CAST({} AS INT))"
+
+
+@query(f"""WITH RECURSIVE rules AS (SELECT n_nationkey AS k, (n_nationkey * 3 + 2) % 25 AS j, {_BIT.format('25 + n_nationkey')} AS v FROM nation UNION SELECT n_nationkey, (n_nationkey + 5) % 25, {_BIT.format('50 + n_nationkey')} FROM nation WHERE n_nationkey % 2 = 0),
+cells AS (SELECT CAST(n_nationkey % 5 AS BIGINT) AS i, CAST(n_nationkey AS BIGINT) AS k, {_BIT.format('n_nationkey')} AS v FROM nation WHERE n_nationkey < 5 UNION SELECT c.i, CAST(r.j AS BIGINT), c.v | r.v FROM cells c JOIN rules r ON r.k = c.k),
+m AS (SELECT i, k, bit_or(v) AS v FROM cells GROUP BY i, k) SELECT i, k, w AS word, CAST((v >> CAST(40 * w AS INT)) & 1099511627775 AS BIGINT) AS v FROM m, range(2) r(w) WHERE (v >> CAST(40 * w AS INT)) & 1099511627775 <> 0""")
+def provenance_wide(spark, sf_dir):
+    """Lineage with a bit for every fact and every rule, in words of 40 bits."""
+    n = table(spark, sf_dir, "nation", "n_nationkey")
+    k = F.col("n_nationkey").cast("long")
+
+    def bits(df, at, *columns):
+        at = at.cast("int")
+        return df.select(*columns, F.call_function("div", at, F.lit(40)).cast("long").alias("word"), F.call_function("shiftleft", F.lit(1).cast("long"), at % 40).alias("v"))
+
+    state = bits(n.where("n_nationkey < 5"), k, (k % 5).alias("i"), k.alias("k"))
+    rules = bits(n, k + 25, k.alias("k"), ((k * 3 + 2) % 25).alias("j")).unionByName(bits(n.where("n_nationkey % 2 = 0"), k + 50, k.alias("k"), ((k + 5) % 25).alias("j")))
+    return semiring.lineage_closure_wide(state, rules.distinct())
+
+
 @query("SELECT o_orderkey AS k, least(a, b) AS lo, greatest(a + 9, b + 4) AS hi FROM (SELECT o_orderkey, o_orderkey % 100 AS a, o_custkey % 100 AS b FROM orders)")
 def interval_merge(spark, sf_dir):
     t = table(spark, sf_dir, "orders", "o_orderkey", "o_custkey")

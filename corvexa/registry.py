@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 FLAGSHIP = "rule_eval"
 #: Modules of corvexa.plans whose import registers queries.
-MODULES = ("scalars", "sets", "reductions", "semirings", "graphs", "flows", "texts", "matches", "parses", "numerics", "networks", "images", "streams", "stores", "algebras", "layers")
+MODULES = ("scalars", "sets", "reductions", "semirings", "graphs", "flows", "texts", "matches", "parses", "numerics", "networks", "images", "streams", "stores", "algebras", "layers", "syntaxes")
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _SQL: dict[str, str] = {}

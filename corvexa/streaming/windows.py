@@ -23,6 +23,24 @@ def run_available(df: DataFrame, path: str, checkpoint: str, mode: str = "append
     return df.writeStream.outputMode(mode).format("parquet").option("path", path).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
 
 
+def running_totals(events: DataFrame, key: str, value: str) -> DataFrame:
+    """(key, n, total) after each batch: a state a key that grows with its events, kept by the stream itself."""
+    from collections.abc import Iterator
+
+    import pandas as pd
+
+    kinds = dict(events.dtypes)
+
+    def grow(name: tuple, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
+        n, total = state.get if state.exists else (0, 0)
+        for b in batches:
+            n, total = n + len(b), total + int(b[value].sum())
+        state.update((n, total))
+        yield pd.DataFrame({key: [name[0]], "n": [n], "total": [total]})
+
+    return events.select(key, value).groupBy(key).applyInPandasWithState(grow, f"`{key}` {kinds[key]}, n long, total long", "n long, total long", "update", "NoTimeout")
+
+
 def upsert_batches(df: DataFrame, apply, checkpoint: str) -> StreamingQuery:
     """Each micro-batch handed to ``apply(batch, epoch)``: incremental state that lives in a table."""
     return df.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

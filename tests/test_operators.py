@@ -159,7 +159,9 @@ def test_lexing_and_directives(spark):
     lines = spark.createDataFrame([("#define MAX(a, b) ((a) > (b))",), ('#include "x.h"',), ("int y;",)], "line string")
     got = {r["name"]: (r["directive"], r["params"], r["body"], r["system"]) for r in parse.directives(lines, "line").collect()}
     assert got == {"MAX": ("define", "a, b", "((a) > (b))", False), "x.h": ("include", "", None, False)}
-    assert spark.createDataFrame([("a<:1:> %: b\\\nc",)], "s string").select(parse.spliced(F.col("s"))).first()[0] == "a[1] # bc"
+    assert spark.createDataFrame([("a<:1:> %: b\\\nc",)], "s string").select(parse.spliced(F.col("s"))).first()[0] == "a<:1:> %: bc"
+    digraphs = parse.tokens(spark.createDataFrame([(1, 'a<:1:> %: "<:" <% x %>')], "k long, s string"), "k", "s")
+    assert [r["token"] for r in digraphs.orderBy("pos").collect()] == ["a", "[", "1", "]", "#", '"<:"', "{", "x", "}"]
 
 
 def test_macro_that_names_itself(spark):
