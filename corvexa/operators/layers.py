@@ -125,6 +125,25 @@ def gated_delta(rows: DataFrame, head: str, order: str, chunk: int = 64) -> Data
     return bounded(dealt).mapInArrow(run, f"`{head}` {kind}, `{order}` {dict(rows.dtypes)[order]}, out array<double>")
 
 
+def linear_recurrence(rows: DataFrame, sequence: str, order: str, keep: str, add: str) -> DataFrame:
+    """(sequence, order, h) of h = keep h + add along each sequence, from 0. Rows stream past in order; a task holds one number."""
+    kinds = dict(rows.dtypes)
+    dealt = rows.select(sequence, order, F.col(keep).cast("double").alias("__a"), F.col(add).cast("double").alias("__b")).repartition(sequence).sortWithinPartitions(sequence, order)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, h = None, 0.0
+        for b in batches:
+            out = []
+            for s, a, x in zip(b.column(0).to_pylist(), b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True):
+                if s != now:
+                    now, h = s, 0.0
+                h = a * h + x
+                out.append(h)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(out, type=pa.float64())], names=[sequence, order, "h"])
+
+    return bounded(dealt).mapInArrow(run, f"`{sequence}` {kinds[sequence]}, `{order}` {kinds[order]}, h double")
+
+
 def muon(df: DataFrame, param: str, grad: str, momentum: str, rows: int, rate: float, decay: float, steps: int = 5, row_scale: bool = False) -> DataFrame:
     """``df`` with ``updated`` and ``buffer``: momentum, Nesterov look-ahead, orthogonalised blocks of ``rows`` rows, step.
 

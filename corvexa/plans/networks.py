@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from corvexa.functions import activations as A
-from corvexa.operators import dense, reduce
+from corvexa.operators import dense, layers, reduce
 from corvexa.registry import query, table
 
 from .numerics import _V, vectors
@@ -105,9 +105,7 @@ def gptq_round_clip(spark, sf_dir):
 @query(f"""WITH RECURSIVE t AS (SELECT id // 50 AS g, id % 50 AS n, v[1] AS x, 1 / (1 + exp(-v[2])) AS a FROM ({_V})), r AS (SELECT g, n, a * x AS h FROM t WHERE n = 0 UNION ALL SELECT t.g, t.n, (1 - t.a) * r.h + t.a * t.x FROM r JOIN t ON t.g = r.g AND t.n = r.n + 1)
 SELECT g, n, round(h, 6) AS h FROM r""")
 def gated_recurrence(spark, sf_dir):
-    """A gated delta recurrence along each sequence: h = (1 - a) h + a x, folded in the JVM."""
+    """A gated recurrence along each sequence: h = (1 - a) h + a x."""
     t = vectors(spark, sf_dir).select(F.call_function("div", F.col("id"), F.lit(50).cast("long")).alias("g"), (F.col("id") % 50).alias("n"), F.get("v", F.lit(0)).alias("x"), A.sigmoid(F.get("v", F.lit(1))).alias("a"))
-    seq = t.groupBy("g").agg(F.array_sort(F.collect_list(F.struct("n", "x", "a"))).alias("s"))
-    zero = F.array(F.struct(F.lit(-1).cast("long").alias("n"), F.lit(0.0).alias("h")))
-    states = F.aggregate("s", zero, lambda hs, e: F.concat(hs, F.array(F.struct(e["n"].alias("n"), ((1 - e["a"]) * F.element_at(hs, -1)["h"] + e["a"] * e["x"]).alias("h")))))
-    return seq.select("g", F.explode(states).alias("e")).where("e.n >= 0").select("g", "e.n", F.round("e.h", 6).alias("h"))
+    t = t.select("g", "n", (1 - F.col("a")).alias("keep"), (F.col("a") * F.col("x")).alias("add"))
+    return layers.linear_recurrence(t, "g", "n", "keep", "add").select("g", "n", F.round("h", 6).alias("h"))

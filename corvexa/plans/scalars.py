@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from corvexa.functions import u32
+from corvexa.functions.arrow import flat_map
 from corvexa.operators import extensions
 from corvexa.plans.lineage import cut
 from corvexa.registry import query, table
@@ -162,12 +163,61 @@ def atomic_updates(spark, sf_dir):
     return t.groupBy(F.col("user_id").alias("slot")).agg(F.count("*").alias("added"), F.bit_or(e).alias("ored"), F.bit_and(e).alias("anded"), F.bit_xor(e).alias("xored"), F.min(e).alias("least"), F.max(e).alias("most"), F.max_by("event_type", F.struct("ts", "event_id")).alias("exchanged"), F.unix_micros(F.max(F.col("ts").cast("timestamp"))).alias("lru"))
 
 
+def exchange_map(steps: list[tuple]) -> list[tuple]:
+    """(start, final, swaps) for every value that some step (expected, desired) names: what becomes of a slot that holds it.
+
+    Slots that hold the same value move together from then on, so the steps are followed once for all of them: a forest
+    whose nodes are the values at the start, with swaps counted on the way to the root.
+    """
+    parent: dict = {}
+    swaps: dict = {}
+    at: dict = {}
+
+    def holder(value):
+        if value not in parent:
+            parent[value], swaps[value] = None, 0
+            at.setdefault(value, value)
+        return at.get(value)
+
+    for expected, desired in steps:
+        a, b = holder(expected), holder(desired)
+        if a is None:
+            continue
+        swaps[a] += 1
+        if expected != desired:
+            if b is None:
+                at[desired] = a
+            else:
+                parent[a] = b
+                swaps[a] -= swaps[b]
+            at[expected] = None
+    ends = {root: value for value, root in at.items() if root is not None}
+    out = []
+    for start in parent:
+        node, n = start, swaps[start]
+        while parent[node] is not None:
+            node = parent[node]
+            n += swaps[node]
+        out.append((start, ends[node], n))
+    return out
+
+
 def compare_exchange(updates: DataFrame, slot: str, order: str, expected: str, desired: str, start: int = 0) -> DataFrame:
-    """(slot, final, swaps) after compare-and-exchange updates in ``order``, as an ordered fold of each slot in the JVM."""
-    steps = updates.groupBy(slot).agg(F.array_sort(F.collect_list(F.struct(F.col(order), F.col(expected).alias("e"), F.col(desired).alias("d")))).alias("x"))
+    """(slot, final, swaps) after compare-and-exchange updates in ``order``.
+
+    Ranges of the order are followed apart, each as a map from values to values, so a hot slot is many tasks; a slot's
+    few maps are then applied in turn.
+    """
+    rows = updates.select(slot, F.col(order).alias("o"), F.col(expected).cast("long").alias("e"), F.col(desired).cast("long").alias("d"))
+    placed = cut(rows.repartitionByRange(slot, "o").withColumn("b", F.spark_partition_id()))
+    parts = placed.groupBy(slot, "b").agg(F.min("o").alias("o"), F.array_sort(F.collect_list(F.struct("o", "e", "d"))).alias("x"))
+    parts = parts.select(F.struct(slot, "o").alias("k"), F.transform("x", lambda u: F.struct(u["e"].alias("e"), u["d"].alias("d"))).alias("x"))
+    maps = flat_map(parts, "k", "x", "m array<struct<start:bigint,final:bigint,swaps:bigint>>", lambda v: [([dict(zip(("start", "final", "swaps"), r, strict=True)) for r in exchange_map([(u["e"], u["d"]) for u in v])],)])
+    whole = maps.groupBy(F.col(f"k.{slot}").alias(slot)).agg(F.array_sort(F.collect_list(F.struct(F.col("k.o").alias("o"), "m"))).alias("x"))
     zero = F.struct(F.lit(start).cast("long").alias("v"), F.lit(0).cast("long").alias("n"))
-    fold = F.aggregate("x", zero, lambda s, u: F.when(s["v"] == u["e"], F.struct(u["d"].cast("long").alias("v"), (s["n"] + 1).alias("n"))).otherwise(s))
-    return steps.select(slot, fold.alias("s")).select(slot, F.col("s.v").alias("final"), F.col("s.n").alias("swaps"))
+    hit = lambda s, u: F.try_element_at(F.filter(u["m"], lambda r: r["start"] == s["v"]), F.lit(1))
+    fold = F.aggregate("x", zero, lambda s, u: F.struct(F.coalesce(hit(s, u)["final"], s["v"]).alias("v"), (s["n"] + F.coalesce(hit(s, u)["swaps"], F.lit(0))).alias("n")))
+    return whole.select(slot, fold.alias("s")).select(slot, F.col("s.v").alias("final"), F.col("s.n").alias("swaps"))
 
 
 @query("""WITH RECURSIVE u AS (SELECT l_orderkey AS slot, l_linenumber AS k, (l_linenumber - 1) % 3 AS e, l_linenumber % 3 AS d, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) AS r FROM lineitem),

@@ -182,3 +182,28 @@ def test_delta_rule_over_chunks(spark):
     for chunk in (7, 64):
         got = [r["out"] for r in layers.gated_delta(df.repartition(3), "head", "t", chunk).orderBy("t").collect()]
         assert np.allclose(got, want)
+
+
+def test_exchanges_in_ranges(spark):
+    """The maps of ranges, applied in turn, against steps followed one by one, for every value at the start."""
+    from corvexa.plans.scalars import compare_exchange, exchange_map
+
+    rng = random.Random(13)
+    for _ in range(200):
+        steps = [(rng.randrange(5), rng.randrange(5)) for _ in range(rng.randrange(12))]
+        for start, final, swaps in exchange_map(steps):
+            v = n = 0
+            v = start
+            for e, d in steps:
+                if v == e:
+                    v, n = d, n + 1
+            assert (final, swaps) == (v, n)
+    rows = [(k % 3 if k % 2 else 0, k, rng.randrange(4), rng.randrange(4)) for k in range(3000)]
+    df = spark.createDataFrame(rows, "slot long, o long, e long, d long").repartition(5)
+    got = {r["slot"]: (r["final"], r["swaps"]) for r in compare_exchange(df, "slot", "o", "e", "d").collect()}
+    for slot in {r[0] for r in rows}:
+        v = n = 0
+        for s, _, e, d in rows:
+            if s == slot and v == e:
+                v, n = d, n + 1
+        assert got[slot] == (v, n)
