@@ -114,3 +114,13 @@ def softmax(df: DataFrame, value: Column, *by: str) -> DataFrame:
     join = (lambda a, b: a.join(b, list(by))) if by else (lambda a, b: a.crossJoin(F.broadcast(b)))  # one row
     df = join(df, tops).withColumn("__e", F.exp(F.col("__x") - F.col("__m")))
     return join(df, df.groupBy(*by).agg(F.sum("__e").alias("__t"))).withColumn("weight", F.col("__e") / F.col("__t")).drop("__x", "__m", "__e", "__t")
+
+
+def insert_first(rows: DataFrame) -> DataFrame:
+    """(key, value) of rows(key, value, order): the first value of each key stays."""
+    return rows.groupBy("key").agg(F.min_by("value", "order").alias("value"))
+
+
+def look_up(held: DataFrame, asked: DataFrame) -> DataFrame:
+    """asked(key) with ``value`` and ``found``."""
+    return asked.join(held.withColumn("found", F.lit(True)), "key", "left").select("key", "value", F.coalesce("found", F.lit(False)).alias("found"))

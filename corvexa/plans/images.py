@@ -85,3 +85,42 @@ def byte_shuffle(spark, sf_dir):
     t = table(spark, sf_dir, "orders", "o_orderkey", "o_custkey")
     k, div = F.col("o_orderkey"), lambda a, n: F.call_function("div", a, F.lit(n).cast("long"))
     return t.select((k % 4 * 256 + div(k, 4) % 256 + 1024 * div(k, 1024)).alias("place"), (F.col("o_custkey") % 256).alias("byte"))
+
+
+_BLUR = f"h AS (SELECT y, x, sum(v) OVER (PARTITION BY y ORDER BY x ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING) AS v FROM ({_GRID})), blurred AS (SELECT y, x, sum(v) OVER (PARTITION BY x ORDER BY y ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING) / 25 AS v FROM h)"
+
+
+@query(f"WITH {_BLUR} SELECT y, x, CASE WHEN x IN (0, 39) OR y = 0 THEN 255 ELSE CAST(floor(least(greatest(v * 0.75 + 255 * 0.25, 0), 255)) AS BIGINT) END AS v FROM blurred")
+def glass_stages(spark, sf_dir):
+    """A pane of glass: blur, tint with clamping, and a border, one after the other."""
+    blurred = dense.stencil(dense.stencil(grid(spark, sf_dir), {(0, d): 1.0 for d in range(-2, 3)}), {(d, 0): 1.0 for d in range(-2, 3)})
+    return glass(blurred.select("y", "x", (F.col("v") / 25).alias("v")), 0.25, 255.0, (F.col("x").isin(0, 39)) | (F.col("y") == 0))
+
+
+def glass(plane, strength: float, tint: float, border: Column):
+    """(y, x, v): a plane mixed with a tint and clamped to a byte; 255 on the border."""
+    mixed = F.col("v") * (1 - strength) + tint * strength
+    level = F.floor(F.least(F.greatest(mixed, F.lit(0.0)), F.lit(255.0)))
+    return plane.select("y", "x", F.when(border, F.lit(255).cast("long")).otherwise(level).alias("v"))
+
+
+_CAND = "c AS (SELECT p_partkey // 40 AS y, p_partkey % 40 AS x FROM part WHERE (p_partkey // 40) % 3 = 0 AND p_size % 3 <> 0), d AS (SELECT y, CASE WHEN (y // 3) % 2 = 0 THEN x ELSE -x END AS s FROM c)"
+
+
+@query(f"""WITH RECURSIVE {_CAND}, w AS (SELECT y, min(s) AS s FROM d GROUP BY y UNION ALL SELECT n.y, n.s FROM (SELECT w.y, (SELECT min(d.s) FROM d WHERE d.y = w.y AND d.s >= w.s + 3) AS s FROM w) n WHERE n.s IS NOT NULL) SELECT y, abs(s) AS x FROM w""")
+def planar_rewrites(spark, sf_dir):
+    """Matches of 3 x 3 that can be rewritten in one wave without overlap."""
+    k = F.col("p_partkey")
+    found = table(spark, sf_dir, "part", "p_partkey", "p_size").where("p_size % 3 <> 0").select(F.call_function("div", k, F.lit(40).cast("long")).alias("y"), (k % 40).alias("x"))
+    return planar_schedule(found, 3)
+
+
+def planar_schedule(candidates, k: int):
+    """(y, x) of candidates that are taken: every k-th row is scanned, in turns forth and back, and a match is taken if it
+    lies k places at least beyond the one taken before. Rows so far apart don't overlap; one row is one list."""
+    row = F.call_function("div", F.col("y"), F.lit(k).cast("long"))
+    scan = candidates.where(F.col("y") % k == 0).select("y", F.when(row % 2 == 0, F.col("x")).otherwise(-F.col("x")).alias("s"))
+    lists = scan.groupBy("y").agg(F.array_sort(F.collect_set("s")).alias("s"))
+    none = F.array().cast("array<bigint>")
+    taken = F.aggregate("s", none, lambda out, s: F.when((F.size(out) == 0) | (s - F.try_element_at(out, F.lit(-1)) >= k), F.array_append(out, s)).otherwise(out))
+    return lists.where(F.size("s") > 0).select("y", F.explode(taken).alias("s")).select("y", F.abs("s").alias("x"))

@@ -147,3 +147,19 @@ def running_by_key(spark, sf_dir):
     w = Window.partitionBy("l_orderkey")
     t = table(spark, sf_dir, "lineitem", "l_orderkey", "l_linenumber", "l_quantity")
     return t.select("l_orderkey", "l_linenumber", F.sum(F.col("l_quantity").cast("long")).over(w.orderBy("l_linenumber")).alias("running"), F.rank().over(w.orderBy("l_quantity")).alias("rank"))
+
+
+@query(f"SELECT o_orderkey AS pos, (v * 2 + o_orderkey) % 4294967296 AS mapped, (SELECT max(CAST(round(o_totalprice) AS BIGINT)) FROM orders) AS sent FROM (SELECT o_orderkey, {_PRICE} AS v FROM orders)")
+def indexed_map(spark, sf_dir):
+    """A function of place and value, and one value sent to every place."""
+    t = _orders(spark, sf_dir)
+    top = t.agg(F.max("v").alias("sent"))  # one row
+    return t.select("pos", u32.add(F.col("v") * 2, F.col("pos")).alias("mapped")).crossJoin(F.broadcast(top))
+
+
+@query("SELECT o_orderkey AS key, h.v AS value, h.v IS NOT NULL AS found FROM orders LEFT JOIN (SELECT l_partkey AS k, arg_min(l_suppkey, (l_orderkey, l_linenumber)) AS v FROM lineitem GROUP BY 1) h ON h.k = o_orderkey")
+def hash_insert_lookup(spark, sf_dir):
+    """A table into which the first value of each key goes, then asked for keys, some of which it lacks."""
+    l = table(spark, sf_dir, "lineitem", "l_partkey", "l_suppkey", "l_orderkey", "l_linenumber")
+    held = reduce.insert_first(l.select(F.col("l_partkey").alias("key"), F.col("l_suppkey").alias("value"), F.struct("l_orderkey", "l_linenumber").alias("order")))
+    return reduce.look_up(held, table(spark, sf_dir, "orders", "o_orderkey").select(F.col("o_orderkey").alias("key")))
