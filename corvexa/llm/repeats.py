@@ -35,7 +35,7 @@ LENGTH = 100
 #: Bytes of anchors, level by level.
 GRAMS = (32, 64, 96, LENGTH)
 #: Bytes of a shard, and differing runs of one anchor that a shard takes.
-SHARD, HEAVY = 1 << 19, 4096
+SHARD, HEAVY = 1 << 19, 2048
 #: A text is cut into runs by segments of so many bytes, so that memory stays bounded.
 SEGMENT = 1 << 20
 _U = np.uint64
@@ -189,13 +189,14 @@ def shard_repeats(strings: list[bytes], n: np.ndarray, k: np.ndarray, r: np.ndar
     t = np.ones(int((sizes + 1).sum()) + 1, dtype=np.uint16)
     t[-1] = 0
     body = np.frombuffer(b"".join(strings), dtype=np.uint8).astype(np.uint16) + 2
-    of = np.repeat(np.arange(len(strings)), sizes)
-    t[np.arange(len(body)) + of] = body
+    of = np.repeat(np.arange(len(strings), dtype=np.int32), sizes)
+    t[np.arange(len(body), dtype=np.int32) + of] = body
+    del body, of
     sa = suffix_array(t, 258)
     shared = permuted_lcp(t, sa, LENGTH, least=LENGTH)
     # Suffixes that share LENGTH bytes with the one before them continue its class; classes of one drop out.
     joined = shared[sa] >= LENGTH
-    cls = np.cumsum(~joined)
+    cls = np.cumsum(~joined, dtype=np.int32)
     part = joined | np.append(joined[1:], False)
     p, cls = sa[part], cls[part]
     s = np.searchsorted(starts, p, side="right") - 1

@@ -49,7 +49,7 @@ def classify(t: np.ndarray) -> np.ndarray:
     d = np.zeros(n, dtype=np.int8)
     d[:-1] = np.sign(t[1:].astype(np.int32) - t[:-1].astype(np.int32))
     d[-1] = 1
-    at = np.where(d != 0, np.arange(n), n)
+    at = np.where(d != 0, np.arange(n, dtype=np.int32), np.int32(n))
     at = np.minimum.accumulate(at[::-1])[::-1]
     return d[at] > 0
 
@@ -124,10 +124,10 @@ def suffix_array(t: np.ndarray, sigma: int) -> np.ndarray:
     by_piece = first[is_lms[first]]
     # Name the substrings from one leftmost S-type position to the next.
     total = prefix_hash(t)
-    ends = np.empty(len(t), dtype=np.int64)
+    ends = np.empty(len(t), dtype=np.int32)
     ends[lms] = np.minimum(np.append(lms[1:], len(t) - 1) + 1, len(t))
     h = span_hash(total, by_piece, ends[by_piece])
-    names = np.empty(len(t), dtype=np.int64)
+    names = np.empty(len(t), dtype=np.int32)
     names[by_piece] = np.concatenate([[0], np.cumsum(h[1:] != h[:-1])])
     reduced = names[lms]
     del first, is_lms, total, ends, h, names
@@ -139,14 +139,34 @@ def suffix_array(t: np.ndarray, sigma: int) -> np.ndarray:
 def _sorted_names(reduced: np.ndarray, distinct: int, n: int) -> np.ndarray:
     """Order of the suffixes of the reduced string, by recursion.
 
-    Buckets are handled one by one, so many names are written as two digits each; the suffixes that begin with a first
-    digit are in the order of those of the names. Where that doesn't shorten the string, the names are taken as they are.
+    A name that occurs once settles every comparison that meets it, so of a run of such names only the first is kept,
+    as the end of what comes before it. Buckets are handled one by one, so many names are written as two digits each;
+    the suffixes that begin with a first digit are in the order of those of the names. Where that doesn't shorten the
+    string, the names are taken as they are.
     """
-    if distinct <= NAMES or 2 * len(reduced) > 0.9 * n:
-        return suffix_array(reduced.astype(np.uint16 if distinct < 1 << 16 else np.uint32), distinct)
+    once = np.bincount(reduced, minlength=distinct)[reduced] == 1
+    kept = ~once
+    kept[1:] |= ~once[:-1]
+    kept[-1] = True
+    places = np.flatnonzero(kept).astype(np.int32)
+    names = reduced[places]
+    used = np.zeros(distinct, dtype=np.int32)
+    used[names] = 1
+    names = (np.cumsum(used, dtype=np.int32) - 1)[names]
+    order = places[_recursed(names, int(names.max()) + 1, n)]
+    # Those left out have names of their own, so names and the order of the kept ones settle all.
+    order = np.concatenate([order, np.flatnonzero(~kept).astype(np.int32)])
+    return order[reduced[order].argsort(kind="stable")]
+
+
+def _recursed(names: np.ndarray, distinct: int, n: int) -> np.ndarray:
+    if distinct == len(names):
+        return names.argsort()
+    if distinct <= NAMES or 2 * len(names) > 0.9 * n:
+        return suffix_array(names.astype(np.uint16 if distinct < 1 << 16 else np.uint32), distinct)
     base = int(np.ceil(np.sqrt(distinct)))
-    digits = np.zeros(2 * len(reduced) - 1, dtype=np.uint16)
-    digits[:-1:2], digits[1::2] = reduced[:-1] // base + 1, reduced[:-1] % base + 1
+    digits = np.zeros(2 * len(names) - 1, dtype=np.uint16)
+    digits[:-1:2], digits[1::2] = names[:-1] // base + 1, names[:-1] % base + 1
     order = suffix_array(digits, base + 2)
     return order[order % 2 == 0] // 2
 
@@ -157,15 +177,15 @@ def permuted_lcp(t: np.ndarray, sa: np.ndarray, cap: int, least: int = 0) -> np.
     Lengths under ``least`` may be given as 0; that spares most positions the search.
     """
     total, n = prefix_hash(t), len(t)
-    phi = np.empty(n, dtype=np.int64)
+    phi = np.empty(n, dtype=np.int32)
     phi[sa[0]] = -1
     phi[sa[1:]] = sa[:-1]
-    i = np.flatnonzero(phi >= 0)
+    i = np.flatnonzero(phi >= 0).astype(np.int32)
     if least:
         i = i[np.maximum(i, phi[i]) + least <= n]
         i = i[span_hash(total, i, i + least) == span_hash(total, phi[i], phi[i] + least)]
         i = i[_same(t, i, phi[i], least)]
-    j, shared = phi[i], np.full(len(i), least, dtype=np.int64)
+    j, shared = phi[i], np.full(len(i), least, dtype=np.int32)
     step = 1 << (cap.bit_length() - 1)
     while step:
         a, b = i + shared, j + shared
@@ -174,7 +194,7 @@ def permuted_lcp(t: np.ndarray, sa: np.ndarray, cap: int, least: int = 0) -> np.
         k = k[span_hash(total, a[k], a[k] + step) == span_hash(total, b[k], b[k] + step)]
         shared[k] += step
         step >>= 1
-    out = np.zeros(n, dtype=np.int64)
+    out = np.zeros(n, dtype=np.int32)
     out[i] = shared
     return out
 
