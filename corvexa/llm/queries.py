@@ -19,6 +19,19 @@ def op1_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents", "doc_id", "text"), words=5, percent=85)
 
 
+OP1_SQL = r"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+sets AS (SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')] ELSE list_distinct([array_to_string(w[i:i + 4], ' ') FOR i IN range(1, len(w) - 3)]) END AS s FROM w),
+sizes AS (SELECT doc_id, CAST(len(s) AS BIGINT) AS n, md5(array_to_string(list_sort(s), chr(10))) AS h FROM sets),
+classes AS (SELECT h, min(doc_id) AS doc_id FROM sizes WHERE n > 0 GROUP BY h),
+rows AS (SELECT doc_id, unnest(s) AS s FROM sets WHERE doc_id IN (SELECT doc_id FROM classes)),
+links AS (SELECT a.doc_id AS a, b.doc_id AS b FROM rows a JOIN rows b ON a.s = b.s AND a.doc_id < b.doc_id JOIN sizes x ON x.doc_id = a.doc_id JOIN sizes y ON y.doc_id = b.doc_id GROUP BY 1, 2 HAVING 100 * count(*) >= 85 * (any_value(x.n) + any_value(y.n) - count(*))),
+e AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+c(node, label) USING KEY (node) AS (SELECT doc_id, doc_id FROM classes UNION SELECT e.b, min(c.label) FROM c JOIN e ON e.a = c.node JOIN recurring.c r ON r.node = e.b WHERE c.label < r.label GROUP BY e.b)
+SELECT s.doc_id, s.n AS n_shingles, coalesce(c.label, s.doc_id) AS component_id, coalesce(c.label, s.doc_id) = s.doc_id AS kept FROM sizes s LEFT JOIN classes k ON k.h = s.h AND s.n > 0 LEFT JOIN c ON c.node = k.doc_id
+"""
+
+
 #: Captures of each page that the query makes, and those that are full responses; the others are not-modified answers.
 CAPTURES, FULL = 5, (0, 2)
 
@@ -127,6 +140,18 @@ def op8_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return voronoi.exact_top_k(table(spark, sf_dir, "embeddings", "vec_id", "embedding"))
 
 
+OP7_SQL = """
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+w AS (SELECT doc_id, i, md5(substr(h, 2 * i + 1, 200)) AS m FROM (SELECT doc_id, h, unnest(range(length(h) // 2 - 99)) AS i FROM d WHERE length(h) >= 200)),
+g AS (SELECT doc_id, i FROM (SELECT doc_id, i, row_number() OVER (PARTITION BY m ORDER BY doc_id, i) AS n FROM w) WHERE n > 1),
+f AS (SELECT doc_id, i, CASE WHEN i <= lag(i) OVER (PARTITION BY doc_id ORDER BY i) + 100 THEN 0 ELSE 1 END AS f FROM g),
+s AS (SELECT doc_id, min(i) AS a, max(i) + 100 AS b FROM (SELECT doc_id, i, sum(f) OVER (PARTITION BY doc_id ORDER BY i) AS r FROM f) GROUP BY doc_id, r),
+l AS (SELECT doc_id, list(a ORDER BY a) AS a, list(b ORDER BY a) AS b FROM s GROUP BY doc_id)
+SELECT doc_id, CAST(length(h) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(list_sum(b) - list_sum(a), 0) AS BIGINT) AS n_removed, CAST(coalesce(len(a), 0) AS BIGINT) AS n_spans,
+ sha256(unhex(CASE WHEN a IS NULL THEN h ELSE array_to_string([substr(h, 2 * z[1] + 1, 2 * (z[2] - z[1])) FOR z IN list_zip([0] || b, a || [length(h) // 2])], '') END)) AS kept_sha256 FROM d LEFT JOIN l USING (doc_id)
+"""
+
+
 OP8_SQL = """
 WITH v AS (SELECT vec_id, [CAST(floor(CAST(x AS DOUBLE) * 1024) AS BIGINT) FOR x IN embedding] AS v FROM embeddings WHERE len(embedding) > 0 AND NOT list_contains([coalesce(isfinite(x), false) FOR x IN embedding], false)),
 s AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(list_sum([z[1] * z[2] FOR z IN list_zip(q.v, c.v)]) AS BIGINT) AS score FROM v q JOIN v c ON q.vec_id % 100 = 0 AND c.vec_id <> q.vec_id)
@@ -146,4 +171,4 @@ def op10_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_minhash, op2_revisits, op3_packing, op4_sharding, op5_language_id, op6_quality, op7_suffix_array, op8_top_k, op9_sentencepiece, op10_neighbours)}
-ORACLE_SQL: dict[str, str] = {"op2_revisits": OP2_SQL, "op4_sharding": OP4_SQL, "op8_top_k": OP8_SQL}
+ORACLE_SQL: dict[str, str] = {"op1_minhash": OP1_SQL, "op2_revisits": OP2_SQL, "op4_sharding": OP4_SQL, "op7_suffix_array": OP7_SQL, "op8_top_k": OP8_SQL}

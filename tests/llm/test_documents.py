@@ -135,6 +135,28 @@ def test_nulls_repeats_and_empty_tables(spark):
     assert shared == {True}
 
 
+def test_very_long_texts(spark):
+    """Texts of over a mebibyte, of many words and of one: all of them is read."""
+    rng = random.Random(14)
+    words = [f"w{k}" for k in range(3000)]
+    long = " ".join(rng.choice(words) for _ in range(230_000))
+    assert len(long) > 1 << 20
+    tail = long[:-40] + " and another end of the same text"
+    rows = [(1, long, "en"), (2, tail, "en"), (3, "x" * 40_000, "de"), (4, "kurz und gut", "de"), (5, "short and good", "en")]
+    docs = frame(spark, rows)
+    near = {r["doc_id"]: r for r in minhash.near_duplicates(docs).collect()}
+    assert [near[k]["component_id"] for k in range(1, 6)] == [1, 1, 3, 4, 5] and near[1]["n_shingles"] == len(brute.shingles(long))
+    sizes = {r["doc_id"]: r["size"] for r in sharding.histogram_shards(docs, 3).collect()}
+    assert sizes == {k: len(t.encode()) + 16 for k, t, _ in rows}
+    model = language.train(docs)
+    assert language.predict(docs, model).where("lang_pred = 'und'").count() == 0
+    found = quality.features(long)
+    assert found[0] == pytest.approx(math.log1p(230_000)) and not np.allclose(found, quality.features(long[: 1 << 20]))
+    path = queries.tokenizer_path("piece_bpe_32k.model")
+    out = lattice.decode_segmentations(lattice.sample_segmentations(docs, path), path)
+    assert out.where("NOT (decoded <=> text)").count() == 0
+
+
 def test_packing_is_a_partition_of_the_tokens(spark, documents):
     from tokenizers import Tokenizer
 
@@ -221,8 +243,8 @@ def test_equal_texts_stay_together(spark, monkeypatch):
     assert all(sorted(s) == list(range(len(s))) for s in slots.values()) and len(got) == 6000
 
 
-def test_shards_equal_sql(spark, oracle):
-    for sql, f in ((queries.OP4_SQL, queries.op4_sharding), (queries.OP8_SQL, queries.op8_top_k)):
+def test_queries_equal_sql(spark, oracle):
+    for sql, f in ((queries.OP1_SQL, queries.op1_minhash), (queries.OP4_SQL, queries.op4_sharding), (queries.OP7_SQL, queries.op7_suffix_array), (queries.OP8_SQL, queries.op8_top_k)):
         assert spark_rows(f(spark, SMALL)) == oracle_rows(oracle, sql)
 
 

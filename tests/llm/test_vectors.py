@@ -96,3 +96,20 @@ def test_unique_vectors_per_query_of_copies(spark):
     same = frame(spark, [(k, [1.0, 2.0, 3.0]) for k in range(0, 300)])
     out = neighbours.nearest(same).groupBy("query_id").agg(F.collect_set("vec_id").alias("x")).collect()
     assert {r["query_id"]: sorted(r["x"])[:2] for r in out} == {0: [1, 2], 100: [0, 1], 200: [0, 1]}
+
+
+def test_recall_over_several_full_shards(spark):
+    """Evenly spread vectors, the hardest ones, in shards of production size."""
+    rng = np.random.default_rng(17)
+    x = rng.normal(size=(9000, 32))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    df = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "vec_id long, embedding array<double>")
+    found: dict = {}
+    for r in neighbours.nearest(df).collect():
+        found.setdefault(r["query_id"], set()).add(r["vec_id"])
+    hit = 0
+    for q in range(0, 9000, 100):
+        d = ((x - x[q]) ** 2).sum(axis=1)
+        d[q] = np.inf
+        hit += len(found[q] & set(np.argsort(d)[:10].tolist()))
+    assert hit >= 0.9 * 10 * len(found) and len(found) == 90
