@@ -26,7 +26,7 @@ NGRAMS = (1, 2, 3, 4)
 PER_LANG, IN_ALL, LANDMARKS = 250, 4000, 60
 RIDGE, SHARPNESS = 1e-2, 6.0
 #: Cells of a presence matrix.
-CELLS = 4 << 20
+CELLS = 1 << 20
 _GAPS = re.compile(r"[\W\d_]+")
 
 
@@ -67,7 +67,7 @@ class LanguageModel:
             known = self.vocabulary[at] == flat
             present = np.zeros((len(part), len(self.vocabulary)), dtype=np.float32)
             present[np.repeat(np.arange(len(part)), sizes)[known], at[known]] = 1
-            out[first : first + size] = present @ self.weights / np.sqrt(sizes)[:, None] + self.bias
+            out[first : first + size] = present @ self.weights.astype(np.float32) / np.sqrt(sizes)[:, None] + self.bias
         return out
 
     def score(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
