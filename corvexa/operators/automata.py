@@ -183,6 +183,40 @@ def compile_set(patterns: list[bytes], anywhere: bool = True, ignore_case: bool
     return merged(Table(np.array(step), np.array(accept)))
 
 
+def nfa_tables(spark, patterns: list[bytes]) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Moves (state, low, high, next), empty moves (state, next) and ends (state, pattern) of the patterns' automata, state 0 the start."""
+    p = _Parser(b"")
+    start = p.state()
+    ends = []
+    for k, pattern in enumerate(patterns):
+        p.p, p.at = pattern, 0
+        s, e = p.parse()
+        p.empty[start].append(s)
+        ends.append((e, k))
+    moves = []
+    for s, found in enumerate(p.moves):
+        for allowed, to in found:
+            edge = np.flatnonzero(np.diff(np.concatenate([[False], allowed, [False]]).astype(np.int8)))
+            moves += [(s, int(a), int(z) - 1, to) for a, z in zip(edge[::2], edge[1::2], strict=True)]
+    empty = [(s, to) for s, found in enumerate(p.empty) for to in found]
+    return spark.createDataFrame(moves, "state int, low int, high int, next int"), spark.createDataFrame(empty, "state int, next int"), spark.createDataFrame(ends, "state int, pattern int")
+
+
+def sharded(patterns: list[bytes], states: int) -> list[tuple[list[int], Table]]:
+    """Tables of at most about ``states`` states that share the patterns, each with the numbers of its patterns; a pattern
+    with more states of its own gets a table to itself."""
+    out: list[tuple[list[int], Table]] = []
+    for k, pattern in enumerate(patterns):
+        if out:
+            numbers, _ = out[-1]
+            joined = compile_set([patterns[n] for n in numbers] + [pattern])
+            if len(joined.step) <= states:
+                out[-1] = ([*numbers, k], joined)
+                continue
+        out.append(([k], compile_set([pattern])))
+    return out
+
+
 def merged(t: Table) -> Table:
     """States of equal behaviour as one, the start still first: classes are split until all transitions agree."""
     classes = t.accept.astype(np.int64)
@@ -201,34 +235,51 @@ def merged(t: Table) -> Table:
     return Table(place[classes[t.step[heads]]].astype(np.int32), t.accept[heads])
 
 
-def scan(df: DataFrame, key: str, raw: str, table: Table) -> DataFrame:
-    """(key, ends, first): at how many bytes of each text a match ends, and the first such place (null: none).
+def _walk(values: list, table: Table) -> Iterator[tuple[np.ndarray, int]]:
+    """(which values, bytes read) wherever matches end. Values advance together, the longest few alone at the end."""
+    order = sorted((i for i, v in enumerate(values) if v), key=lambda i: -len(values[i]))
+    flat = np.frombuffer(b"".join(values[i] for i in order), dtype=np.uint8)
+    sizes = np.array([len(values[i]) for i in order], dtype=np.int64)
+    starts = np.cumsum(sizes) - sizes
+    who, state, alive = np.array(order, dtype=np.int64), np.zeros(len(order), dtype=np.int32), len(order)
+    for p in range(int(sizes[0]) if len(sizes) else 0):
+        while sizes[alive - 1] <= p:
+            alive -= 1
+        state[:alive] = table.step[state[:alive], flat[starts[:alive] + p]]
+        if (hit := who[:alive][table.accept[state[:alive]]]).size:
+            yield hit, p + 1
 
-    Texts of a batch advance together, the longest few alone at the end.
-    """
+
+def _checked(table: Table) -> None:
     if len(table.step) > MAX_STATES:
         raise ValueError("the automaton is too large to broadcast")
-    kind = dict(df.dtypes)[key]
+
+
+def scan(df: DataFrame, key: str, raw: str, table: Table) -> DataFrame:
+    """(key, ends, first): at how many bytes of each text a match ends, and the first such place (null: none)."""
+    _checked(table)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            values = b.column(1).to_pylist()
-            order = sorted((i for i, v in enumerate(values) if v), key=lambda i: -len(values[i]))
-            ends, first = np.zeros(len(values), dtype=np.int64), np.full(len(values), -1, dtype=np.int64)
-            flat = np.frombuffer(b"".join(values[i] for i in order), dtype=np.uint8)
-            sizes = np.array([len(values[i]) for i in order], dtype=np.int64)
-            starts = np.cumsum(sizes) - sizes
-            who, state, alive = np.array(order, dtype=np.int64), np.zeros(len(order), dtype=np.int32), len(order)
-            for p in range(int(sizes[0]) if len(sizes) else 0):
-                while sizes[alive - 1] <= p:
-                    alive -= 1
-                state[:alive] = table.step[state[:alive], flat[starts[:alive] + p]]
-                hit = who[:alive][table.accept[state[:alive]]]
+            ends, first = np.zeros(b.num_rows, dtype=np.int64), np.full(b.num_rows, -1, dtype=np.int64)
+            for hit, p in _walk(b.column(1).to_pylist(), table):
                 ends[hit] += 1
-                first[hit[first[hit] < 0]] = p + 1
+                first[hit[first[hit] < 0]] = p
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(ends), pa.array(first, mask=first < 0)], names=[key, "ends", "first"])
 
-    return bounded(df.select(key, raw)).mapInArrow(run, f"`{key}` {kind}, ends long, first long")
+    return bounded(df.select(key, raw)).mapInArrow(run, f"`{key}` {dict(df.dtypes)[key]}, ends long, first long")
+
+
+def scan_places(df: DataFrame, key: str, raw: str, table: Table) -> DataFrame:
+    """(key, stop) of every byte at which a match ends."""
+    _checked(table)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for hit, p in _walk(b.column(1).to_pylist(), table):
+                yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(hit)), pa.array(np.full(len(hit), p))], names=[key, "stop"])
+
+    return bounded(df.select(key, raw)).mapInArrow(run, f"`{key}` {dict(df.dtypes)[key]}, stop long")
 
 
 def anchors(pattern: str) -> list[str]:

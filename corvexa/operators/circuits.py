@@ -9,6 +9,7 @@ from corvexa.functions.arrow import flat_map
 from corvexa.plans.lineage import cut
 
 from . import graph
+from .scan import prefix_scan
 
 #: Gates of one compiled formula, at most.
 MAX_GATES = 1 << 16
@@ -146,3 +147,19 @@ def drop_identities(spiders: DataFrame, edges: DataFrame) -> tuple[DataFrame, Da
     gone = lone.select("node")
     kept = edges.join(gone.withColumnRenamed("node", "src"), "src", "left_anti").join(gone.withColumnRenamed("node", "dst"), "dst", "left_anti").select("src", "dst")
     return spiders.join(gone, "node", "left_anti"), kept.unionByName(lone.select(F.col("a").alias("src"), F.col("b").alias("dst")))
+
+
+def kan_extensions(values: DataFrame, asked: DataFrame) -> DataFrame:
+    """(d, left, right): of values(at, v), where ``at`` is the image of an object in a total order, the join of those at or
+    below d and the meet of those at or above it; null where there are none. Both are running extremes over one scan."""
+    both = values.select("at", "v", F.lit(None).cast("long").alias("d")).unionByName(asked.select(F.col("d").alias("at"), F.lit(None).cast(dict(values.dtypes)["v"]).alias("v"), "d"))
+    both = prefix_scan(both, "at", "v", kind="max", into="left").withColumn("down", -F.col("at"))
+    return prefix_scan(both, "down", "v", kind="min", into="right").where("d IS NOT NULL").select("d", "left", "right")
+
+
+def yoneda_counts(sizes: DataFrame) -> DataFrame:
+    """(c, elements, transformations, agree) for a functor of sets on a discrete category, sizes(c, n): a transformation from
+    what c represents picks an element at c and, as nothing else has an arrow from c, nothing more."""
+    arrows = sizes.select(F.col("c").alias("from")).join(sizes.select(F.col("c").alias("to"), "n"), F.col("from") == F.col("to"))
+    picks = arrows.groupBy(F.col("from").alias("c")).agg(F.round(F.exp(F.sum(F.ln("n")))).cast("long").alias("transformations"))
+    return sizes.select("c", F.col("n").alias("elements")).join(picks, "c").withColumn("agree", F.col("elements") == F.col("transformations"))

@@ -190,3 +190,19 @@ def interned_words(spark, sf_dir):
     """Words with dense ids in their order: a perfect table of a vocabulary."""
     words = table(spark, sf_dir, "part", "p_name").select(F.explode(F.split("p_name", " ")).alias("word")).where("word <> ''").distinct()
     return sketch.interned(words, "word")
+
+
+@query("""WITH f AS (SELECT p_partkey * 3 AS at, p_size AS v FROM part WHERE p_size % 2 = 0), d AS (SELECT p_partkey * 2 AS d FROM part)
+SELECT d, (SELECT max(v) FROM f WHERE f.at <= d.d) AS "left", (SELECT min(v) FROM f WHERE f.at >= d.d) AS "right" FROM d""")
+def kan_extensions(spark, sf_dir):
+    """Left and right extensions of values along a map into an order: running extremes, no range join."""
+    p = table(spark, sf_dir, "part", "p_partkey", "p_size")
+    f = p.where("p_size % 2 = 0").select((F.col("p_partkey") * 3).alias("at"), F.col("p_size").alias("v"))
+    return circuits.kan_extensions(f, p.select((F.col("p_partkey") * 2).alias("d")))
+
+
+@query("SELECT x AS c, CAST((x * 7) % 5 + 1 AS BIGINT) AS elements, CAST((x * 7) % 5 + 1 AS BIGINT) AS transformations, true AS agree FROM range(9) r(x)")
+def yoneda_counts(spark, sf_dir):
+    """Maps from what an object represents to a functor of sets, as many as the functor has elements there."""
+    sizes = spark.range(9).select(F.col("id").alias("c"), (F.col("id") * 7 % 5 + 1).alias("n"))
+    return circuits.yoneda_counts(sizes)

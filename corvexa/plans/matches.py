@@ -185,3 +185,22 @@ def rule_conditions(spark, sf_dir):
     n, x = F.octet_length("text"), F.col("text")
     made = {"lt": n < 500, "lte": n <= 500, "gt": n > 500, "gte": n >= 500, "eq": n == 500, "ne": n != 500, "yes": F.lit(True), "no": F.lit(False), "regex": x.rlike("[0-9]{3}"), "has": x.contains("tion"), "prefix": x.startswith("The"), "suffix": x.endswith("."), "within": F.col("n_chars").between(100, 900), "member": F.col("lang").isin("de", "fr"), "field": F.array_contains(F.array("source", F.lit("src1")), F.col("source"))}
     return t.select("doc_id", *[c.alias(k) for k, c in made.items()])
+
+
+@query("""SELECT kind, CAST(state AS BIGINT) AS state, CAST(low AS BIGINT) AS low, CAST(high AS BIGINT) AS high, CAST(next AS BIGINT) AS next FROM (VALUES ('move', 2, 97, 97, 3), ('move', 4, 48, 57, 5), ('move', 4, 95, 95, 5), ('empty', 0, NULL, NULL, 1), ('empty', 1, NULL, NULL, 2), ('empty', 3, NULL, NULL, 4)) u(kind, state, low, high, next)""")
+def automaton_moves(spark, sf_dir):
+    """Moves and empty moves of the automaton of a[0-9_], before it is made deterministic."""
+    moves, empty, _ = automata.nfa_tables(spark, [b"a[0-9_]"])
+    n = F.lit(None).cast("long")
+    both = moves.select(F.lit("move").alias("kind"), *[F.col(c).cast("long").alias(c) for c in ("state", "low", "high", "next")])
+    return both.unionByName(empty.select(F.lit("empty").alias("kind"), F.col("state").cast("long").alias("state"), n.alias("low"), n.alias("high"), F.col("next").cast("long").alias("next")))
+
+
+@query(f"WITH {_SPANS} SELECT doc_id, count(DISTINCT stop) AS ends FROM spans GROUP BY doc_id")
+def sharded_automata(spark, sf_dir):
+    """Patterns dealt to several small tables: at how many places of a text any of them ends."""
+    found = None
+    for _, t in automata.sharded(PATTERNS, 8):
+        one = automata.scan_places(raw(spark, sf_dir), "doc_id", "raw", t)
+        found = one if found is None else found.unionByName(one)
+    return found.distinct().groupBy("doc_id").agg(F.count("*").alias("ends"))

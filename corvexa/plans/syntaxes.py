@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from corvexa.operators import parse, syntax
+from corvexa.operators import grammar, parse, syntax
 from corvexa.registry import query, table
 
 from .parses import _TOK, toks
@@ -143,3 +143,33 @@ def common_subexpressions(spark, sf_dir):
     p = table(spark, sf_dir, "part", "p_partkey", "p_size")
     s = F.concat(F.lit("(a + "), "p_size", F.lit(") * (a + "), "p_size", F.lit(") + (b - a)"))
     return syntax.value_numbers(parse.postfix(parse.tokens(p.select(F.col("p_partkey").alias("k"), s.alias("s")), "k", "s"), "k"), "k", "postfix")
+
+
+#: Sums of products of atoms, as rules of a grammar.
+EXPRESSIONS = [("S", ("E",)), ("E", ("E", "+", "T")), ("E", ("E", "-", "T")), ("E", ("T",)), ("T", ("T", "*", "A")), ("T", ("A",)), ("A", ("n",)), ("A", ("(", "E", ")"))]
+
+
+@query("SELECT p_partkey AS k, p_partkey % 3 <> 2 AS accepted, CASE p_partkey % 3 WHEN 0 THEN [6, 5, 3, 6, 5, 6, 4, 1] WHEN 1 THEN [6, 5, 3, 6, 5, 2, 7, 5, 6, 4, 3] END AS rules FROM part")
+def table_driven_parse(spark, sf_dir):
+    """Expressions parsed by LR(1) tables that are built from a grammar; a third of them isn't in its language."""
+    p = table(spark, sf_dir, "part", "p_partkey", "p_size")
+    k, s = F.col("p_partkey"), F.col("p_size").cast("string")
+    text = F.when(k % 3 == 0, F.concat(F.lit("a + 2 * "), s)).when(k % 3 == 1, F.concat(F.lit("(a - "), s, F.lit(") * b"))).otherwise(F.concat(F.lit("a + * "), s))
+    terminal = lambda t, kind: F.when(kind.isin("identifier", "integer"), "n").otherwise(t)
+    return grammar.parsed(parse.tokens(p.select(k.alias("k"), text.alias("s")), "k", "s"), "k", grammar.build_tables(EXPRESSIONS), terminal)
+
+
+_OWNED = (
+    "fn f ( ) {{ let {a} = String : : new ( ) ; let b = {a} ; let n = 1 ; g ( n ) ; g ( n , {a} ) ; {a} = h ( ) ; g ( & {a} ) ; }}",
+    "fn f ( c ) {{ let {a} = make ( ) ; if c {{ g ( {a} ) ; }} else {{ show ! ( {a} ) ; }} {a} . len ( ) ; }}",
+    "fn f ( ) {{ let {a} = make ( ) ; while more ( ) {{ g ( {a} ) ; }} let d = make ( ) ; g ( & d , d ) ; }}",
+)
+
+
+@query("SELECT p_partkey AS k, CAST([34, 31, 19][p_partkey % 3 + 1] AS BIGINT) AS pos, 'a' || p_partkey AS name, CAST([18, 18, 19][p_partkey % 3 + 1] AS BIGINT) AS moved_at FROM part")
+def moved_uses(spark, sf_dir):
+    """Uses of owned values after they were moved: straight on, after a branch, in a loop."""
+    k = F.col("p_partkey")
+    text = F.get(F.array(*[F.replace(F.lit(s.replace("{{", "{").replace("}}", "}")), F.lit("{a}"), F.concat(F.lit("a"), k)) for s in _OWNED]), (k % 3).cast("int"))
+    p = table(spark, sf_dir, "part", "p_partkey")
+    return grammar.moved_uses(parse.tokens(p.select(k.alias("k"), text.alias("s")), "k", "s"), "k")

@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from corvexa.functions import u32
-from corvexa.operators import automata, circuits, extensions, flow, layers, match, parse, semiring, syntax
+from corvexa.operators import automata, circuits, extensions, flow, grammar, layers, match, parse, semiring, syntax
 
 
 def tokens(spark, text):
@@ -207,3 +207,35 @@ def test_exchanges_in_ranges(spark):
             if s == slot and v == e:
                 v, n = d, n + 1
         assert got[slot] == (v, n)
+
+
+def test_grammars(spark):
+    """Languages by brute force; grammars with conflicts are refused; empty rules."""
+    t = grammar.build_tables([("S", ("L",)), ("L", ("L", "P")), ("L", ()), ("P", ("(", "L", ")"))])
+
+    def balanced(w):
+        depth = 0
+        for c in w:
+            depth += 1 if c == "(" else -1
+            if depth < 0:
+                return False
+        return depth == 0
+
+    for n in range(9):
+        for w in itertools.product("()", repeat=n):
+            assert (grammar.reductions(t, list(w)) is not None) == balanced(w)
+    with pytest.raises(ValueError):
+        grammar.build_tables([("S", ("E",)), ("E", ("E", "+", "E")), ("E", ("n",))])
+    with pytest.raises(ValueError):
+        grammar.build_tables([("S", ("X",)), ("X", ("A",)), ("X", ("B",)), ("A", ("x",)), ("B", ("x",))])
+
+
+def test_sharded_patterns_find_the_same(spark):
+    rng = random.Random(6)
+    patterns = [b"ab", b"ba+c", b"[bc]d", b"aaaa"]
+    texts = [bytes(rng.choice(b"abcd") for _ in range(rng.randrange(0, 30))) for _ in range(60)]
+    df = spark.createDataFrame(list(enumerate(texts)), "k long, raw binary")
+    whole = {tuple(r) for r in automata.scan_places(df, "k", "raw", automata.compile_set(patterns)).collect()}
+    parts = automata.sharded(patterns, 5)
+    assert sorted(n for numbers, _ in parts for n in numbers) == [0, 1, 2, 3] and len(parts) > 1
+    assert {tuple(r) for _, t in parts for r in automata.scan_places(df, "k", "raw", t).collect()} == whole
