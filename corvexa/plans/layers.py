@@ -95,6 +95,15 @@ def expert_mlp(spark, sf_dir):
     return rows(out, "y").select("id", "j", F.round("y", 5).alias("y"))
 
 
+@query(f"""WITH s AS (SELECT id, unnest(y) AS s, unnest(range(6)) AS expert FROM {_apply(_X, 64, 6, 50)}), t AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY s DESC, expert) AS rank FROM s),
+w AS (SELECT id, expert, rank, exp(s - max(s) OVER (PARTITION BY id)) AS e FROM t WHERE rank <= 2) SELECT id, expert, rank, round(e / sum(e) OVER (PARTITION BY id), 6) AS weight FROM w""")
+def moe_gate(spark, sf_dir):
+    """Two experts of six for each token, their scores as softmax weights."""
+    v = vectors(spark, sf_dir)
+    scores = rows(layers.affine(v, F.col("v"), _layer(spark, 64, 6, 50), "s"), "s").withColumnRenamed("j", "expert")
+    return layers.route(scores, 2, "id").select("id", "expert", "rank", F.round("weight", 6).alias("weight"))
+
+
 _EXPERTS = " UNION ALL ".join(f"SELECT id, {e} AS expert, unnest(y) AS y, unnest(range(4)) AS j FROM {_expert(e)}" for e in range(3))
 
 

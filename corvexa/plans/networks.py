@@ -34,19 +34,6 @@ def partial_rope(spark, sf_dir):
     return t.select("id", at("r", 0).alias("first"), at("r", 4).alias("fifth"), at("r", 1).alias("second"), at("r", 8).alias("ninth"), at(dense.rope(F.col("r"), F.col("id"), 8, backward=True), 0).alias("back"))
 
 
-@query(f"""WITH e AS (SELECT id, k, list_dot_product(v[1:4], [k * 0.5, 1.0 - k, 0.25, k * k * 0.125]) AS s FROM ({_V}), range(6) r(k)), t AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY s DESC, k) AS rank FROM e),
-w AS (SELECT id, k, rank, exp(s - max(s) OVER (PARTITION BY id)) AS e FROM t WHERE rank <= 2) SELECT id, k AS expert, rank, round(e / sum(e) OVER (PARTITION BY id), 6) AS weight FROM w""")
-def moe_gate(spark, sf_dir):
-    """Two experts of six for each token, their scores as softmax weights."""
-    t = vectors(spark, sf_dir).select("id", F.slice("v", 1, 4).alias("v"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(5).cast("long"))).alias("expert"))
-    k = F.col("expert")
-    t = t.select("id", "expert", dense.dot(F.col("v"), F.array(k * 0.5, 1.0 - k, F.lit(0.25), k * k * 0.125)).alias("s"))
-    top = t.withColumn("rank", F.row_number().over(Window.partitionBy("id").orderBy(F.desc("s"), "expert"))).where("rank <= 2")
-    w = Window.partitionBy("id")
-    e = F.exp(F.col("s") - F.max("s").over(w))
-    return top.withColumn("e", e).select("id", "expert", "rank", F.round(F.col("e") / F.sum("e").over(w), 6).alias("weight"))
-
-
 @query(f"""SELECT page, round(score, 5) AS score, rank FROM (SELECT id // 16 AS page, max(list_dot_product(v, (SELECT v FROM ({_V}) WHERE id = 0))) AS score, row_number() OVER (ORDER BY max(list_dot_product(v, (SELECT v FROM ({_V}) WHERE id = 0))) DESC, id // 16) - 1 AS rank FROM ({_V}) GROUP BY 1) WHERE rank < 7""")
 def quest_paging(spark, sf_dir):
     """The pages of keys that score best for a query vector."""
@@ -57,15 +44,16 @@ def quest_paging(spark, sf_dir):
 
 
 @query(f"""WITH e AS ({_V}), s AS (SELECT q.id AS q, k.id, k.v, list_dot_product(q.v, k.v) / 8 AS s FROM e q JOIN e k ON k.id // 32 = q.id // 32 AND k.id <= q.id), w AS (SELECT *, exp(s - max(s) OVER (PARTITION BY q)) AS w FROM s)
-SELECT q AS id, round(sum(w * v[1]) / sum(w), 6) AS first, round(sum(w * v[2]) / sum(w), 6) AS second FROM w GROUP BY q""")
+SELECT id, j, round(sum(w * x) / any_value(t), 6) AS y FROM (SELECT q AS id, w, sum(w) OVER (PARTITION BY q) AS t, v FROM w), unnest(v) WITH ORDINALITY u(x, n), (SELECT unnest(range(64)) AS j) WHERE j = n - 1 GROUP BY id, j""")
 def attention(spark, sf_dir):
-    """Causal attention within blocks of 32 tokens: scores, stable weights, weighted values."""
+    """Causal attention within blocks of 32 tokens: scores, stable weights, weighted values of every component."""
     v = vectors(spark, sf_dir).withColumn("block", F.call_function("div", F.col("id"), F.lit(32).cast("long")))
     pairs = v.select("block", F.col("id").alias("q"), F.col("v").alias("qv")).join(v, "block").where("id <= q")
     s = pairs.select("q", "v", (dense.dot(F.col("qv"), F.col("v")) / 8).alias("s"))
-    w = s.withColumn("w", F.exp(F.col("s") - F.max("s").over(Window.partitionBy("q"))))
-    mean = lambda k: F.round(F.sum(F.col("w") * F.get("v", F.lit(k))) / F.sum("w"), 6)
-    return w.groupBy(F.col("q").alias("id")).agg(mean(0).alias("first"), mean(1).alias("second"))
+    own = Window.partitionBy("q")
+    w = s.withColumn("w", F.exp(F.col("s") - F.max("s").over(own))).withColumn("w", F.col("w") / F.sum("w").over(own))
+    each = w.select("q", "w", F.posexplode("v").alias("j", "x"))
+    return each.groupBy(F.col("q").alias("id"), F.col("j").cast("long").alias("j")).agg(F.round(F.sum(F.col("w") * F.col("x")), 6).alias("y"))
 
 
 @query(f"""SELECT vec_id * 4 + h AS token, h AS head, round(list_sum(embedding::DOUBLE[][h * 16 + 1:h * 16 + 16]), 5) AS total FROM embeddings, range(4) r(h)""".replace("embedding::DOUBLE[][h", "CAST(embedding AS DOUBLE[])[h"))

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
-from corvexa.plans.lineage import cut
+from corvexa.plans.lineage import cut, shared_folder
 from corvexa.registry import query, table
 from corvexa.sources import files
 
@@ -19,10 +21,7 @@ def write_back_round_trip(spark, sf_dir):
 def text_file_round_trip(spark, sf_dir):
     """Texts written as files of JSON lines and read again with a fixed schema."""
     t = table(spark, sf_dir, "documents", "doc_id", "text")
-    folder = cut(t.limit(0)).sparkSession.conf.get("spark.checkpoint.dir", None).rstrip("/")
-    import uuid
-
-    path = f"{folder}/corvexa-json-{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark)}/corvexa-json-{uuid.uuid4().hex}"
     t.write.json(path)
     return spark.read.schema("doc_id long, text string").json(path).select("doc_id", F.md5(F.col("text").cast("binary")).alias("digest"))
 
