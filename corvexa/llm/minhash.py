@@ -118,7 +118,11 @@ def registers(sets: list[np.ndarray]) -> np.ndarray:
 
 
 def estimate(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Jaccard estimates of register rows, without the share of registers that agree by chance."""
+    """Jaccard estimates of register rows, without the share of registers that agree by chance.
+
+    That share depends on the ratio of the sets' sizes, which is near 1 for pairs that can reach a threshold; it is that
+    of equal sizes.
+    """
     chance = 0.1699 * BUCKETS / (1 << MANTISSA)
     return ((a == b).sum(axis=-1) - chance) / (BUCKETS - chance)
 

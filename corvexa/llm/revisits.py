@@ -12,8 +12,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import session_of
-
 #: Headers of a not-modified answer that replace those of the stored response.
 PERMITTED = ("cache-control", "content-location", "date", "etag", "expires", "vary")
 #: Ranges of the time line at most.
