@@ -165,22 +165,21 @@ def levels(edges: DataFrame, rounds: int | None = None) -> DataFrame:
     """
     ws = Workspace(edges.sparkSession, "levels")
     e = ws.save(edges.select("src", "dst").distinct(), "edges")
-    degree = e.groupBy(F.col("dst").alias("node")).agg(F.count("*").alias("d"))
-    open_ = ws.save(degree, "open")
-    ready = ws.save(e.select(F.col("src").alias("node")).distinct().join(open_, "node", "left_anti").withColumn("level", F.lit(0)), "ready")
+    state = ws.save(e.groupBy(F.col("dst").alias("node")).agg(F.count("*").alias("d")), "degrees")
+    ready = ws.save(e.select(F.col("src").alias("node")).distinct().join(state, "node", "left_anti").withColumn("level", F.lit(0)), "ready")
     done = [ready]
     for n in count(1):
         sent = e.join(ready.select(F.col("node").alias("src")), "src").groupBy(F.col("dst").alias("node")).agg(F.count("*").alias("c"))
-        left = ws.save(open_.join(sent, "node", "left").select("node", (F.col("d") - F.coalesce("c", F.lit(0))).alias("d")), "left")
-        ready = ws.save(left.where("d = 0").select("node").withColumn("level", F.lit(n)), "ready")
+        left = state.where("d > 0").join(sent, "node", "left").select("node", (F.col("d") - F.coalesce("c", F.lit(0))).alias("d"))
+        left, old = ws.save(left, "degrees"), state
+        ws.drop(old)
+        state = left
+        ready = ws.save(state.where("d = 0").select("node").withColumn("level", F.lit(n)), "ready")
         if ready.isEmpty():
             return _union(done)
         if rounds is not None and n > rounds:
             raise RuntimeError(f"levels: open nodes after {rounds} rounds")
         done.append(ready)
-        new = ws.save(left.where("d > 0"), "open")
-        ws.drop(open_, left)
-        open_ = new
 
 
 def tree_order(tree: DataFrame, post: bool = False) -> DataFrame:
