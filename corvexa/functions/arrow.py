@@ -23,6 +23,11 @@ def bounded(df: DataFrame) -> DataFrame:
     return df
 
 
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """``df`` dealt over the session's shuffle partitions: for small rows whose work comes after, as small files make few tasks."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+
+
 def with_columns(df: DataFrame, source: str, added: str, f: Callable[[list], list[list]]) -> DataFrame:
     """``df`` with the columns of the DDL ``added``: ``f`` takes the values of one column and gives a list a new one."""
     new = StructType.fromDDL(added)

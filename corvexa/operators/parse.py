@@ -5,8 +5,11 @@ Lexing is one JVM regex per text; patterns over neighbours are windows of one te
 
 from __future__ import annotations
 
+import re
 from collections import deque
+from collections.abc import Callable
 from dataclasses import dataclass
+from functools import lru_cache
 from itertools import count
 
 from pyspark.sql import Column, DataFrame, Window
@@ -26,6 +29,10 @@ TOKENS = (
 KEYWORDS = tuple("auto break case char const continue default do double else enum extern float for goto if inline int long register restrict return short signed sizeof static struct switch typedef union unsigned void volatile while _Alignas _Alignof _Atomic _Bool _Complex _Generic _Imaginary _Noreturn _Static_assert _Thread_local".split())
 #: Two-letter spellings of brackets and hashes.
 DIGRAPHS = {"%:%:": "##", "<:": "[", ":>": "]", "<%": "{", "%>": "}", "%:": "#"}
+_KEYWORDS = frozenset(KEYWORDS)
+#: ``TOKENS`` for Python, whose dot takes other line ends than the JVM's.
+_TOKENS = re.compile(TOKENS.replace(r"\\.|", r"\\[^\n\r\u0085\u2028\u2029]|"))
+_DIGRAPH, _NUMBER, _FLOAT = re.compile("<[:%]|[:%]>|%:"), re.compile(r"\.?[0-9]"), re.compile(r"(?!0[xX])(?:[0-9]+\.|\.[0-9]|[0-9]+[eE])")
 
 
 def spliced(source: Column) -> Column:
@@ -43,8 +50,6 @@ def without_comments(source: Column) -> Column:
 
 def comment_spans(df: DataFrame, key: str, source: str) -> DataFrame:
     """(key, kind, start, stop) of block and line comments, in bytes; an open block comment ends with the text."""
-    import re
-
     from corvexa.functions.arrow import flat_map
 
     pattern = re.compile(rb'''"(?:\\.|[^"\\\n])*"|'(?:\\.|[^'\\\n])*'|(?P<block>/\*.*?(?:\*/|\Z))|(?P<line>//[^\n]*)''', re.S)
@@ -87,6 +92,45 @@ def tokens(df: DataFrame, key: str, source: str) -> DataFrame:
     return out.select(key, F.col("pos").cast("long").alias("pos"), token.alias("token")).withColumn("kind", token_kind(F.col("token")))
 
 
+def sources(df: DataFrame, key: str, source: str) -> DataFrame:
+    """(key, source): texts in place of the rows of ``tokens``, for operators that take a file's tokens at once.
+
+    They lex it themselves, so nothing is shuffled. Each text is a file of its own, whatever its key.
+    """
+    return df.select(key, F.col(source).alias("source"))
+
+
+@lru_cache(maxsize=1 << 16)
+def kind_of(token: str) -> str:
+    """``token_kind`` of one token."""
+    if token in _KEYWORDS:
+        return "keyword"
+    if token[-1] in "\"'":
+        return "string" if token[-1] == '"' else "char"
+    if token[0] == "_" or "a" <= token[0] <= "z" or "A" <= token[0] <= "Z":
+        return "identifier"
+    return "operator" if not _NUMBER.match(token) else "float" if _FLOAT.match(token) else "integer"
+
+
+def lexed(source: str | None) -> list[str]:
+    """The tokens of ``tokens``, of one text."""
+    found = _TOKENS.findall(source or "")
+    return [DIGRAPHS.get(t, t) for t in found] if _DIGRAPH.search(source or "") else found
+
+
+def per_file(toks: DataFrame, key: str, made: str, f: Callable[[list[tuple[int, str, str]]], list[tuple]]) -> DataFrame:
+    """(key, made...): ``f`` takes the (pos, token, kind) of each file that has tokens, from rows or from ``sources``; they fit a task."""
+    from corvexa.functions.arrow import flat_map
+
+    def one(v) -> list[tuple]:
+        found = [(k, t, kind_of(t)) for k, t in enumerate(lexed(v))] if isinstance(v, str) else [(e["pos"], e["token"], e["kind"]) for e in v or []]
+        return f(found) if found else []
+
+    if "source" not in toks.columns:
+        toks = toks.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("pos", "token", "kind"))).alias("source"))
+    return flat_map(toks, key, "source", made, one)
+
+
 def calls(toks: DataFrame, key: str) -> DataFrame:
     """(key, pos, name) of identifiers before an open parenthesis."""
     w = Window.partitionBy(key).orderBy("pos")
@@ -248,14 +292,15 @@ BINDING = (("||",), ("&&",), ("|",), ("^",), ("&",), ("==", "!="), ("<", "<=", "
 
 
 def postfix(toks: DataFrame, key: str) -> DataFrame:
-    """(key, postfix): each file's expression in postfix order, left-associative; sequential within a file."""
-    import pandas as pd
+    """(key, postfix): each file's expression in postfix order, left-associative; sequential within a file.
 
+    ``toks`` are rows, or texts of ``sources``.
+    """
     power = {o: k for k, row in enumerate(BINDING) for o in row}
 
-    def solve(pdf: pd.DataFrame) -> pd.DataFrame:
+    def solve(found) -> list[tuple]:
         out, stack = [], []
-        for t in pdf.sort_values("pos")["token"]:
+        for _, t, _ in found:
             if t == "(":
                 stack.append(t)
             elif t == ")":
@@ -270,9 +315,10 @@ def postfix(toks: DataFrame, key: str) -> DataFrame:
             else:
                 out.append(t)
         out += [t for t in reversed(stack) if t != "("]
-        return pd.DataFrame({key: [pdf[key].iloc[0]], "postfix": [out]})
+        return [(out,)]
 
-    return toks.select(key, "pos", "token").groupBy(key).applyInPandas(solve, f"`{key}` {dict(toks.dtypes)[key]}, postfix array<string>")
+    rows = toks if {"source", "kind"} & set(toks.columns) else toks.withColumn("kind", F.lit(None).cast("string"))
+    return per_file(rows, key, "postfix array<string>", solve)
 
 
 def evaluated(expressions: DataFrame, key: str, postfix: str) -> DataFrame:

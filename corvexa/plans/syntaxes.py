@@ -7,6 +7,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from corvexa.functions.arrow import spread
 from corvexa.operators import grammar, parse, syntax
 from corvexa.registry import query, table
 
@@ -140,9 +141,9 @@ def constant_folding(spark, sf_dir):
  unnest(CAST([NULL, NULL, 1, NULL, NULL, 1, 2, NULL, NULL, 0, 5] AS BIGINT[])) AS "right", unnest(CAST([0, 1, 2, 0, 1, 2, 3, 4, 0, 5, 6] AS BIGINT[])) AS number FROM part""")
 def common_subexpressions(spark, sf_dir):
     """Equal operations share a number."""
-    p = table(spark, sf_dir, "part", "p_partkey", "p_size")
+    p = spread(table(spark, sf_dir, "part", "p_partkey", "p_size"), "p_partkey")
     s = F.concat(F.lit("(a + "), "p_size", F.lit(") * (a + "), "p_size", F.lit(") + (b - a)"))
-    return syntax.value_numbers(parse.postfix(parse.tokens(p.select(F.col("p_partkey").alias("k"), s.alias("s")), "k", "s"), "k"), "k", "postfix")
+    return syntax.value_numbers(parse.postfix(parse.sources(p.select(F.col("p_partkey").alias("k"), s.alias("s")), "k", "s"), "k"), "k", "postfix")
 
 
 #: Sums of products of atoms, as rules of a grammar.
