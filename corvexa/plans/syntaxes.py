@@ -131,10 +131,10 @@ def inline_assembly(spark, sf_dir):
 @query("SELECT p_partkey AS k, CASE p_partkey % 3 WHEN 0 THEN ['x', (p_size * 3 + 4)::VARCHAR, '+'] WHEN 1 THEN CASE p_size WHEN 1 THEN ['0'] WHEN 2 THEN ['x'] ELSE ['x', (p_size - 1)::VARCHAR, '*'] END ELSE ['y'] END AS folded FROM part")
 def constant_folding(spark, sf_dir):
     """Constant parts of expressions worked out."""
-    p = table(spark, sf_dir, "part", "p_partkey", "p_size")
+    p = spread(table(spark, sf_dir, "part", "p_partkey", "p_size"), "p_partkey")
     k, s = F.col("p_partkey"), F.col("p_size").cast("string")
     text = F.when(k % 3 == 0, F.concat(F.lit("x + ("), s, F.lit(" * 3 + 4)"))).when(k % 3 == 1, F.concat(F.lit("x * ("), s, F.lit(" - 1)"))).otherwise(F.concat(F.lit("y * 1 + 0 * z * "), s))
-    return syntax.fold_constants(parse.postfix(parse.tokens(p.select(k.alias("k"), text.alias("s")), "k", "s"), "k"), "k", "postfix")
+    return syntax.fold_constants(parse.postfix(parse.sources(p.select(k.alias("k"), text.alias("s")), "k", "s"), "k"), "k", "postfix")
 
 
 @query("""SELECT p_partkey AS k, unnest(CAST(range(11) AS BIGINT[])) AS place, unnest(['a', p_size::VARCHAR, '+', 'a', p_size::VARCHAR, '+', '*', 'b', 'a', '-', '+']) AS op, unnest(CAST([NULL, NULL, 0, NULL, NULL, 0, 2, NULL, NULL, 4, 3] AS BIGINT[])) AS "left",
