@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from corvexa.functions.arrow import spread
 from corvexa.operators import parse, syntax
 from corvexa.registry import query, table
 
@@ -142,12 +143,12 @@ def _listed(_text, post, _value) -> str:
 @query(f"SELECT p_partkey AS k, {_by_shape(_listed)} AS postfix, CAST({_by_shape(lambda t, p, v: v)} AS BIGINT) AS value FROM (SELECT p_partkey, p_partkey + 100 AS a, p_size AS b FROM part)")
 def shunting_yard(spark, sf_dir):
     """Expressions of four shapes in postfix order, and what they come to."""
-    p = table(spark, sf_dir, "part", "p_partkey", "p_size")
+    p = spread(table(spark, sf_dir, "part", "p_partkey", "p_size"), "p_partkey")
     k, s = F.col("p_partkey"), F.lit(None).cast("string")
     for n, (text, _, _) in _SHAPES.items():
         put = F.replace(F.replace(F.lit(text), F.lit("a"), (k + 100).cast("string")), F.lit("b"), F.col("p_size").cast("string"))
         s = F.when(k % 4 == n, put).otherwise(s)
-    return parse.evaluated(parse.postfix(parse.tokens(p.select(k.alias("k"), s.alias("s")), "k", "s"), "k"), "k", "postfix")
+    return parse.evaluated(parse.postfix(parse.sources(p.select(k.alias("k"), s.alias("s")), "k", "s"), "k"), "k", "postfix")
 
 
 @query("""SELECT k, unnest(l) AS token, unnest(CAST(range(len(l)) AS BIGINT[])) AS pos FROM (SELECT p_partkey AS k, ['x', '=', '(', '1', '+', '2', ')', '+', '1', ';', p_size::VARCHAR] || CASE WHEN p_partkey % 2 = 0 THEN ['(', '1', '+', '2', ')'] ELSE ['OUTERS'] END AS l FROM part)""")
