@@ -172,5 +172,5 @@ def moved_uses(spark, sf_dir):
     """Uses of owned values after they were moved: straight on, after a branch, in a loop."""
     k = F.col("p_partkey")
     text = F.get(F.array(*[F.replace(F.lit(s.replace("{{", "{").replace("}}", "}")), F.lit("{a}"), F.concat(F.lit("a"), k)) for s in _OWNED]), (k % 3).cast("int"))
-    p = table(spark, sf_dir, "part", "p_partkey")
-    return grammar.moved_uses(parse.tokens(p.select(k.alias("k"), text.alias("s")), "k", "s"), "k")
+    p = spread(table(spark, sf_dir, "part", "p_partkey"), "p_partkey")
+    return grammar.moved_uses(parse.sources(p.select(k.alias("k"), text.alias("s")), "k", "s"), "k")
