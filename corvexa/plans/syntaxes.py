@@ -56,10 +56,10 @@ _NODES, _EDGES, _NAMES = _listed(NODES, "node, parent, kind, name, start, stop")
 
 
 def sources(spark, sf_dir):
-    p = table(spark, sf_dir, "part", "p_partkey", "p_size")
+    p = spread(table(spark, sf_dir, "part", "p_partkey", "p_size"), "p_partkey")
     k, size = F.col("p_partkey").cast("string"), F.col("p_size").cast("string")
     fill = lambda s: F.replace(F.replace(F.lit(s), F.lit("{k}"), k), F.lit("{size}"), size)
-    return parse.tokens(p.select(F.col("p_partkey").alias("k"), F.when(F.col("p_partkey") % 2 == 0, fill(SHAPES[0])).otherwise(fill(SHAPES[1])).alias("s")), "k", "s")
+    return parse.sources(p.select(F.col("p_partkey").alias("k"), F.when(F.col("p_partkey") % 2 == 0, fill(SHAPES[0])).otherwise(fill(SHAPES[1])).alias("s")), "k", "s")
 
 
 @query(_NODES)
