@@ -98,7 +98,7 @@ s AS (SELECT e.k, e.src, e.dst FROM e JOIN o ON o.k = e.k AND o.src = e.src JOIN
 n AS (SELECT k, src AS node FROM e UNION SELECT k, dst FROM e), w AS (SELECT n.k, n.node, n.node AS leader FROM n WHERE NOT EXISTS (SELECT 1 FROM s WHERE s.k = n.k AND s.dst = n.node) UNION ALL SELECT w.k, s.dst, w.leader FROM w JOIN s ON s.k = w.k AND s.src = w.node)
 SELECT k, node, leader FROM w""")
 def c_basic_blocks(spark, sf_dir):
-    return syntax.basic_blocks(syntax.control_edges(sources(spark, sf_dir), "k"), "k")
+    return syntax.blocks_of_files(sources(spark, sf_dir), "k")
 
 
 @query(f"""WITH {_TOK}, d AS (SELECT *, CAST(sum(CASE WHEN t IN ('(', '[', '{{') THEN 1 WHEN t IN (')', ']', '}}') THEN -1 ELSE 0 END) OVER (PARTITION BY page_id ORDER BY pos ROWS UNBOUNDED PRECEDING) + CASE WHEN t IN (')', ']', '}}') THEN 1 ELSE 0 END AS BIGINT) AS depth FROM tok),
