@@ -255,6 +255,27 @@ def paths(targets: DataFrame, parents: DataFrame, max_depth: int | None = None)
             raise RuntimeError(f"paths: open paths after {max_depth} steps")
 
 
+#: Points of one place that meet as a block.
+_BLOCK = 4096
+
+
+def near_pairs(points: DataFrame, eps: int) -> DataFrame:
+    """(a, b), a < b, of points(id, x, y) in whole numbers that are at most eps apart."""
+    cell = lambda c: F.floor(F.col(c) / eps)
+    places = points.groupBy("x", "y").agg(F.ceil(F.count("*") / _BLOCK).alias("n")).withColumn("cx", cell("x")).withColumn("cy", cell("y"))
+    near = F.explode(F.sequence(F.lit(-1).cast("long"), F.lit(1).cast("long")))
+    others = places.select(F.col("x").alias("bx"), F.col("y").alias("by"), F.col("n").alias("bn"), "cx", "cy").withColumn("dx", near).withColumn("dy", near)
+    others = others.select("bx", "by", "bn", (F.col("cx") + F.col("dx")).alias("cx"), (F.col("cy") + F.col("dy")).alias("cy"))
+    far = (F.col("x") - F.col("bx")) * (F.col("x") - F.col("bx")) + (F.col("y") - F.col("by")) * (F.col("y") - F.col("by"))
+    met = places.join(others.hint("merge"), ["cx", "cy"]).where(far <= eps * eps)
+    block = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+    met = met.select("x", "y", "bx", "by", "n", block("bn").alias("j")).select("x", "y", block("n").alias("i"), "bx", "by", "j")
+    dealt = points.join(places.select("x", "y", "n").hint("merge"), ["x", "y"]).select("id", "x", "y", F.pmod(F.xxhash64("id"), F.col("n")).alias("i"))
+    left = met.join(dealt.select(F.col("id").alias("a"), "x", "y", "i").hint("merge"), ["x", "y", "i"]).select("a", "bx", "by", "j")
+    right = dealt.select(F.col("id").alias("b"), F.col("x").alias("bx"), F.col("y").alias("by"), F.col("i").alias("j"))
+    return left.join(right.hint("merge"), ["bx", "by", "j"]).where("a < b").select("a", "b")
+
+
 def triangles(edges: DataFrame) -> DataFrame:
     """(a, b, c), a < b < c, all joined: edges point from the node of smaller degree, so hubs make few pairs."""
     e = cut(edges.select(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b")).where("a <> b").distinct())

@@ -256,15 +256,12 @@ def monoidal_compose(spark, sf_dir):
 @query("""WITH p AS (SELECT p_partkey AS id, CAST(p_partkey * 37 % 1000 AS BIGINT) AS x, CAST(p_partkey * 91 % 1000 AS BIGINT) AS y FROM part)
 SELECT a.id AS a, b.id AS b FROM p a JOIN p b ON a.id < b.id AND (a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) <= 400""")
 def vietoris_rips_edges(spark, sf_dir):
-    """Pairs of points at most eps apart: points meet in grid cells of that size and their neighbours, no cross join."""
-    eps = 20
-    p = table(spark, sf_dir, "part", "p_partkey").select(F.col("p_partkey").alias("id"), (F.col("p_partkey") * 37 % 1000).alias("x"), (F.col("p_partkey") * 91 % 1000).alias("y"))
-    cell = lambda c: F.call_function("div", F.col(c), F.lit(eps).cast("long"))
-    here = p.select("id", "x", "y", cell("x").alias("cx"), cell("y").alias("cy"))
-    near = F.explode(F.sequence(F.lit(-1), F.lit(1)))
-    spread = here.withColumn("dx", near).withColumn("dy", near).select(F.col("id").alias("b"), F.col("x").alias("bx"), F.col("y").alias("by"), (F.col("cx") + F.col("dx")).alias("cx"), (F.col("cy") + F.col("dy")).alias("cy"))
-    far = (F.col("x") - F.col("bx")) * (F.col("x") - F.col("bx")) + (F.col("y") - F.col("by")) * (F.col("y") - F.col("by"))
-    return here.join(spread, ["cx", "cy"]).where((F.col("id") < F.col("b")) & (far <= eps * eps)).select(F.col("id").alias("a"), "b")
+    """Pairs of points at most eps apart: places meet in grid cells of that size and their neighbours, no cross join.
+
+    Only the pairs themselves are many where points lie at one place: places are compared once, their points meet in
+    blocks, and all joins are by sorted runs, so nothing is sent to the driver or held whole.
+    """
+    return graph.near_pairs(table(spark, sf_dir, "part", "p_partkey").select(F.col("p_partkey").alias("id"), (F.col("p_partkey") * 37 % 1000).alias("x"), (F.col("p_partkey") * 91 % 1000).alias("y")), 20)
 
 
 @query("""WITH n AS (SELECT DISTINCT l_partkey AS a, l_suppkey AS b FROM lineitem)
