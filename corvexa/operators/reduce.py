@@ -117,7 +117,7 @@ def softmax(df: DataFrame, value: Column, *by: str) -> DataFrame:
 
 
 def insert_first(rows: DataFrame) -> DataFrame:
-    """(key, value) of rows(key, value, order): the first value of each key stays."""
+    """(key, value) of rows(key, value, order): the first value of each key stays. The order must leave no ties."""
     return rows.groupBy("key").agg(F.min_by("value", "order").alias("value"))
 
 

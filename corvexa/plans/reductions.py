@@ -159,7 +159,10 @@ def indexed_map(spark, sf_dir):
 
 @query("SELECT o_orderkey AS key, h.v AS value, h.v IS NOT NULL AS found FROM orders LEFT JOIN (SELECT l_partkey AS k, arg_min(l_suppkey, (l_orderkey, l_linenumber)) AS v FROM lineitem GROUP BY 1) h ON h.k = o_orderkey")
 def hash_insert_lookup(spark, sf_dir):
-    """A table into which the first value of each key goes, then asked for keys, some of which it lacks."""
-    l = table(spark, sf_dir, "lineitem", "l_partkey", "l_suppkey", "l_orderkey", "l_linenumber")
-    held = reduce.insert_first(l.select(F.col("l_partkey").alias("key"), F.col("l_suppkey").alias("value"), F.struct("l_orderkey", "l_linenumber").alias("order")))
+    """A table into which the first value of each key goes, then asked for keys, some of which it lacks.
+
+    Lines of one number are inserted in the order of the file.
+    """
+    l = table(spark, sf_dir, "lineitem").select("l_partkey", "l_suppkey", "l_orderkey", "l_linenumber", "_metadata.file_path", "_metadata.row_index").where("l_suppkey IS NOT NULL")
+    held = reduce.insert_first(l.select(F.col("l_partkey").alias("key"), F.col("l_suppkey").alias("value"), F.struct("l_orderkey", "l_linenumber", "file_path", "row_index").alias("order")))
     return reduce.look_up(held, table(spark, sf_dir, "orders", "o_orderkey").select(F.col("o_orderkey").alias("key")))
