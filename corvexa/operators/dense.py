@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -88,22 +90,48 @@ def with_fft(df: DataFrame, vector: str, into: str = "spectrum") -> DataFrame:
     return with_columns(df, vector, f"{into} array<double>", lambda vs: [[one(v) for v in vs]])
 
 
+def _products(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Products of matrices, each sum taken term by term from the first: it depends on no library's order or fused steps."""
+    out = np.zeros((*x.shape[:-1], y.shape[-1]))
+    for k in range(x.shape[-1]):
+        out += x[..., :, k, None] * y[..., None, k, :]
+    return out
+
+
 def newton_schulz(m: np.ndarray, steps: int = 5) -> np.ndarray:
-    """The nearest orthogonal matrix, by a fixed quintic polynomial."""
+    """The nearest orthogonal matrix, by a fixed quintic polynomial; of each matrix of a stack.
+
+    The steps multiply errors of the last place, so that sums in another order differ in the sixth decimal at times.
+    """
     a, b, c = 3.4445, -4.7750, 2.0315
-    x = m / (np.linalg.norm(m) + 1e-7)
-    flip = x.shape[0] > x.shape[1]
-    x = x.T if flip else x
+    flat = m.reshape(*m.shape[:-2], 1, -1)
+    x = m / (np.sqrt(_products(flat, np.swapaxes(flat, -1, -2))) + 1e-7)
+    flip = x.shape[-2] > x.shape[-1]
+    x = np.swapaxes(x, -1, -2) if flip else x
     for _ in range(steps):
-        g = x @ x.T
-        x = a * x + (b * g + c * g @ g) @ x
-    return x.T if flip else x
+        g = _products(x, np.swapaxes(x, -1, -2))
+        x = a * x + _products(b * g + c * _products(g, g), x)
+    return np.swapaxes(x, -1, -2) if flip else x
+
+
+def orthogonal_blocks(vs: list, rows: int, steps: int = 5, scale: Callable[[int, int], float] = lambda r, c: 1.0) -> list:
+    """``newton_schulz`` of flattened blocks, those of one size in one go, times ``scale`` of their shape; null stays null."""
+    out: list = [None] * len(vs)
+    sizes: dict[int, list[int]] = {}
+    for k, v in enumerate(vs):
+        if v is not None:
+            sizes.setdefault(len(v), []).append(k)
+    for ks in sizes.values():
+        m = np.array([vs[k] for k in ks], dtype=np.float64).reshape(len(ks), rows, -1)
+        done = (newton_schulz(m, steps) * scale(*m.shape[1:])).reshape(len(ks), -1).tolist()
+        for k, v in zip(ks, done, strict=True):
+            out[k] = v
+    return out
 
 
 def with_orthogonal(df: DataFrame, block: str, rows: int, into: str = "orthogonal", steps: int = 5) -> DataFrame:
     """Blocks of ``rows`` rows, flattened, each made orthogonal."""
-    one = lambda v: None if v is None else newton_schulz(np.array(v, dtype=np.float64).reshape(rows, -1), steps).ravel().tolist()
-    return with_columns(df, block, f"{into} array<double>", lambda vs: [[one(v) for v in vs]])
+    return with_columns(df, block, f"{into} array<double>", lambda vs: [orthogonal_blocks(vs, rows, steps)])
 
 
 def with_inverse(df: DataFrame, block: str, size: int, damping: float = 0.0, into: str = "inverse") -> DataFrame:

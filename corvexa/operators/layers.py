@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from corvexa.functions import activations as A
 from corvexa.functions.arrow import bounded, with_columns
 
-from .dense import dot, newton_schulz, rms_normed
+from .dense import dot, orthogonal_blocks, rms_normed
 
 #: Cells of a layer whose weights are sent to all tasks, at most.
 MAX_LAYER = 1 << 22
@@ -153,14 +153,8 @@ def muon(df: DataFrame, param: str, grad: str, momentum: str, rows: int, rate: f
     buffer = F.zip_with(m, g, lambda x, y: x * decay + y)
     out = df.withColumn("buffer", buffer).withColumn("__n", F.zip_with(g, buffer, lambda x, y: x + y * decay))
 
-    def one(v: list | None) -> list | None:
-        if v is None:
-            return None
-        block = np.array(v, dtype=np.float64).reshape(rows, -1)
-        scale = max(1.0, block.shape[0] / block.shape[1]) ** 0.5 if row_scale else 1.0
-        return (newton_schulz(block, steps) * scale).ravel().tolist()
-
-    out = with_columns(out, "__n", "__o array<double>", lambda vs: [[one(v) for v in vs]])
+    scale = lambda r, c: max(1.0, r / c) ** 0.5 if row_scale else 1.0
+    out = with_columns(out, "__n", "__o array<double>", lambda vs: [orthogonal_blocks(vs, rows, steps, scale)])
     return out.withColumn("updated", F.zip_with(F.col(param), F.col("__o"), lambda p, o: p - rate * o)).drop("__n", "__o")
 
 
