@@ -199,8 +199,4 @@ def automaton_moves(spark, sf_dir):
 @query(f"WITH {_SPANS} SELECT doc_id, count(DISTINCT stop) AS ends FROM spans GROUP BY doc_id")
 def sharded_automata(spark, sf_dir):
     """Patterns dealt to several small tables: at how many places of a text any of them ends."""
-    found = None
-    for _, t in automata.sharded(PATTERNS, 8):
-        one = automata.scan_places(raw(spark, sf_dir), "doc_id", "raw", t)
-        found = one if found is None else found.unionByName(one)
-    return found.distinct().groupBy("doc_id").agg(F.count("*").alias("ends"))
+    return automata.count_places(raw(spark, sf_dir), "doc_id", "raw", [t for _, t in automata.sharded(PATTERNS, 8)])
