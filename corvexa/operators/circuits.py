@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -93,8 +95,17 @@ def count_models(gates: list[tuple], variables: int) -> int:
 
 
 def model_counts(df: DataFrame, key: str, clauses: str, variables: int) -> DataFrame:
-    """(key, models) of formulas, each a list of clauses of signed variables."""
-    return flat_map(df, key, clauses, "models long", lambda v: [(count_models(compile_cnf(v), variables),)] if v is not None else [])
+    """(key, models) of formulas, each a list of clauses of signed variables. Of late formulas a worker keeps the counts."""
+
+    def one(v) -> list[tuple]:
+        return [(_models(tuple(map(tuple, v)), variables),)] if v is not None else []
+
+    return flat_map(df, key, clauses, "models long", one)
+
+
+@lru_cache(maxsize=1 << 14)
+def _models(clauses: tuple[tuple[int, ...], ...], variables: int) -> int:
+    return count_models(compile_cnf(clauses), variables)
 
 
 def evaluate(tree: DataFrame, value: str, modulus: int) -> DataFrame:
