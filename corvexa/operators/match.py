@@ -8,6 +8,7 @@ from __future__ import annotations
 import functools
 import operator
 import re
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
@@ -20,10 +21,8 @@ from corvexa.functions.text import entropy
 MAX_PATTERN_BYTES = 64 << 20
 
 
-def find_literals(df: DataFrame, key: str, raw: str, patterns: list[bytes]) -> DataFrame:
-    """(key, pattern_id, start, stop) of every occurrence, overlapping ones too. An empty pattern has none."""
-    if sum(map(len, patterns)) > MAX_PATTERN_BYTES:
-        raise ValueError("the patterns are too large to broadcast")
+def _finder(patterns: list[bytes]) -> Callable[[bytes | None], list[tuple]]:
+    """(pattern, start, stop) of every occurrence in a text; the automaton is built where it is used."""
     cache: dict = {}
 
     def scan(v) -> list[tuple]:
@@ -44,7 +43,14 @@ def find_literals(df: DataFrame, key: str, raw: str, patterns: list[bytes]) -> D
             return []
         return [(k, e + 1 - n, e + 1) for e, (n, ks) in cache["a"].iter(v.decode("latin-1")) for k in ks]
 
-    return flat_map(df, key, raw, "pattern_id long, start long, stop long", scan)
+    return scan
+
+
+def find_literals(df: DataFrame, key: str, raw: str, patterns: list[bytes]) -> DataFrame:
+    """(key, pattern_id, start, stop) of every occurrence, overlapping ones too. An empty pattern has none."""
+    if sum(map(len, patterns)) > MAX_PATTERN_BYTES:
+        raise ValueError("the patterns are too large to broadcast")
+    return flat_map(df, key, raw, "pattern_id long, start long, stop long", _finder(patterns))
 
 
 def find_within(df: DataFrame, key: str, raw: str, windows: DataFrame, patterns: list[bytes]) -> DataFrame:
@@ -161,6 +167,31 @@ def score_spans(df: DataFrame, key: str, raw: str, spans: DataFrame) -> DataFram
     return flat_map(both, key, "v", "pattern_id long, start long, stop long, entropy double, confidence double", score)
 
 
+def score_literals(df: DataFrame, key: str, raw: str, patterns: list[bytes]) -> DataFrame:
+    """``score_spans`` of ``find_literals``, text by text, with no rows of spans in between. Each text is scored alone."""
+    if sum(map(len, patterns)) > MAX_PATTERN_BYTES:
+        raise ValueError("the patterns are too large to broadcast")
+    scan = _finder(patterns)
+
+    def score(v) -> list[tuple]:
+        merged: list[list[int]] = []
+        for pattern, start, stop in sorted(scan(v)):
+            if merged and merged[-1][0] == pattern and start <= merged[-1][2]:
+                merged[-1][2] = max(merged[-1][2], stop)
+            else:
+                merged.append([pattern, start, stop])
+        known: dict[bytes, float] = {}  # mostly the patterns themselves
+        out = []
+        for pattern, start, stop in merged:
+            piece = v[start:stop]
+            if piece not in known:
+                known[piece] = entropy(piece)
+            out.append((pattern, start, stop, known[piece], min(1.0, (stop - start) / 16) * known[piece] / 8))
+        return out
+
+    return flat_map(df, key, raw, "pattern_id long, start long, stop long, entropy double, confidence double", score)
+
+
 @dataclass(frozen=True)
 class Rule:
     """A boolean formula over a text, its size and its pattern counts; combine with &, | and ~."""

@@ -158,8 +158,7 @@ b AS (SELECT g.*, unnest(regexp_extract_all(substr(hex(encode(text)), 2 * start
 SELECT doc_id, pattern_id, start, stop, round(-sum(n / (stop - start) * log2(n / (stop - start))) + 0, 6) + 0 AS entropy, round(least(1, (stop - start) / 16) * -sum(n / (stop - start) * log2(n / (stop - start))) / 8, 6) + 0 AS confidence FROM c GROUP BY 1, 2, 3, 4""")
 def post_process(spark, sf_dir):
     """Merged spans with entropy and confidence."""
-    r = raw(spark, sf_dir)
-    s = match.score_spans(r, "doc_id", "raw", spans(spark, sf_dir))
+    s = match.score_literals(raw(spark, sf_dir), "doc_id", "raw", PATTERNS)
     return s.select("doc_id", "pattern_id", "start", "stop", F.round("entropy", 6).alias("entropy"), F.round("confidence", 6).alias("confidence"))
 
 
