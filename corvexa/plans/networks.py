@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from corvexa.functions import activations as A
+from corvexa.functions.arrow import spread
 from corvexa.operators import dense, layers, reduce
 from corvexa.registry import query, table
 
@@ -84,9 +85,10 @@ def embedding_lookup(spark, sf_dir):
 def gptq_round_clip(spark, sf_dir):
     """Values clipped at two deviations of their vector, and rounded to four bits."""
     v = F.col("v")
+    # A mean and a deviation a vector: within the inner function, or beside the explode, they would be worked out for each value.
     mean = dense.total(v) / F.size(v)
-    dev = F.sqrt(dense.total(F.transform(v, lambda x: (x - mean) * (x - mean))) / F.size(v))
-    t = vectors(spark, sf_dir).select("id", (2 * dev).alias("c"), F.posexplode("v").alias("pos", "x"))
+    dev = F.get(F.transform(F.array(mean), lambda m: F.sqrt(dense.total(F.transform(v, lambda x: (x - m) * (x - m))) / F.size(v))), F.lit(0))
+    t = spread(vectors(spark, sf_dir), "id").select("id", "v", (2 * dev).alias("c")).select("id", "c", F.posexplode("v").alias("pos", "x"))
     return t.select("id", F.col("pos").cast("long").alias("pos"), F.round(A.clip(F.col("x"), F.col("c")), 6).alias("clipped"), A.gptq_round(F.col("x"), F.lit(0.1), 15).alias("rounded"))
 
 
