@@ -53,6 +53,8 @@ def closure(seeds: DataFrame, edges: DataFrame, mask: int = -1, backward: bool =
     if known is not None:
         frontier = frontier.join(known.select(*keys), keys, "left_anti")
     ws = Workspace(seeds.sparkSession, "closure")
+    # Every round reads the edges: what they are made of is worked out once.
+    edges = ws.save(edges.select(*[c for c in (*by, "src", "dst", "kind") if c in edges.columns]), "edges")
     frontier = ws.save(frontier.withColumn("depth", F.lit(0)))
     parts = [*([] if known is None else [known.select(*keys, "depth")]), frontier]
     for n in count(1):
