@@ -245,7 +245,8 @@ def paths(targets: DataFrame, parents: DataFrame, max_depth: int | None = None)
     now = cut(targets.select("node", F.col("node").alias("end"), F.array("node").alias("path")))
     done: list[DataFrame] = []
     for n in count(1):
-        step = now.join(parents.select(F.col("node").alias("end"), "parent"), "end", "left")
+        # Sorted runs: parents' files are far smaller than the table that a broadcast would send.
+        step = now.join(parents.select(F.col("node").alias("end"), "parent").hint("merge"), "end", "left")
         step = cut(step.select("node", F.col("parent").alias("end"), "path", F.coalesce(F.array_contains("path", F.col("parent")), F.lit(False)).alias("back")))
         if not step.where("back").isEmpty():
             raise RuntimeError("paths: the parent pointers have a cycle")
