@@ -205,19 +205,24 @@ def exchange_map(steps: list[tuple]) -> list[tuple]:
 def compare_exchange(updates: DataFrame, slot: str, order: str, expected: str, desired: str, start: int = 0) -> DataFrame:
     """(slot, final, swaps) after compare-and-exchange updates in ``order``.
 
-    Ranges of the order are followed apart, each as a map from values to values, so a hot slot is many tasks; a slot's
-    few maps are then applied in turn.
+    Updates are dealt to ranges. A slot within one range is followed where it lies; of the few slots that lie in several,
+    the ranges are followed apart, each as a map from values to values, so a hot slot is many tasks, and a slot's few maps
+    are then applied in turn.
     """
     rows = updates.select(slot, F.col(order).alias("o"), F.col(expected).cast("long").alias("e"), F.col(desired).cast("long").alias("d"))
     placed = cut(rows.repartitionByRange(slot, "o").withColumn("b", F.spark_partition_id()))
-    parts = placed.groupBy(slot, "b").agg(F.min("o").alias("o"), F.array_sort(F.collect_list(F.struct("o", "e", "d"))).alias("x"))
+    ranges = placed.groupBy(slot).agg(F.min("b").alias("b"), F.max("b").alias("z")).where("b <> z").select(slot)
+    ranges = cut(ranges)  # a slot for each border between two ranges, at most
+    zero = F.struct(F.lit(start).cast("long").alias("v"), F.lit(0).cast("long").alias("n"))
+    put = lambda s, u: F.struct(F.when(s["v"] == u["e"], u["d"]).otherwise(s["v"]).alias("v"), (s["n"] + F.when(s["v"] == u["e"], 1).otherwise(0)).alias("n"))
+    alone = placed.join(F.broadcast(ranges), slot, "left_anti").groupBy(slot).agg(F.array_sort(F.collect_list(F.struct("o", "e", "d"))).alias("x")).select(slot, F.aggregate("x", zero, put).alias("s"))
+    parts = placed.join(F.broadcast(ranges), slot, "left_semi").groupBy(slot, "b").agg(F.min("o").alias("o"), F.array_sort(F.collect_list(F.struct("o", "e", "d"))).alias("x"))
     parts = parts.select(F.struct(slot, "o").alias("k"), F.transform("x", lambda u: F.struct(u["e"].alias("e"), u["d"].alias("d"))).alias("x"))
     maps = flat_map(parts, "k", "x", "m array<struct<start:bigint,final:bigint,swaps:bigint>>", lambda v: [([dict(zip(("start", "final", "swaps"), r, strict=True)) for r in exchange_map([(u["e"], u["d"]) for u in v])],)])
     whole = maps.groupBy(F.col(f"k.{slot}").alias(slot)).agg(F.array_sort(F.collect_list(F.struct(F.col("k.o").alias("o"), "m"))).alias("x"))
-    zero = F.struct(F.lit(start).cast("long").alias("v"), F.lit(0).cast("long").alias("n"))
     hit = lambda s, u: F.try_element_at(F.filter(u["m"], lambda r: r["start"] == s["v"]), F.lit(1))
     fold = F.aggregate("x", zero, lambda s, u: F.struct(F.coalesce(hit(s, u)["final"], s["v"]).alias("v"), (s["n"] + F.coalesce(hit(s, u)["swaps"], F.lit(0))).alias("n")))
-    return whole.select(slot, fold.alias("s")).select(slot, F.col("s.v").alias("final"), F.col("s.n").alias("swaps"))
+    return alone.unionByName(whole.select(slot, fold.alias("s"))).select(slot, F.col("s.v").alias("final"), F.col("s.n").alias("swaps"))
 
 
 @query("""WITH RECURSIVE u AS (SELECT l_orderkey AS slot, l_linenumber AS k, (l_linenumber - 1) % 3 AS e, l_linenumber % 3 AS d, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) AS r FROM lineitem),
