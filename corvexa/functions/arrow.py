@@ -28,6 +28,13 @@ def spread(df: DataFrame, *keys: str) -> DataFrame:
     return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
 
 
+def dealt(df: DataFrame, rows: int, *keys: str) -> DataFrame:
+    """``df`` dealt by its keys over so many partitions that one has about ``rows`` rows, the session's shuffle partitions
+    at least: what a task holds doesn't grow with the input. ``df`` is counted first, so it should be cheap to read."""
+    least = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartition(max(least, -(-df.count() // rows)), *keys)
+
+
 def with_columns(df: DataFrame, source: str, added: str, f: Callable[[list], list[list]]) -> DataFrame:
     """``df`` with the columns of the DDL ``added``: ``f`` takes the values of one column and gives a list a new one."""
     new = StructType.fromDDL(added)

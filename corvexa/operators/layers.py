@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+import operator
 from collections.abc import Iterator
 
 import numpy as np
@@ -10,12 +12,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corvexa.functions import activations as A
-from corvexa.functions.arrow import bounded, with_columns
+from corvexa.functions.arrow import bounded, dealt, with_columns
 
 from .dense import dot, orthogonal_blocks, rms_normed
 
 #: Cells of a layer whose weights are sent to all tasks, at most.
 MAX_LAYER = 1 << 22
+#: Rows a task takes, about, where it keeps sums for them.
+DEALT = 1 << 16
 
 
 def layer(weights: DataFrame, bias: DataFrame | None = None) -> DataFrame:
@@ -158,7 +162,20 @@ def muon(df: DataFrame, param: str, grad: str, momentum: str, rows: int, rate: f
     return out.withColumn("updated", F.zip_with(F.col(param), F.col("__o"), lambda p, o: p - rate * o)).drop("__n", "__o")
 
 
+def mix_fixed(features: list[Column], weights: list[list[int]]) -> Column:
+    """A row's whole-numbered features mixed by each row of ``weights`` in 16.16 fixed point: each product shifted, then summed.
+
+    For small weights, which become part of the generated code; larger ones go to ``contract_fixed``. Sums are not yet taken
+    modulo 2**32, so they can be added up; a null feature makes them null.
+    """
+    mixed = lambda row: functools.reduce(operator.add, (F.shiftright(x * F.lit(w).cast("long"), 16) for x, w in zip(features, row, strict=True)))
+    return F.array(*[mixed(row) for row in weights])
+
+
 def contract_fixed(a: DataFrame, b: DataFrame, *by: str) -> DataFrame:
-    """(by..., i, j, v) of a(by..., i, k, v) and b(by..., k, j, v) in 16.16 fixed point: each product shifted, sums modulo 2**32."""
-    both = a.select(*by, "i", "k", F.col("v").alias("x")).join(b.select(*by, "k", "j", F.col("v").alias("y")), [*by, "k"])
+    """(by..., i, j, v) of a(by..., i, k, v) and b(by..., k, j, v) in 16.16 fixed point: each product shifted, sums modulo 2**32.
+
+    ``a`` is dealt by the keys of its sums: where ``b`` is broadcast, a task holds the sums of about ``DEALT`` rows at any size.
+    """
+    both = dealt(a.select(*by, "i", "k", F.col("v").alias("x")), DEALT, *by, "i").join(b.select(*by, "k", "j", F.col("v").alias("y")), [*by, "k"])
     return both.groupBy(*by, "i", "j").agg(F.pmod(F.sum(F.shiftright(F.col("x") * F.col("y"), 16)), F.lit(1 << 32)).alias("v"))

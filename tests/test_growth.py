@@ -2,15 +2,19 @@
 
 import math
 
+import duckdb
 import numpy as np
+import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
 from corvexa import registry
-from corvexa.operators import circuits, dense, graph, parse, syntax
+from corvexa.operators import circuits, dense, graph, layers, parse, syntax
+from corvexa.plans import layers as plan_layers
 from corvexa.plans import scalars
 
-from .conftest import SMALL
+from .conftest import SMALL, oracle_rows, spark_rows
 
 
 def plan(df):
@@ -142,6 +146,36 @@ def test_channels_are_summed_where_they_are_dealt(spark):
     assert plan(registry.queries()["channel_mix"](spark, SMALL)).count("Exchange hashpartitioning") == 1
 
 
+def test_more_nodes_make_more_tasks_not_larger_ones(spark, oracle, monkeypatch):
+    monkeypatch.setattr(plan_layers, "_NODES", 10, raising=False)
+    df = registry.queries()["channel_mix"](spark, SMALL)
+    assert spark_rows(df) == oracle_rows(oracle, registry.oracle_sql()["channel_mix"])
+    each = [r["n"] for r in df.groupBy(F.spark_partition_id()).agg(F.countDistinct("i").alias("n")).collect()]
+    assert sum(each) == 200 and max(each) <= 30  # 200 parts in the session's four partitions were 50 a task
+
+
+def test_channels_of_repeated_missing_and_negative_nodes(spark, tmp_path):
+    keys = [None, None, -5, -300_001, 0, 7, 7, 7, 1 << 40, -(1 << 40)]
+    pq.write_table(pa.table({"p_partkey": pa.array(keys, pa.int64())}), tmp_path / "part.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW part AS SELECT * FROM '{tmp_path}/part.parquet'")
+    df = registry.queries()["channel_mix"](spark, str(tmp_path))
+    assert spark_rows(df) == oracle_rows(con, registry.oracle_sql()["channel_mix"])
+
+
+def test_channels_of_rows_and_of_positions_are_the_same(spark, monkeypatch):
+    monkeypatch.setattr(layers, "DEALT", 16, raising=False)
+    x, w = {i: [(i * 7919 + k * 104729) % 262144 for k in range(4)] for i in range(50)}, [[k * 30_000 + j for k in range(4)] for j in range(3)]
+    a = spark.createDataFrame([(i, k, v) for i, row in x.items() for k, v in enumerate(row)], "i long, k long, v long")
+    b = spark.createDataFrame([(k, j, v) for j, row in enumerate(w) for k, v in enumerate(row)], "k long, j long, v long")
+    nodes = spark.createDataFrame([(i, *row) for i, row in x.items()], "i long, a long, b long, c long, d long")
+    mixed = nodes.select("i", F.posexplode(layers.mix_fixed([F.col(c) for c in "abcd"], w)).alias("j", "v"))
+    out = layers.contract_fixed(a, F.broadcast(b))
+    assert plan(out).count("Exchange hashpartitioning") == 1 and "hashpartitioning(i" in plan(out) and ", 13)" in plan(out)
+    got = {(r["i"], r["j"]): r["v"] for r in out.collect()}
+    assert got == {(r["i"], r["j"]): r["v"] for r in mixed.collect()} == {(i, j): sum(p * q >> 16 for p, q in zip(x[i], w[j], strict=True)) for i in x for j in range(3)}
+
+
 def test_exchange_of_slots_within_and_across_ranges(spark):
     rows = [(0, k, k % 3, (k + 1) % 3) for k in range(3000)] + [(s, k, k, k + 1) for s in range(1, 200) for k in range(3)]
     df = spark.createDataFrame(rows, "slot long, o long, e long, d long")
